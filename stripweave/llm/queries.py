@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, huffman, mixing, sharding
 
 QUERIES = {
     "op5_bpe": bpe.op5_bpe,
+    "op6_mix": mixing.op6_mix,
+    "op7_shards": sharding.op7_shards,
+    "op9_huffman_ids": huffman.op9_huffman_ids,
 }
 ORACLES: dict[str, str] = {}
