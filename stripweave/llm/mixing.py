@@ -3,7 +3,8 @@
 A source's share of the wanted total follows its weight; sources whose share is above `max_epochs`
 times their size are clamped there, and the excess goes to the others by weight until none is
 above. A source then gives whole repetitions of all its documents and, for the fraction, one more
-of documents in a seeded order as long as at least half of the document fits.
+of documents in a seeded order until the target is met, the last of them in part (`taken`; `repeats`
+counts that one as whole if more than half of it is taken).
 
 Null text: size 0, taken 0. Null source: a source of its own, ranked last. Ties of the seeded order
 fall by doc_id; identical rows are taken alike or in either order. An empty table gives no rows. Only
@@ -62,9 +63,10 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = rows.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    more = (F.col("before") + F.col("inside") + F.col("size") / 2 <= F.col("rest")) & (F.col("whole") < F.lit(max_epochs))
-    repeats = (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    part = F.when(F.col("whole") < F.lit(max_epochs), F.greatest(F.lit(0), F.least(F.col("size"), F.round(F.col("rest")).cast("long") - F.col("before") - F.col("inside")))).otherwise(0)
+    repeats = (F.col("whole") + F.when(2 * part > F.col("size"), 1).otherwise(0)).cast("long")
+    taken = (F.col("whole") * F.col("size") + part).cast("long")
+    return joined.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), taken.alias("taken"))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
