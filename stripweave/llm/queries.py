@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, huffman, mixing, sharding
+from . import bpe, huffman, mixing, quality, sharding
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op5_bpe": bpe.op5_bpe,
     "op6_mix": mixing.op6_mix,
     "op7_shards": sharding.op7_shards,
