@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, huffman, mixing, quality, sharding
+from . import bpe, huffman, mixing, quality, secrets, sharding
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op3_secrets": secrets.op3_secrets,
     "op5_bpe": bpe.op5_bpe,
     "op6_mix": mixing.op6_mix,
     "op7_shards": sharding.op7_shards,
