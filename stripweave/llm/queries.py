@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, huffman, mixing, quality, secrets, sharding
+from . import bpe, huffman, jaccard, mixing, quality, secrets, sharding
 
 QUERIES = {
+    "op1_jaccard": jaccard.op1_jaccard,
     "op2_quality": quality.op2_quality,
     "op3_secrets": secrets.op3_secrets,
     "op5_bpe": bpe.op5_bpe,
