@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, huffman, jaccard, mixing, quality, secrets, sharding
+from . import bpe, huffman, jaccard, lm, mixing, quality, secrets, sharding
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
     "op2_quality": quality.op2_quality,
     "op3_secrets": secrets.op3_secrets,
+    "op4_lm": lm.op4_lm,
     "op5_bpe": bpe.op5_bpe,
     "op6_mix": mixing.op6_mix,
     "op7_shards": sharding.op7_shards,
