@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, huffman, jaccard, lm, mixing, quality, secrets, sharding
+from . import bpe, huffman, jaccard, lm, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_mix": mixing.op6_mix,
     "op7_shards": sharding.op7_shards,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_huffman_ids": huffman.op9_huffman_ids,
 }
 ORACLES: dict[str, str] = {}
