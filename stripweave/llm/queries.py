@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, huffman, jaccard, lm, mixing, quality, secrets, sharding, toxicity
+from . import bpe, huffman, jaccard, lm, media, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_shards": sharding.op7_shards,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_huffman_ids": huffman.op9_huffman_ids,
+    "op10_media": media.op10_media,
 }
 ORACLES: dict[str, str] = {}
