@@ -35,7 +35,8 @@ RANGE_BYTES, BATCH_BYTES, RETRIES = 8 << 20, 2 << 20, 3
 MAGIC = b"ARCH"
 #: Fixed values of the PNG format: signature, and chunk names.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-ENTRY, FOOTER = struct.Struct("<qBQQI"), struct.Struct("<QQ4s")
+ENTRY, FOOTER = "<qBQQI", "<QQ4s"
+ENTRY_SIZE, FOOTER_SIZE = struct.calcsize(ENTRY), struct.calcsize(FOOTER)
 
 
 def payload(text: str) -> bytes:
@@ -108,15 +109,15 @@ def write_archives(docs: DataFrame, folder: str) -> None:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 out = out or files.open_output_stream(f"{path}/.{name}", compression=None)
                 data = to_png(payload(text), len(text.encode()))
-                entries.append(ENTRY.pack(doc_id or 0, doc_id is not None, at, len(data), zlib.crc32(data)))
+                entries.append(struct.pack(ENTRY, doc_id or 0, doc_id is not None, at, len(data), zlib.crc32(data)))
                 out.write(data)
                 at += len(data)
         if out is not None:
             out.write(b"".join(entries))
-            out.write(FOOTER.pack(at, len(entries), MAGIC))
+            out.write(struct.pack(FOOTER, at, len(entries), MAGIC))
             out.close()
             files.move(f"{path}/.{name}", f"{path}/{name}")
-            size = at + ENTRY.size * len(entries) + FOOTER.size
+            size = at + ENTRY_SIZE * len(entries) + FOOTER_SIZE
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([len(entries)], pa.int64())], ["archive", "size", "members"])
 
     listed = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "archive string, size long, members long")
@@ -156,15 +157,15 @@ class ArchiveReader(DataSourceReader):
                 f.seek(at)
                 return f.read(n)
 
-        ends, n, magic = FOOTER.unpack(get(partition.size - FOOTER.size, FOOTER.size))
+        ends, n, magic = struct.unpack(FOOTER, get(partition.size - FOOTER_SIZE, FOOTER_SIZE))
         if magic != MAGIC:
             raise ValueError(f"{path} is no archive")
         rows: list[tuple] = []
         held = 0
         with files.open_input_file(path) as f:
             f.seek(ends)
-            directory = f.read(n * ENTRY.size)
-            for doc_id, known, at, length, crc in ENTRY.iter_unpack(directory):
+            directory = f.read(n * ENTRY_SIZE)
+            for doc_id, known, at, length, crc in struct.iter_unpack(ENTRY, directory):
                 if not partition.start <= at < partition.end:
                     continue
                 f.seek(at)
