@@ -345,5 +345,17 @@ def rows_of(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "n"])
 
 
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each class stays, that of the smallest doc_id, all columns as they were. Rows without a doc_id stay.
+
+    Repeated rows of one doc_id and text become one.
+    """
+    firsts = linked(docs, n, num, den).filter("component_id = doc_id").select(F.col("doc_id").alias("first")).distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("same"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    kept = named.join(firsts, F.col("doc_id") == F.col("first"), "left_semi")
+    kept = kept.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "same").orderBy("same"))).filter("turn = 1").select("whole.*")
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(documents(spark, sf_dir))

@@ -13,7 +13,7 @@ doc_id, text and source are read, so other columns may have any name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, documents, written
@@ -24,9 +24,13 @@ WEIGHTS, SHARE, MAX_EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 42
 RANGES = 4096
 
 
+def size_of() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", size_of())
 
 
 def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame:
@@ -69,5 +73,16 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     return joined.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), taken.alias("taken"))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs with every row as often as the mix takes it, all columns as they were. Rows of one doc_id, source and size are repeated alike."""
+    sizes = written(sized(docs), "sizes")
+    times = mix(sizes).groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size")).agg(F.max("repeats").alias("m_repeats"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.select("doc_id", "source", size_of(), whole)
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size"))
+    rows = rows.join(times.filter("m_repeats > 0"), same)
+    return rows.select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_repeats")))).select("whole.*")
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(written(sized(documents(spark, sf_dir)), "sizes")).select("doc_id", "size", "source_size", "target", "taken")

@@ -76,19 +76,25 @@ def with_statistics(base: DataFrame) -> DataFrame:
     )
 
 
-def with_keys(rows: DataFrame) -> DataFrame:
-    """key: the group whose estimates judge the row; null if there are too few rows in all."""
+def named(rows: DataFrame) -> DataFrame:
+    """k_lang, k_both: the names of a row's language and of its language and source."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    rows = rows.withColumn("k_lang", name("lang")).withColumn("k_both", F.concat(F.length("k_lang"), F.lit(":"), F.col("k_lang"), name("source")))
-    n = rows.filter(~F.col("base_failed")).groupBy("k_lang", "k_both").agg(F.count("*").alias("n"))
-    n = written(n, "groups")
+    return rows.withColumn("k_lang", name("lang")).withColumn("k_both", F.concat(F.length("k_lang"), F.lit(":"), F.col("k_lang"), name("source")))
+
+
+def group_keys(rows: DataFrame) -> DataFrame:
+    """b, key: for each language and source the group whose estimates judge it; null if there are too few rows in all."""
+    n = written(named(rows).filter(~F.col("base_failed")).groupBy("k_lang", "k_both").agg(F.count("*").alias("n")), "groups")
     of_lang = n.groupBy(F.col("k_lang").alias("l")).agg(F.sum("n").alias("n_lang"))
     total = n.agg(F.sum("n")).first()[0] or 0
     key = F.when(F.col("n") >= LEAST, F.col("k_both")).when(F.col("n_lang") >= LEAST, F.col("k_lang"))
     if total >= LEAST:
         key = F.coalesce(key, F.lit("all"))
-    keys = small(n.join(of_lang, F.col("k_lang") == F.col("l")).select(F.col("k_both").alias("b"), key.alias("key")), n.count())
-    return rows.join(keys, F.col("k_both") == F.col("b"), "left").drop("b", "k_lang", "k_both")
+    return small(written(n.join(of_lang, F.col("k_lang") == F.col("l")).select(F.col("k_both").alias("b"), key.alias("key")), "keys"), n.count())
+
+
+def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return named(rows).join(keys, F.col("k_both") == F.col("b"), "left").drop("b", "k_lang", "k_both")
 
 
 def small(table: DataFrame, n: int) -> DataFrame:
@@ -154,16 +160,33 @@ def mcd(rows: DataFrame, n_keys: int) -> DataFrame:
     return found.join(half, "key")
 
 
+class Judge:
+    """The estimates learned from all documents, and their verdicts on rows that have the statistics."""
+
+    def __init__(self, rows: DataFrame):
+        self.keys = group_keys(rows)
+        passed = with_keys(rows, self.keys).filter(~F.col("base_failed") & F.col("key").isNotNull()).select("key", *STATS)
+        self.n_keys = passed.select("key").distinct().count()
+        self.found = written(mcd(passed, self.n_keys), "mcd")
+
+    def judged(self, rows: DataFrame) -> DataFrame:
+        rows = distance(with_keys(rows, self.keys).join(small(self.found, self.n_keys), "key", "left"))
+        rows = rows.withColumn("distance", F.col("d") / F.col("scale"))
+        return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
+
+
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base columns, base_failed, distance and kept."""
+    """doc_id, the base columns, base_failed, kept and the distance."""
     rows = written(with_statistics(base_statistics(docs, "lang", "source")), "statistics")
-    rows = with_keys(rows)
-    passed = rows.filter(~F.col("base_failed") & F.col("key").isNotNull()).select("key", *STATS)
-    n_keys = passed.select("key").distinct().count()
-    found = written(mcd(passed, n_keys), "mcd")
-    judged = distance(rows.join(small(found, n_keys), "key", "left")).withColumn("distance", F.col("d") / F.col("scale"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    return Judge(rows).judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, all columns as they were. The rows are written once beside their statistics, so texts aren't shuffled."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.select("doc_id", "text", "lang", "source", whole)
+    rows = written(with_statistics(base_statistics(rows, "lang", "source", "whole")), "statistics")
+    return Judge(rows).judged(rows).filter("kept").select("whole.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
