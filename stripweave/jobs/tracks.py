@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import fit, graph
 from ..sources.hits import SQL_ORDERS, SQL_POINTS, SQL_USERS, label_points, order_hits, table, user_hits
+from .reconstruct import Config, first_pass
 from .registry import query
 
 L, E, V = f"WITH {SQL_ORDERS}", f"WITH {SQL_USERS}", f"WITH {SQL_POINTS}"
@@ -117,3 +119,21 @@ def event_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("e"), F.stddev_pop("o_totalprice").alias("spread"))
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event"))
     return c.join(o, F.col("event") == F.col("o_custkey"), "left").select("event", F.coalesce("e", F.lit(30.0)).alias("energy"), F.when(F.col("spread") > 0.1, F.round("spread", 4)).otherwise(500.0).alias("rms"))
+
+
+@query("g6_single_linkage", f"WITH RECURSIVE {SQL_POINTS}, ed AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.grp = b.grp AND a.id <> b.id WHERE (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 0.0025), r AS (SELECT id, id AS seen FROM v UNION SELECT r.id, ed.b FROM r JOIN ed ON r.seen = ed.a) SELECT id, min(seen) AS label FROM r GROUP BY id")
+def single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single linkage cut at a distance: components of the edges below it (G6; the clusters of G1 and the forests of G5 are found alike)."""
+    v = label_points(spark, sf_dir)
+    return graph.components(v, graph.near_pairs(v, 0.05))
+
+
+@query("k7_track_fits")
+def track_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-state filter and smoother for each event and view (K1 to K5, K7)."""
+    return fit.track_fits(user_hits(spark, sf_dir).withColumn("m", F.col("strip") / 100.0))
+
+
+@query("r1_first_pass", f"{E}, big AS (SELECT event FROM e GROUP BY event HAVING count(*) > 75), p AS (SELECT a.event, a.layer, a.strip AS x, b.strip AS y FROM e a JOIN e b USING (event, layer) WHERE a.view = 0 AND b.view = 1 AND a.event NOT IN (SELECT event FROM big)), k AS (SELECT t.event, t.layer FROM p t JOIN p b ON t.event = b.event AND t.layer - b.layer BETWEEN 1 AND 2 WHERE (t.x-b.x)*(t.x-b.x) + (t.y-b.y)*(t.y-b.y) <= 250000) SELECT event, count(*) AS n_links, count(DISTINCT layer) AS n_layers FROM k GROUP BY event")
+def first_pass_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_pass(user_hits(spark, sf_dir), Config(most_clusters=75, skip=1)).summary

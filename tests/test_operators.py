@@ -3,7 +3,10 @@
 import numpy as np
 import pytest
 
-from stripweave.operators import islands, kalman, links, moments
+from stripweave.jobs.reconstruct import Config, first_pass
+from stripweave.operators import fit, graph, islands, kalman, links, moments
+from stripweave.sources.hits import user_hits
+from stripweave.streaming import batches
 
 
 def test_islands_merge_and_break(spark):
@@ -41,3 +44,38 @@ def test_scalar_filter_follows_the_recursion(spark):
         chi2 += (m - x) ** 2 / (p + 2.0)
         x, p = x + p / (p + 2.0) * (m - x), p * (1 - p / (p + 2.0))
     assert (got["n"], got["x"], got["p"], got["chi2"]) == pytest.approx((4, x, p, chi2))
+
+
+def test_components_of_a_chain(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(12)], "id long")
+    edges = spark.createDataFrame([(k, k + 1) for k in range(8)], "a long, b long")
+    got = {r["id"]: r["label"] for r in graph.components(nodes, edges).collect()}
+    assert got == {k: 0 if k < 9 else k for k in range(12)}
+
+
+def test_fit_without_scattering_is_least_squares():
+    rng = np.random.default_rng(8)
+    z = np.arange(10.0)
+    m = 3 + 0.7 * z + rng.normal(size=10)
+    position, slope, variance, filtered, smoothed = fit.kalman_line(z, m, 1.0, 0.0)
+    want = np.polyfit(z, m, 1)
+    assert (slope, position) == pytest.approx(tuple(want), abs=1e-2)
+    assert filtered == pytest.approx(smoothed, rel=1e-2)
+    assert 0 < variance < 1
+
+
+def test_first_pass_sets_large_events_aside(spark, sf):
+    hits = user_hits(spark, sf)
+    found = first_pass(hits, Config(most_clusters=60))
+    large = {r["event"] for r in hits.groupBy("event").count().filter("count > 60").collect()}
+    assert large
+    assert {r["event"] for r in found.errors.collect()} == large
+    assert not large & {r["event"] for r in found.summary.collect()}
+
+
+def test_stream_equals_batch(spark, sf, tmp_path):
+    hits = user_hits(spark, sf).repartition(3, "event")
+    hits.write.parquet(str(tmp_path / "in"))
+    batches.start(spark, str(tmp_path / "in"), hits.schema, str(tmp_path / "out"), str(tmp_path / "state"), files_per_batch=1).awaitTermination()
+    rows = lambda df: sorted(map(tuple, df.select("event", "n_links", "n_layers").collect()))
+    assert rows(spark.read.parquet(str(tmp_path / "out/summary"))) == rows(first_pass(hits).summary)
