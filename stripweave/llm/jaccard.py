@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import by_rows, documents, pieces, text_or_empty, written
 
 BLOCK, LONG_LIST = 512, 24
+BROADCAST_IDS = 1_000_000
 U = np.uint64
 #: Fixed table for hashing bytes: any odd-looking constants will do, but reruns and executors must agree.
 BYTES = np.random.Generator(np.random.PCG64(20)).integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -148,19 +149,33 @@ def node_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return as_long(mixed((sums[bounds[1:]] - sums[bounds[:-1]]) ^ np.diff(bounds).astype(U)))
 
 
-def nodes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set), keys."""
+def nodes(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, node (hash of the set)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, bounds = shingle_sets(batch.column("text"), n)
-        sizes = np.diff(bounds)
-        node = node_hashes(values, bounds)
-        keys = routing_keys(values, bounds, num, den)
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-        packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(np.concatenate(keys)) if keys else np.zeros(0, np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(node), packed], ["doc_id", "n_shingles", "node", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(node_hashes(values, bounds))], ["doc_id", "n_shingles", "node"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(by_rows(run), "doc_id long, n_shingles long, node long, keys array<long>")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(by_rows(run), "doc_id long, n_shingles long, node long")
+
+
+def keyed_nodes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node, key. A task names a node once, however many copies of its set it reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in pieces(batches):
+            values, bounds = shingle_sets(batch.column("text"), n)
+            node = node_hashes(values, bounds)
+            keys = routing_keys(values, bounds, num, den)
+            for i, x in enumerate(node.tolist()):
+                if x in seen:
+                    keys[i] = keys[i][:0]
+                seen.add(x)
+            flat = np.concatenate(keys) if keys else np.zeros(0, U)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, [len(x) for x in keys])), pa.array(as_long(flat))], ["node", "key"])
+
+    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "node long, key long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,11 +261,10 @@ def search(values: np.ndarray, bounds: np.ndarray, group: np.ndarray | None, num
 
 def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every document."""
-    table = written(nodes(docs, n, num, den), "nodes")
+    table = written(nodes(docs, n), "nodes")
     sets = table.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
-    # keys of one row for each set; several tasks may give one of a set of copies, so the pairs are made distinct after they are few
-    keyed = table.filter(F.size("keys") > 0).select("node", "keys").groupBy("node").agg(F.first("keys").alias("keys"))
-    rows = keyed.select("node", F.explode("keys").alias("key")).repartition("key")
+    # both branches below read one shuffle; without this filter the join would push its own below only one of them
+    rows = keyed_nodes(docs, n, num, den).filter("node IS NOT NULL AND key IS NOT NULL").repartition("key")
     shared = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top")
     pairs = rows.join(shared, "key").filter("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     routed = written(components(pairs), "routed")
@@ -283,7 +297,7 @@ def found_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
     sides = tasks.select("component", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(1).alias("side")), F.struct(F.col("j").alias("block"), F.lit(2).alias("side"))))).alias("s"))
     many = many.join(sides.select("component", "i", "j", F.col("s.block").alias("block"), F.col("s.side").alias("side")), ["component", "block"])
     routed = few.unionByName(many.select(*few.columns))
-    docs_of = members.select(F.col("doc").alias("m")).distinct()
+    docs_of = small(members.select(F.col("doc").alias("m")).distinct(), members.count())
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(docs_of, F.col("doc_id").eqNullSafe(F.col("m")), "left_semi").select("text")
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -345,16 +359,26 @@ def rows_of(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "n"])
 
 
+def small(ids: DataFrame, n: int) -> DataFrame:
+    """Broadcast up to `BROADCAST_IDS` rows of one id each (16 MB), so that texts aren't shuffled; beyond, Spark joins by shuffle."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of each class stays, that of the smallest doc_id, all columns as they were. Rows without a doc_id stay.
 
     Repeated rows of one doc_id and text become one.
     """
-    firsts = linked(docs, n, num, den).filter("component_id = doc_id").select(F.col("doc_id").alias("first")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("same"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    kept = named.join(firsts, F.col("doc_id") == F.col("first"), "left_semi")
-    kept = kept.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "same").orderBy("same"))).filter("turn = 1").select("whole.*")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    linked_rows = written(linked(docs, n, num, den).select("doc_id", "component_id"), "classes")
+    others = written(linked_rows.filter("component_id <> doc_id").select(F.col("doc_id").alias("other")).distinct(), "others")
+    kept = docs.join(small(others, others.count()), F.col("doc_id") == F.col("other"), "left_anti")
+    again = linked_rows.filter("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice"))
+    again = written(again, "repeated")
+    ids = small(again, again.count())
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    repeated = kept.select("doc_id", F.xxhash64("text").alias("same"), whole).join(ids, F.col("doc_id") == F.col("twice"), "left_semi")
+    repeated = repeated.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "same").orderBy("same"))).filter("turn = 1").select("whole.*")
+    return kept.join(ids, F.col("doc_id") == F.col("twice"), "left_anti").unionByName(repeated)
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
