@@ -103,19 +103,19 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with live-looking secrets' spans replaced; widely copied examples stay. Overlapping spans become one. Other columns stay as they are."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    rows = scan(docs.select("doc_id", "text", whole), "text", "whole").withColumn("listed", listed(F.col("found")))
+    rows = scan(docs.select("doc_id", "text", whole), "whole").withColumn("listed", listed(F.col("found")))
     rows = joined(rows, scan(docs, "source", "lang"))
     spans = F.filter("found", lambda x: F.array_contains(F.col("live"), x["hash"]))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.when(x["start"] > acc["at"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))).otherwise(F.lit(""))
+        gap = F.when(x["start"] > acc["at"], F.substring(F.col("whole.text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))).otherwise(F.lit(""))
         new = F.when((x["start"] >= acc["at"]), F.lit(mark)).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, new).alias("out"))
 
     folded = F.aggregate(spans, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step)
-    rest = F.substring(F.col("text"), (F.col("folded.at") + 1).cast("int"), F.length("text"))
+    rest = F.substring(F.col("whole.text"), (F.col("folded.at") + 1).cast("int"), F.length("whole.text"))
     rows = rows.withColumn("folded", F.when(F.col("n_live") > 0, folded))
-    text = F.when(F.col("folded").isNull(), F.col("text")).otherwise(F.concat("folded.out", rest))
+    text = F.when(F.col("folded").isNull(), F.col("whole.text")).otherwise(F.concat("folded.out", rest))
     return rows.withColumn("text", text).select(*[F.col("text") if c == "text" else F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
 
 
