@@ -16,4 +16,33 @@ QUERIES = {
     "op9_huffman_ids": huffman.op9_huffman_ids,
     "op10_media": media.op10_media,
 }
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Pairs by shared shingles, then their components.
+JACCARD = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS id, doc_id AS seen FROM s UNION SELECT r.id, p.b FROM r JOIN p ON r.seen = p.a),
+c AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id),
+k AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, coalesce(k.n_links, 0)::BIGINT AS n_links FROM s JOIN c ON c.id = s.doc_id LEFT JOIN k ON k.a = s.doc_id
+"""
+
+#: The level at which clamped sources and weighted shares meet the total is the greatest over all prefixes of clamped sources.
+MIX = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
+g AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS weight FROM g),
+o AS (SELECT *, 2.0::DOUBLE * source_size / weight AS ratio FROM s),
+c AS (SELECT *, sum(2.0::DOUBLE * source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS full_size, sum(weight) OVER () - sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS left_weight FROM o),
+lv AS (SELECT max(level) AS level FROM (SELECT (t.total * 1.5::DOUBLE - c.full_size) / c.left_weight AS level FROM c, (SELECT sum(source_size)::DOUBLE AS total FROM g) t WHERE c.left_weight > 0 UNION ALL SELECT sum(source_size)::DOUBLE * 1.5::DOUBLE / sum(weight) FROM s)),
+f AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * level) AS target FROM s, lv),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0.0 END AS whole FROM f),
+q AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.whole, greatest(0.0, e.target - e.whole * e.source_size) AS rest,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('42:' || coalesce(d.doc_id::VARCHAR, 'null')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (whole * size + CASE WHEN whole < 2 THEN greatest(0, least(size, round(rest)::BIGINT - before)) ELSE 0 END)::BIGINT AS taken FROM q
+"""
+
+ORACLES: dict[str, str] = {"op1_jaccard": JACCARD, "op6_mix": MIX}
