@@ -13,16 +13,16 @@ from .registry import query
 L, E, V = f"WITH {SQL_ORDERS}", f"WITH {SQL_USERS}", f"WITH {SQL_POINTS}"
 
 
-@query("j11_nearest_partner", f"{V}, c AS (SELECT grp, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM v GROUP BY grp), d AS (SELECT v.id, c.grp AS partner, round((x-cx)**2 + (y-cy)**2 + (z-cz)**2, 6) AS d2 FROM v LEFT JOIN c ON abs(v.grp - c.grp) <= 1 AND c.grp <> v.grp) SELECT id, CASE WHEN d2 <= 0.08 THEN partner END AS partner FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2 NULLS LAST, partner) AS r FROM d) WHERE r = 1")
+@query("j11_nearest_partner", f"{V}, c AS (SELECT grp, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM v GROUP BY grp), d AS (SELECT v.id, c.grp AS partner, round((x-cx)**2 + (y-cy)**2 + (z-cz)**2, 6) AS d2 FROM v LEFT JOIN c ON abs(v.grp - c.grp) <= 1 AND c.grp <> v.grp) SELECT id, CASE WHEN d2 <= 0.08 THEN partner ELSE -1 END::INT AS partner FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2 NULLS LAST, partner) AS r FROM d) WHERE r = 1")
 def nearest_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tree takes the nearest gated cluster; trees without one keep a null partner."""
+    """Each tree takes the nearest gated cluster; trees without one have partner -1."""
     v = label_points(spark, sf_dir)
     c = v.groupBy(F.col("grp").alias("partner")).agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"])
     gates = v.withColumn("partner", F.explode(F.array(F.col("grp") - 1, F.col("grp") + 1)))
     d2 = F.round((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2 + (F.col("z") - F.col("cz")) ** 2, 6)
     d = gates.join(c, "partner", "left").withColumn("d2", d2).withColumn("found", F.when(F.col("d2").isNotNull(), F.col("partner")))
     best = d.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.col("d2").asc_nulls_last(), "partner"))).filter("r = 1")
-    return best.select("id", F.when(F.col("d2") <= 0.08, F.col("found")).alias("partner"))
+    return best.select("id", F.when(F.col("d2") <= 0.08, F.col("found")).otherwise(-1).alias("partner"))
 
 
 @query("j13_track_pairs", "SELECT a.o_custkey AS event, count(*) AS n_pairs, round(max(abs(a.o_totalprice - b.o_totalprice)), 2) AS most_apart FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey GROUP BY a.o_custkey")
