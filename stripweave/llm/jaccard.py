@@ -3,8 +3,8 @@
 1. Every whole text becomes a set of hashed word shingles; equal sets are one node from here on.
 2. Routing: sets of sizes a and b with Jaccard similarity num/den or more differ in at most
    d = (a + b)(den - num) / (den + num) shingles. Shingles are dealt over d + 2 segments by hash, so
-   linked sets agree in two segments or more; a node's non-empty segments are its keys (two empty ones
-   make one more key). Nodes that share keys are connected by ids alone; components route sets.
+   linked sets agree in two segments or more; a node's non-empty segments are its keys (in small sets, two
+   empty ones make one more key). Nodes that share keys are connected by ids alone; components route sets.
 3. Search: a component's sets meet in blocks of `BLOCK` nodes, larger components in pairs of blocks
    of compatible sizes. Inside, each set is a query against the inverted lists of the earlier ones: short
    lists are heap-merged, long ones probed by binary search, and sets that reach the required overlap stay.
@@ -31,6 +31,10 @@ from .common import by_rows, documents, pieces, text_or_empty, written
 
 BLOCK, LONG_LIST = 512, 24
 BROADCAST_IDS = 1_000_000
+#: Pairs of empty segments are keys up to so many segments. Linked sets that agree in nothing but empty segments must differ in
+#: every other one, each difference in a segment of its own; beyond 64 segments the chance is under 1e-26, less than that
+#: of two sets with one hash.
+HOLES_UP_TO = 64
 U = np.uint64
 #: Fixed table for hashing bytes: any odd-looking constants will do, but reruns and executors must agree.
 BYTES = np.random.Generator(np.random.PCG64(20)).integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -133,7 +137,7 @@ def routing_keys(values: np.ndarray, bounds: np.ndarray, num: int, den: int) ->
             own_keys, empty = keys[base[i] : base[i] + segments[i]], counts[base[i] : base[i] + segments[i]] == 0
             found[i].append(own_keys[~empty])
             holes = np.flatnonzero(empty)
-            if len(holes) > 1:
+            if 1 < len(holes) and segments[i] <= HOLES_UP_TO:
                 a, b = np.triu_indices(len(holes), 1)
                 found[i].append(mixed(mixed(holes[a].astype(U) << U(32) | holes[b].astype(U)) ^ U(int(k[i]))))
     return [np.concatenate(x) if x else np.zeros(0, U) for x in found]
