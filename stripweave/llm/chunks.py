@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 #: White space as Unicode's White_Space property has it; Python's \s has four control characters more.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: A chunk's last character, behind a letter, is a piece of its own if it is one of these.
+TAILS = ".,"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -22,9 +24,10 @@ class ChunkTable:
     cut out first. The table is emptied when it has more than `most` chunks, so memory is bounded.
     """
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], added: dict[str, bytes], most: int = 500_000):
+    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], added: dict[str, bytes], most: int = 700_000):
         self.encode_chunks, self.added, self.most = encode_chunks, added, most
         self.known: dict[str, bytes] = {}
+        self.tails = dict(zip(TAILS, encode_chunks(list(TAILS)), strict=True))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -39,13 +42,19 @@ class ChunkTable:
                 parts.append(CHUNK.findall(text))
         if len(self.known) > self.most:
             self.known = {}
-        wanted: set[str] = set()
-        for found in parts:
-            wanted.update(found)
+        packed = [list(map(self.known.get, found)) for found in parts]
+        missing = [[i for i, x in enumerate(row) if x is None] for row in packed]
+        wanted = {found[i] for found, row in zip(parts, missing, strict=True) for i in row}
+        added = [x for x in wanted if x in self.added]
+        ended = [x for x in wanted if x[-1] in self.tails and x[-2:-1].isalpha() and x not in self.added]
+        wanted.difference_update(added, ended)
+        wanted.update(x[:-1] for x in ended)
         wanted.difference_update(self.known)
         new = list(wanted)
-        plain = [x for x in new if x not in self.added]
-        self.known.update(zip(plain, self.encode_chunks(plain), strict=True))
-        self.known.update((x, self.added[x]) for x in new if x in self.added)
-        known = self.known.__getitem__
-        return [b"".join(map(known, found)) for found in parts]
+        self.known.update(zip(new, self.encode_chunks(new), strict=True))
+        self.known.update((x, self.known[x[:-1]] + self.tails[x[-1]]) for x in ended)
+        self.known.update((x, self.added[x]) for x in added)
+        for found, row, places in zip(parts, packed, missing, strict=True):
+            for i in places:
+                row[i] = self.known[found[i]]
+        return [b"".join(row) for row in packed]
