@@ -101,25 +101,24 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def size_classes(num: int, den: int, most: int) -> list[int]:
-    """First sizes of classes such that linked sets are of one class or of neighbouring ones."""
+    """First sizes of classes such that linked sets are of one class or of neighbouring ones, to two beyond the class of `most`."""
     out = [1]
     while out[-1] <= most:
         out.append(out[-1] * den // num + 1)
-    return out
+    return [*out, out[-1] * den // num + 1]
 
 
 def routing_keys(values: np.ndarray, bounds: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """The keys of each row's set."""
+    """The keys of each row's set. They depend on that set alone, not on the rows beside it."""
     sizes = np.diff(bounds)
-    classes = np.array(size_classes(num, den, int(sizes.max(initial=1))) + [2**62], np.int64)
+    classes = np.array(size_classes(num, den, int(sizes.max(initial=1))), np.int64)
     own = np.searchsorted(classes, sizes, "right") - 1
     owner = np.repeat(np.arange(len(sizes)), sizes)
     salt, weight = mixed(values ^ U(0x5851F42D4C957F2D)), mixed(values ^ U(0x14057B7EF767814F))
     found: list[list[np.ndarray]] = [[] for _ in sizes]
     for ahead in (0, 1):  # as the larger or an equal partner, and as the smaller one
         k = own + ahead
-        top = classes[np.minimum(k + 1, len(classes) - 2)] - 1
-        top = np.where(k + 1 >= len(classes) - 1, sizes * den // num * 2 + 2, top)
+        top = classes[k + 1] - 1
         differ = 2 * top * (den - num) // (den + num)
         segments = np.where(sizes > 0, differ + 2, 0)
         base = np.cumsum(segments) - segments
