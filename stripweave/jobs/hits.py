@@ -154,7 +154,11 @@ KINK = "atan2((u.top_x - u.bot_x)::DOUBLE, 100.0) - atan2((w.top_x - w.bot_x)::D
 def kink_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that share a point, with the kink between them."""
     d2 = (F.col("top_x") - F.col("bot_x")) * (F.col("top_x") - F.col("bot_x")) + (F.col("top_y") - F.col("bot_y")) * (F.col("top_y") - F.col("bot_y"))
-    pairs = lnk.chains(lnk.links(user_points(spark, sf_dir), 0, d2 <= 40000))
+    return kinks(lnk.links(user_points(spark, sf_dir), 0, d2 <= 40000))
+
+
+def kinks(links_: DataFrame) -> DataFrame:
+    pairs = lnk.chains(links_)
     slope = lambda s: F.atan2((F.col(f"{s}_top_x") - F.col(f"{s}_bot_x")).cast("double"), F.lit(100.0))
     pairs = pairs.withColumn("kink", F.abs(slope("u") - slope("w")))
     return pairs.groupBy("event").agg(F.count("*").alias("n_chains"), F.count(F.when(F.col("kink") < 0.8, 1)).alias("n_straight"), F.round(F.max("kink"), 6).alias("most_kink"))
@@ -209,3 +213,15 @@ def all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     dx, dy = F.col("top_x") - F.col("bot_x"), F.col("top_y") - F.col("bot_y")
     k = lnk.links(user_points(spark, sf_dir), 0, dx * dx + dy * dy <= 3600)
     return lnk.paths(k, 17).groupBy("event", "head", "n_links").agg(F.count("*").alias("n_paths"))
+
+
+@query("t4_all_paths", (SQL_EP + SQL_LINKS.format(steps=1, band=BAND) + SQL_PATHS[SQL_PATHS.index(", s AS (") :]).replace("WITH ", "WITH RECURSIVE ", 1))
+def all_adjacent_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of t4_paths over all links of j3_adjacent_links."""
+    return lnk.paths(user_links(spark, sf_dir, 0), 17).groupBy("event", "head", "n_links").agg(F.count("*").alias("n_paths"))
+
+
+@query("j8_all_kink_chains", SQL_EP + SQL_LINKS.format(steps=1, band=BAND) + f" SELECT u.event, count(*) AS n_chains, count(*) FILTER (abs({KINK}) < 0.8) AS n_straight, round(max(abs({KINK})), 6) AS most_kink FROM k u JOIN k w ON u.event = w.event AND u.bot_id = w.top_id GROUP BY u.event")
+def all_kink_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chains of j8_kink_chains over all links of j3_adjacent_links."""
+    return kinks(user_links(spark, sf_dir, 0))
