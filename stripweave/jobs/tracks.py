@@ -123,7 +123,7 @@ def event_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g6_single_linkage", f"WITH RECURSIVE {SQL_POINTS}, ed AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.grp = b.grp AND a.id <> b.id WHERE (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 0.0025), r AS (SELECT id, id AS seen FROM v UNION SELECT r.id, ed.b FROM r JOIN ed ON r.seen = ed.a) SELECT id, min(seen) AS label FROM r GROUP BY id")
 def single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single linkage cut at a distance: components of the edges below it (G6; the clusters of G1 and the forests of G5 are found alike)."""
+    """Single linkage cut at a distance: components of the edges below it (of G6, single linkage alone)."""
     v = label_points(spark, sf_dir)
     return graph.components(v, graph.near_pairs(v, 0.05))
 
