@@ -1,26 +1,30 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
 1. Every whole text becomes a set of hashed word shingles; equal sets are one node from here on.
-2. Routing: sets of sizes a and b with Jaccard similarity num/den or more differ in at most
-   d = (a + b)(den - num) / (den + num) shingles. Shingles are dealt over d + 2 segments by hash, so
-   linked sets agree in two segments or more; a node's non-empty segments are its keys (in small sets, two
-   empty ones make one more key). Nodes that share keys are connected by ids alone; components route sets.
-3. Search: a component's sets meet in blocks of `BLOCK` nodes, larger components in pairs of blocks
-   of compatible sizes. Inside, each set is a query against the inverted lists of the earlier ones: short
-   lists are heap-merged, long ones probed by binary search, and sets that reach the required overlap stay.
-4. Links' components, by ids again, give each document its class.
+2. Routing: the shingles of a set are dealt over segments by hash; the content of a segment is a key. The number of
+   segments and deals (`deal_plan`) follows from the size class alone, such that two linked sets, however they differ,
+   have no common key with a chance under 1e-15: about that of two sets with one hash. Nothing else is left to chance.
+   Keys travel as ids. Nodes that share a key are candidates; components of candidates are formed by ids.
+3. Search: a component of up to `BLOCK` nodes is one task. A larger one is searched in pairs of blocks of compatible
+   sizes, or key by key, whichever sends fewer sets; so what is sent grows with the nodes, even if candidates that
+   only share a passage chain to one component. Inside a task each set is a query against the inverted lists of the earlier ones: short
+   lists are heap-merged, long ones probed by binary search, and sets that reach the required overlap stay. A
+   pair that meets under several keys counts under the least of them.
+4. Components of the verified links, by ids again, give each document its class.
 
 Only ids, keys and spanning links are shuffled besides the sets of nodes that share a key; no pairs are
 listed. Null or empty texts, or texts without words, have no shingles and no links; texts with fewer
-words than a shingle has are one shingle. Ties: equal sets are always linked. Repeated rows: like equal
-texts. An empty table gives no rows. Null doc_id: such rows are nodes' members, never their smallest id
-unless a class has no other. Only doc_id and text are read.
+words than a shingle has are one shingle. Very long texts: whole, with a bounded number of keys. Ties: equal sets are
+always linked. Repeated rows: like equal texts. An empty table gives no rows. Null doc_id: such rows are nodes'
+members, never their smallest id unless a class has no other. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,11 @@ from pyspark.sql import functions as F
 from .common import by_rows, documents, pieces, text_or_empty, written
 
 BLOCK, LONG_LIST = 512, 24
+#: Nodes of one piece from which on a key is combined before the shuffle.
+HOT = 64
 BROADCAST_IDS = 1_000_000
-#: Pairs of empty segments are keys up to so many segments. Linked sets that agree in nothing but empty segments must differ in
-#: every other one, each difference in a segment of its own; beyond 64 segments the chance is under 1e-26, less than that
-#: of two sets with one hash.
-HOLES_UP_TO = 64
+#: Shingles of a segment on average, at most, and the least number that a key has, at most; the chance of a link without a common key.
+CONTENT, MOST_LEAST, MISS = 5, 3, 1e-15
 U = np.uint64
 #: Fixed table for hashing bytes: any odd-looking constants will do, but reruns and executors must agree.
 BYTES = np.random.Generator(np.random.PCG64(20)).integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -108,38 +112,68 @@ def size_classes(num: int, den: int, most: int) -> list[int]:
     return [*out, out[-1] * den // num + 1]
 
 
-def routing_keys(values: np.ndarray, bounds: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """The keys of each row's set. They depend on that set alone, not on the rows beside it."""
+@lru_cache(maxsize=4096)
+def deal_plan(low: int, top: int, num: int, den: int) -> tuple[int, int, int]:
+    """Segments of a deal, least shingles of a key, and how many segments (over one deal or more) are keys, for sets of low to top shingles.
+
+    Linked sets differ in at most `differ` shingles and share at least `common`. A segment serves if no difference and
+    enough common shingles fall into it. Such segments are negatively associated, so all of n fail with a chance of at
+    most (1 - p) ** n; n is chosen such that this is under MISS. Zero segments: only equal sets can be linked.
+    """
+    differ = 2 * top * (den - num) // (den + num)
+    if differ < 1:
+        return 0, 0, 0
+    common = int(required(-(-low * num // den), low, num, den))
+    segments = max(differ + 2, -(-top // CONTENT))
+    free = (1 - 1 / segments) ** differ
+    found = []
+    for least in range(1, MOST_LEAST + 1):
+        fewer = sum(math.comb(common, k) * (1 / segments) ** k * (1 - 1 / segments) ** (common - k) for k in range(min(least, common + 1)))
+        p = free * (1 - fewer)
+        found.append(math.ceil(math.log(MISS) / math.log1p(-p)) if p > 1e-6 else 1 << 30)
+    least = max(k for k, n in enumerate(found) if n <= 2 * found[0]) + 1
+    return segments, least, found[least - 1]
+
+
+def flat_keys(values: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and keys. The keys of a row's set depend on that set alone, not on the rows beside it."""
     sizes = np.diff(bounds)
-    classes = np.array(size_classes(num, den, int(sizes.max(initial=1))), np.int64)
-    own = np.searchsorted(classes, sizes, "right") - 1
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    salt, weight = mixed(values ^ U(0x5851F42D4C957F2D)), mixed(values ^ U(0x14057B7EF767814F))
-    found: list[list[np.ndarray]] = [[] for _ in sizes]
-    for ahead in (0, 1):  # as the larger or an equal partner, and as the smaller one
-        k = own + ahead
-        top = classes[k + 1] - 1
-        differ = 2 * top * (den - num) // (den + num)
-        segments = np.where(sizes > 0, differ + 2, 0)
-        base = np.cumsum(segments) - segments
-        slot = base[owner] + (salt % segments[owner].astype(U)).astype(np.int64)
-        total = int(segments.sum())
-        sums, counts = np.zeros(total, U), np.bincount(slot, minlength=total)
-        np.add.at(sums, slot, weight)
-        row = np.repeat(np.arange(len(sizes)), segments)
-        place = np.arange(total) - base[row]
-        tag = mixed(k[row].astype(U) << U(32) | place.astype(U))
-        keys = mixed(sums ^ tag)
-        for i in range(len(sizes)):
-            if differ[i] < 1 or not sizes[i]:
-                continue  # only equal sets can be linked
-            own_keys, empty = keys[base[i] : base[i] + segments[i]], counts[base[i] : base[i] + segments[i]] == 0
-            found[i].append(own_keys[~empty])
-            holes = np.flatnonzero(empty)
-            if 1 < len(holes) and segments[i] <= HOLES_UP_TO:
-                a, b = np.triu_indices(len(holes), 1)
-                found[i].append(mixed(mixed(holes[a].astype(U) << U(32) | holes[b].astype(U)) ^ U(int(k[i]))))
-    return [np.concatenate(x) if x else np.zeros(0, U) for x in found]
+    classes = size_classes(num, den, int(sizes.max(initial=1)))
+    own = np.searchsorted(np.array(classes), sizes, "right") - 1
+    rows_out, keys_out = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for k in np.unique(own[sizes > 0]).tolist() if len(sizes) else []:
+        rows = np.flatnonzero((own == k) & (sizes > 0))
+        inside = np.zeros(len(sizes) + 1, bool)
+        inside[rows] = True
+        mine = values[np.repeat(inside[:-1], sizes)]
+        owner = np.repeat(np.arange(len(rows)), sizes[rows])
+        weight = mixed(mine ^ U(0x14057B7EF767814F))
+        for c in (k, k + 1):  # as the larger or an equal partner, and as the smaller one
+            segments, least, wanted = deal_plan(classes[c], classes[c + 1] - 1, num, den)
+            deal = 0
+            while wanted > 0:
+                width = min(wanted, segments)
+                salt = mixed(np.array([(0x5851F42D4C957F2D + c * 0x9E3779B97F4A7C15 + deal * 0xBF58476D1CE4E5B9) % 2**64], U))
+                place = (mixed(mine ^ salt) % U(segments)).astype(np.int64)
+                used = place < width if width < segments else slice(None)
+                slot = owner[used] * width + place[used]
+                counts = np.bincount(slot, minlength=len(rows) * width)
+                sums = np.zeros(len(rows) * width, U)
+                np.add.at(sums, slot, weight[used])
+                full = np.flatnonzero(counts >= least)
+                tag = mixed(salt + (full % width).astype(U))
+                rows_out.append(rows[full // width])
+                keys_out.append(mixed(sums[full] ^ tag))
+                wanted, deal = wanted - width, deal + 1
+    row, key = np.concatenate(rows_out), np.concatenate(keys_out)
+    order = np.argsort(row, kind="stable")
+    return row[order], key[order]
+
+
+def routing_keys(values: np.ndarray, bounds: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """The keys of each row's set."""
+    row, key = flat_keys(values, bounds, num, den)
+    return np.split(key, np.cumsum(np.bincount(row, minlength=len(bounds) - 1))[:-1])
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
@@ -153,30 +187,38 @@ def node_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set)."""
+    """doc_id, same (hash of the text), n_shingles, node (hash of the set)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, bounds = shingle_sets(batch.column("text"), n)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(node_hashes(values, bounds))], ["doc_id", "n_shingles", "node"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(np.diff(bounds), pa.int64()), pa.array(node_hashes(values, bounds))], ["doc_id", "same", "n_shingles", "node"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(by_rows(run), "doc_id long, n_shingles long, node long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("same"), text_or_empty().alias("text"))
+    return rows.mapInArrow(by_rows(run), "doc_id long, same long, n_shingles long, node long")
 
 
 def keyed_nodes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """node, key. A task names a node once, however many copies of its set it reads."""
+    """node, key. Combined before the shuffle: a task names a node once, however many copies of its set it reads. A key that
+    `HOT` nodes of a piece have is named by the first of them, to which the others are tied by odd keys of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in pieces(batches):
             values, bounds = shingle_sets(batch.column("text"), n)
             node = node_hashes(values, bounds)
-            keys = routing_keys(values, bounds, num, den)
+            fresh = np.zeros(len(node), bool)
             for i, x in enumerate(node.tolist()):
-                if x in seen:
-                    keys[i] = keys[i][:0]
+                fresh[i] = x not in seen
                 seen.add(x)
-            flat = np.concatenate(keys) if keys else np.zeros(0, U)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, [len(x) for x in keys])), pa.array(as_long(flat))], ["node", "key"])
+            row, key = flat_keys(values, bounds, num, den)
+            own, key = node[row[fresh[row]]].view(U), key[fresh[row]] & ~U(1)
+            _, first, place, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            pivot = own[first][place]
+            tied = (count[place] >= HOT) & (own != pivot)
+            ties = np.unique(np.stack((own[tied], pivot[tied]), 1), axis=0)
+            tie = mixed(ties[:, 0] ^ mixed(ties[:, 1])) | U(1)
+            columns = np.concatenate((own[~tied], ties[:, 0], ties[:, 1])), np.concatenate((key[~tied], tie, tie))
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(x)) for x in columns], ["node", "key"])
 
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, "node long, key long")
 
@@ -188,6 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
     each round is written, so the lineage stays short.
     """
     now = written(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct(), "edges")
+    seen = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -195,9 +238,9 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.explode(F.array(F.struct(F.col("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.u", "e.v").filter("u < v").distinct()
         after = written(small, "edges")
-        same = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen, before = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), seen
         now = after
-        if same:
+        if seen == before:
             break
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
@@ -262,43 +305,67 @@ def search(values: np.ndarray, bounds: np.ndarray, group: np.ndarray | None, num
             yield q, cand
 
 
-def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every document."""
-    table = written(nodes(docs, n), "nodes")
-    sets = table.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
+def candidates(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node, grp, total (nodes of the group), groups (all groups of the node where it has several, else null)."""
     # both branches below read one shuffle; without this filter the join would push its own below only one of them
     rows = keyed_nodes(docs, n, num, den).filter("node IS NOT NULL AND key IS NOT NULL").repartition("key")
     shared = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top")
-    pairs = rows.join(shared, "key").filter("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    routed = written(components(pairs), "routed")
-    members = written(routed.join(sets.filter(F.col("n_shingles") > 0), "node"), "members")
+    keyed = written(rows.join(shared, "key").select("key", "node", "pivot").distinct(), "keyed")
+    routed = written(components(keyed.filter("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()), "routed")
+    # keys with the same nodes are one group
+    of_key = keyed.groupBy("key").agg(F.min("pivot").alias("pivot"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    of_key = of_key.groupBy("pivot", "n", "x").agg(F.min("key").alias("grp"))
+    of_key = of_key.join(routed.withColumnRenamed("node", "pivot"), "pivot")
+    sizes = routed.groupBy("component").agg(F.count("*").alias("total"))
+    sent = of_key.groupBy("component").agg(F.sum("n").alias("sent"), F.max(F.col("grp").bitwiseAND(1)).alias("tied"))
+    by_key = (F.col("total") > BLOCK) & (F.col("tied") == 0) & (F.col("sent") * 2 * BLOCK < F.col("total") * F.col("total"))
+    how = written(sizes.join(sent, "component").select("component", "total", by_key.alias("by_key")), "how")
+    whole = routed.join(how.filter(~F.col("by_key")), "component").select("node", F.col("component").alias("grp"), "total", F.lit(None).cast("array<bigint>").alias("groups"))
+    parts = of_key.join(how.filter("by_key").select("component"), "component").select("grp", F.col("n").alias("total"))
+    split = keyed.select("node", F.col("key").alias("grp")).join(parts, "grp")
+    groups = split.groupBy("node").agg(F.array_sort(F.collect_list("grp")).alias("groups"))  # at most a node's keys
+    return whole.unionByName(split.join(groups, "node").select("node", "grp", "total", "groups"))
+
+
+def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, same, n_shingles, component_id, n_links for every document."""
+    table = written(nodes(docs, n), "nodes")
+    sets = table.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    members = written(candidates(docs, n, num, den).join(sets.filter(F.col("n_shingles") > 0), "node"), "members")
     links = written(found_links(docs, members, n, num, den), "links")
     edges = links.filter(F.col("b").isNotNull()).select("a", "b")
     joined = written(components(edges), "joined")
     counted = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     nodes_of = sets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = nodes_of.groupBy("component").agg(F.min("doc").alias("component_id"))
-    classes = nodes_of.join(ids, "component").join(counted, "node", "left").select("node", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = table.select("doc_id", "n_shingles", "node").join(classes, "node")
+    of_node = nodes_of.join(ids, "component").join(counted, "node", "left").select("node", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = table.join(of_node, "node")
     empty = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    component_id = F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id")
+    return out.select("doc_id", "same", "n_shingles", component_id, F.when(empty, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+
+
+def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every document."""
+    return classes(docs, n, num, den).drop("same")
 
 
 def found_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """a, b, n: spanning links of each task (b not null), and for each node (b null) the number of documents it is linked with there."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("total"))
-    rows = members.join(sizes, "component")
-    few = rows.filter(F.col("total") <= BLOCK).select("node", "copies", "n_shingles", "component", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
-    # blocks of a large component: rank by size, from counts of sizes, then by a hash among equal sizes
-    many = rows.filter(F.col("total") > BLOCK)
-    by_size = many.groupBy("component", "n_shingles").agg(F.count("*").alias("c"))
-    before = by_size.withColumn("before", F.sum("c").over(Window.partitionBy("component").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
-    many = many.join(before, ["component", "n_shingles"]).withColumn("block", F.floor((F.col("before") + F.pmod(F.xxhash64("node"), F.col("c"))) / BLOCK).cast("int"))
-    spans = many.groupBy("component", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    a, b = spans.select("component", F.col("block").alias("i"), F.col("high").alias("top")), spans.select("component", F.col("block").alias("j"), F.col("low").alias("bottom"))
-    tasks = a.join(b, "component").filter((F.col("i") <= F.col("j")) & (F.col("top") * den >= F.col("bottom") * num)).select("component", "i", "j")
-    sides = tasks.select("component", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(1).alias("side")), F.struct(F.col("j").alias("block"), F.lit(2).alias("side"))))).alias("s"))
-    many = many.join(sides.select("component", "i", "j", F.col("s.block").alias("block"), F.col("s.side").alias("side")), ["component", "block"])
+    columns = ["node", "copies", "n_shingles", "grp", "groups"]
+    few = members.filter(F.col("total") <= BLOCK).select(*columns, F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
+    # blocks of a large group: rank by size, from counts of sizes, then by a hash among equal sizes
+    many = members.filter(F.col("total") > BLOCK)
+    by_size = many.groupBy("grp", "n_shingles").agg(F.count("*").alias("c"))
+    before = by_size.withColumn("before", F.sum("c").over(Window.partitionBy("grp").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
+    many = many.join(before, ["grp", "n_shingles"]).withColumn("block", F.floor((F.col("before") + F.pmod(F.xxhash64("node"), F.col("c"))) / BLOCK).cast("int"))
+    spans = many.groupBy("grp", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    a, b = spans.select("grp", F.col("block").alias("i"), F.col("high").alias("top")), spans.select("grp", F.col("block").alias("j"), F.col("low").alias("bottom"))
+    tasks = a.join(b, "grp").filter((F.col("i") <= F.col("j")) & (F.col("top") * den >= F.col("bottom") * num)).select("grp", "i", "j")
+    side = lambda block, k: F.struct(F.col(block).alias("block"), F.lit(k).alias("side"))
+    sides = F.explode(F.when(F.col("i") == F.col("j"), F.array(side("i", 0))).otherwise(F.array(side("i", 1), side("j", 2)))).alias("s")
+    sides = tasks.select("grp", "i", "j", sides).select("grp", "i", "j", "s.block", "s.side")
+    many = many.join(sides, ["grp", "block"])
     routed = few.unionByName(many.select(*few.columns))
     docs_of = small(members.select(F.col("doc").alias("m")).distinct(), members.count())
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(docs_of, F.col("doc_id").eqNullSafe(F.col("m")), "left_semi").select("text")
@@ -309,8 +376,9 @@ def found_links(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
         return pa.RecordBatch.from_arrays([pa.array(node_hashes(values, bounds)), pa.array(raw, pa.binary())], ["node", "hashes"])
 
     sets = texts.mapInArrow(by_rows(hashed), "node long, hashes binary").dropDuplicates(["node"])
-    dealt = routed.join(sets, "node").withColumn("task", F.xxhash64("component", "i", "j"))
-    dealt = dealt.select("task", "component", "i", "j", "side", "node", "copies", "n_shingles", "hashes").repartition("task").sortWithinPartitions("task", "component", "i", "j", "n_shingles", "node")
+    dealt = routed.join(sets, "node").withColumn("task", F.xxhash64("grp", "i", "j"))
+    dealt = dealt.select("task", "grp", "i", "j", "side", "node", "copies", "n_shingles", "groups", "hashes")
+    dealt = dealt.repartition("task").sortWithinPartitions("task", "grp", "i", "j", "n_shingles", "node")
     return dealt.mapInArrow(lambda batches: searched(batches, num, den), "a long, b long, n long")
 
 
@@ -333,7 +401,10 @@ def searched(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
                 root[x] = x = root[root[x]]
             return x
 
+        groups = [r[4] for r in held]
         for q, cand in search(np.concatenate(sets), bounds, side if side.any() else None, num, den):
+            if groups[q] is not None:  # a pair that meets under several keys counts under the least of them
+                cand = cand[[name[1] == min(set(groups[q]).intersection(groups[c])) for c in cand.tolist()]]
             others[q] += weight[cand].sum()
             others[cand] += weight[q]
             for c in cand.tolist():
@@ -344,11 +415,11 @@ def searched(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         out.extend((node[k], None, int(others[k])) for k in np.flatnonzero(others).tolist())
 
     for batch in pieces(batches, "hashes"):
-        columns = [batch.column(c).to_pylist() for c in ("task", "component", "i", "j", "node", "copies", "side", "hashes")]
-        for task, component, i, j, *row in zip(*columns, strict=True):
-            if (task, component, i, j) != name:
+        columns = [batch.column(c).to_pylist() for c in ("task", "grp", "i", "j", "node", "copies", "side", "hashes", "groups")]
+        for task, grp, i, j, *row in zip(*columns, strict=True):
+            if (task, grp, i, j) != name:
                 flush()
-                held, name = [], (task, component, i, j)
+                held, name = [], (task, grp, i, j)
             held.append(row)
         if out:
             yield rows_of(out)
@@ -372,10 +443,11 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
     Repeated rows of one doc_id and text become one.
     """
-    linked_rows = written(linked(docs, n, num, den).select("doc_id", "component_id"), "classes")
-    others = written(linked_rows.filter("component_id <> doc_id").select(F.col("doc_id").alias("other")).distinct(), "others")
-    kept = docs.join(small(others, others.count()), F.col("doc_id") == F.col("other"), "left_anti")
-    again = linked_rows.filter("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice"))
+    rows = written(classes(docs, n, num, den).select("doc_id", "same", "component_id"), "classes")
+    others = written(rows.filter("component_id <> doc_id").select(F.col("doc_id").alias("other"), F.col("same").alias("other_same")).distinct(), "others")
+    same = F.xxhash64("text") == F.col("other_same")
+    kept = docs.join(small(others, others.count()), (F.col("doc_id") == F.col("other")) & same, "left_anti")
+    again = rows.filter("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice"))
     again = written(again, "repeated")
     ids = small(again, again.count())
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
