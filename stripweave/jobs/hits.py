@@ -33,21 +33,25 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isl.islands(rows, ["event", "view"], "strip", "last_strip", 40, IDENT)
 
 
-@query("c1_strip_islands", SQL_ISLANDS + " SELECT event, view, island::BIGINT AS island, count(*) AS n_members, min(strip) AS first_strip, max(strip + width - 1) AS last_strip, bit_or((1 << layer)::INT) AS status, arg_min(width, strip * 1000000000000 + price) AS signal, (min(strip) + max(strip + width - 1)) / 2 AS position FROM i GROUP BY event, view, island")
+@query("c1_strip_islands", SQL_ISLANDS + " SELECT event, view, island::BIGINT AS island, count(*) AS n_members, min(strip) AS first_strip, max(strip + width - 1) AS last_strip, bit_or((1 << layer)::INT) AS status, arg_min(width, (strip, price)) AS signal, (min(strip) + max(strip + width - 1)) / 2 AS position FROM i GROUP BY event, view, island")
 def strip_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strip runs become clusters; merged clusters take ends, or-ed status and the first member's signal."""
     return isl.merged(clusters(spark, sf_dir), ["event", "view"])
 
 
 SQL_GAP = f"""{L},
-g AS (SELECT event, view, (strip >= 768)::INT AS side, strip, strip - lag(strip) OVER (PARTITION BY event, view, strip >= 768 ORDER BY strip, part, supp, price) AS gap FROM l),
-s AS (SELECT event, view, avg(gap) FILTER (side = 0) AS low, avg(gap) FILTER (side = 1) AS high FROM g GROUP BY ALL)
-SELECT event, view, greatest(3, least(10, coalesce(least(round(low), round(high)) + 1, 3)))::INT AS allowed FROM s"""
+g AS (SELECT event, view, (strip >= 768)::INT AS side, strip, width,
+  strip - lag(strip) OVER (PARTITION BY event, view, strip >= 768 ORDER BY strip, part, supp, price) AS gap FROM l),
+s AS (SELECT event, view, coalesce(floor(avg(gap) FILTER (side = 0) + 0.5), 5000) AS low,
+  coalesce(floor(avg(gap) FILTER (side = 1) + 0.5), 5000) AS high, max(width) >= 6 AS truncated FROM g GROUP BY ALL)
+SELECT event, view, CASE WHEN truncated THEN greatest(3, least(10, least(low, high) + 1)) ELSE 0 END::INT AS allowed FROM s"""
 
 
 @query("c3_allowed_gap", SQL_GAP)
 def allowed_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return isl.allowed_gap(order_hits(spark, sf_dir).withColumn("side", (F.col("strip") >= 768).cast("int")), ["event", "view"])
+    """Planes with a wide hit stand for truncated ones; the others have no threshold."""
+    rows = order_hits(spark, sf_dir).withColumn("side", (F.col("strip") >= 768).cast("int"))
+    return isl.allowed_gap(rows, ["event", "view"], F.max("width") >= 6, ["part", "supp", "price"])
 
 
 @query("c5_truncated_planes", f"{L} SELECT event, max(n)::BIGINT AS most_planes, max(n) > 3 AS triggered FROM (SELECT event, tower, count(DISTINCT layer * 2 + view) AS n FROM l WHERE width >= 4 GROUP BY ALL) GROUP BY event")
@@ -65,7 +69,7 @@ def truncation_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_P = f"""{L}, p AS (SELECT a.event, a.layer, a.tower, a.strip AS x, b.strip AS y, a.price AS x_price, b.price AS y_price, a.part AS x_part, b.part AS y_part, a.supp AS x_supp, b.supp AS y_supp
   FROM l a JOIN l b USING (event, layer, tower) WHERE a.view = 0 AND b.view = 1)"""
-SQL_EP = f"""{E}, p AS (SELECT a.event, a.layer, a.strip AS x, b.strip AS y, a.hit * 1000000 + b.hit AS id FROM e a JOIN e b USING (event, layer) WHERE a.view = 0 AND b.view = 1)"""
+SQL_EP = f"""{E}, p AS (SELECT a.event, a.layer, a.strip AS x, b.strip AS y, a.hit || ':' || b.hit AS id FROM e a JOIN e b USING (event, layer) WHERE a.view = 0 AND b.view = 1)"""
 
 
 def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +78,7 @@ def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pts.points(user_hits(spark, sf_dir), ["event", "layer"], ["hit"])
-    return p.withColumn("id", F.col("x_hit") * 1000000 + F.col("y_hit"))
+    return p.withColumn("id", pts.pair_id("x_hit", "y_hit"))
 
 
 @query("j1_points", SQL_P + " SELECT event, layer, tower, x, y, x_price, y_price FROM p")

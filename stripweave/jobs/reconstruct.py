@@ -1,4 +1,7 @@
-"""The first pass as one job: guard, points, adjacent links, summaries; refused events go to a side output."""
+"""The first pass as one job: guards, points, links, summaries; refused events go to a side output.
+
+The stage window runs a stage if it lies in it; a stage that isn't run has empty tables.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +15,23 @@ from ..operators import links as lnk
 from ..operators import points as pts
 
 
+POINTS, LINKS, SUMMARY = 1, 2, 3
+
+
 @dataclass(frozen=True)
 class Config:
+    """most_points: events of more points aren't searched, decided from counts before any point is formed."""
+
     most_clusters: int = 2000
     skip: int = 0
     most_d2: int = 250_000
     finder: str = "links"
+    most_points: int = 10_000
+    first_stage: int = POINTS
+    last_stage: int = SUMMARY
+
+    def runs(self, stage: int) -> bool:
+        return self.first_stage <= stage <= self.last_stage
 
 
 @dataclass(frozen=True)
@@ -37,12 +51,21 @@ def link_finder(points: DataFrame, config: Config) -> DataFrame:
 FINDERS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {"links": link_finder}
 
 
+def refused(hits: DataFrame, config: Config) -> DataFrame:
+    """event, stage, n_clusters of events with too many clusters or too many points."""
+    planes = hits.groupBy("event", "layer").agg(F.count("*").alias("n"), F.count(F.when(F.col("view") == 0, 1)).alias("x"), F.count(F.when(F.col("view") == 1, 1)).alias("y"))
+    sizes = planes.groupBy("event").agg(F.sum("n").alias("n_clusters"), F.sum(F.col("x") * F.col("y")).alias("n_points"))
+    stage = F.when(F.col("n_clusters") > config.most_clusters, "clusters").when(F.col("n_points") > config.most_points, "points")
+    return sizes.withColumn("stage", stage).filter(F.col("stage").isNotNull()).select("event", "stage", "n_clusters")
+
+
 def first_pass(hits: DataFrame, config: Config = Config()) -> FirstPass:
     """hits: event, layer, view, strip, hit."""
-    sizes = hits.groupBy("event").agg(F.count("*").alias("n_clusters"))
-    errors = sizes.filter(F.col("n_clusters") > config.most_clusters).select("event", F.lit("clusters").alias("stage"), "n_clusters")
+    errors = refused(hits, config)
     kept = hits.join(errors, "event", "left_anti")
-    points = pts.points(kept, ["event", "layer"], ["hit"]).withColumn("id", F.col("x_hit") * 1000000 + F.col("y_hit"))
+    points = pts.points(kept, ["event", "layer"], ["hit"]).withColumn("id", pts.pair_id("x_hit", "y_hit"))
+    points = points if config.runs(POINTS) else points.limit(0)
     found = FINDERS[config.finder](points, config)
+    found = found if config.runs(LINKS) else found.limit(0)
     summary = found.groupBy("event").agg(F.count("*").alias("n_links"), F.countDistinct("top_layer").alias("n_layers"))
-    return FirstPass(points, found, summary, errors)
+    return FirstPass(points, found, summary if config.runs(SUMMARY) else summary.limit(0), errors)

@@ -25,10 +25,14 @@ def merged(rows: DataFrame, by: list[str]) -> DataFrame:
     ).withColumn("position", (F.col("first_strip") + F.col("last_strip")) / 2)
 
 
-def allowed_gap(rows: DataFrame, by: list[str], least: int = 3, most: int = 10) -> DataFrame:
-    """Merge threshold of a plane: the smaller of its sides' average gaps, rounded, plus one, inside [least, most]."""
-    order = Window.partitionBy(*by, "side").orderBy("strip", "part", "supp", "price")
+def allowed_gap(rows: DataFrame, by: list[str], truncated: Column, tie: list[str], least: int = 3, most: int = 10, none: int = 5000) -> DataFrame:
+    """Merge threshold of a plane (by: its keys; side: 0 or 1 of its read-out): the smaller of its sides' average gaps, rounded, plus one, inside [least, most].
+
+    A side without gaps counts as `none`, so a plane without any gets `most`. truncated: an aggregate; planes where it is false get 0.
+    """
+    order = Window.partitionBy(*by, "side").orderBy("strip", *tie)
     gaps = rows.withColumn("gap", F.col("strip") - F.lag("strip").over(order))
-    sides = gaps.groupBy(*by).agg(F.avg(F.when(F.col("side") == 0, F.col("gap"))).alias("low"), F.avg(F.when(F.col("side") == 1, F.col("gap"))).alias("high"))
-    rounded = F.least(F.round("low"), F.round("high")) + 1
-    return sides.select(*by, F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(rounded, F.lit(least)))).cast("int").alias("allowed"))
+    mean = lambda side: F.coalesce(F.floor(F.avg(F.when(F.col("side") == side, F.col("gap"))) + 0.5), F.lit(none))
+    sides = gaps.groupBy(*by).agg(mean(0).alias("low"), mean(1).alias("high"), truncated.alias("truncated"))
+    inside = F.greatest(F.lit(least), F.least(F.lit(most), F.least("low", "high") + 1))
+    return sides.select(*by, F.when(F.col("truncated"), inside).otherwise(0).cast("int").alias("allowed"))

@@ -13,6 +13,11 @@ def points(hits: DataFrame, keys: list[str], ident: list[str]) -> DataFrame:
     return x.join(y, keys)
 
 
+def pair_id(x_hit: str, y_hit: str) -> Column:
+    """A point's id: the ids of both hits, told apart whatever their size."""
+    return F.concat_ws(":", F.col(x_hit).cast("string"), F.col(y_hit).cast("string"))
+
+
 def nearest(queries: DataFrame, others: DataFrame, keys: list[str], distance: Column, ok: Column, tie: list[str], ident: list[str], take: int = 1) -> DataFrame:
     """For each query (ident) the `take` nearest acceptable rows with equal keys, ties by id; n_near counts the acceptable ones."""
     pairs = queries.join(others, keys).withColumn("distance", distance).filter(ok)
