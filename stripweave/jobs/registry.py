@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from . import attributes, estimates, hits, selections, tracks, trees  # noqa: E402, F401  fill the tables above
+from . import attributes, estimates, hits, selections, shapes, tracks, trees  # noqa: E402, F401  fill the tables above

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import LAYER_PITCH, STRIP_PITCH
+
 
 def links(points: DataFrame, skip: int, band: Column | None = None) -> DataFrame:
     """points: event, layer, x, y, id. Columns top_*, bot_*, step (1 .. skip + 1).
@@ -41,3 +43,14 @@ def paths(links_: DataFrame, depth: int) -> DataFrame:
         more = F.when(F.col("next").isNotNull(), 1).otherwise(0)
         now = now.join(ahead, ["event", "tail"], "left").select("event", "head", F.coalesce("next", "tail").alias("tail"), (F.col("n_links") + more).alias("n_links"))
     return now.filter("n_links >= 2")
+
+
+def gated(links_: DataFrame, position: DataFrame, tolerance: float, tight: float) -> DataFrame:
+    """position: event, cx, cy, cz in mm. Adds doca (closest approach of the link's line to it), kept and tight."""
+    rows = links_.join(position, "event")
+    d = [(F.col("top_x") - F.col("bot_x")) * STRIP_PITCH, (F.col("top_y") - F.col("bot_y")) * STRIP_PITCH, F.col("step") * LAYER_PITCH]
+    w = [F.col("cx") - F.col("top_x") * STRIP_PITCH, F.col("cy") - F.col("top_y") * STRIP_PITCH, F.col("cz") - F.col("top_layer") * LAYER_PITCH]
+    across = [w[1] * d[2] - w[2] * d[1], w[2] * d[0] - w[0] * d[2], w[0] * d[1] - w[1] * d[0]]
+    doca = F.sqrt(across[0] ** 2 + across[1] ** 2 + across[2] ** 2) / F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    rows = rows.withColumn("doca", F.round(doca, 6))
+    return rows.withColumn("kept", F.col("doca") <= tolerance).withColumn("tight", F.col("doca") < tight)

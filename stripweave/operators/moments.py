@@ -46,3 +46,12 @@ def line_fit(rows: DataFrame, by: str, z: Column, y: Column, w: Column) -> DataF
 def bins(points: DataFrame, size: float) -> DataFrame:
     """Adds the accumulator bin of each point: floor((p + size / 2) / size) on each axis."""
     return points.withColumns({f"b{a}": F.floor((F.col(a) + size / 2) / size).cast("int") for a in ("x", "y", "z")})
+
+
+def leave_one_out(rows: DataFrame, by: list[str], least: int) -> DataFrame:
+    """rows: by, z, y. Adds residual: of each row from the straight line through all others of its group; groups under `least` rows are left out."""
+    z, y = F.col("z"), F.col("y")
+    s = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(z).alias("mz"), F.avg(y).alias("my"), (F.sum(z * z) - F.sum(z) * F.sum(z) / F.count("*")).alias("szz"), (F.sum(z * y) - F.sum(z) * F.sum(y) / F.count("*")).alias("szy"))
+    off = y - F.col("my") - F.col("szy") / F.col("szz") * (z - F.col("mz"))
+    own = 1 - F.lit(1.0) / F.col("n") - (z - F.col("mz")) * (z - F.col("mz")) / F.col("szz")
+    return rows.join(s.filter(F.col("n") >= least), by).withColumn("residual", off / own).drop("n", "mz", "my", "szz", "szy")
