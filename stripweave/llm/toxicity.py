@@ -1,23 +1,25 @@
 """Compression-distance classification of toxicity.
 
-Two zstandard dictionaries, one of toxic and one of ordinary training text, end in the same carrier
-line. Every window (a word behind the carrier) of a text is compressed with both; the difference of
-the two lengths, as it is and against the window's own length, is compared with a ladder of thresholds.
-How many windows pass each threshold is calibrated to a probability by logistic regression.
-
-Fitting takes a bounded sample of labelled rows: at most `SAMPLE` toxic and four times as many ordinary documents, least hash of
-doc_id first, and at most `FIT_CHARS` characters of each. Scoring covers every whole text, and reads
-nothing but the text.
-
-Null or empty text: no windows, so the calibrated score of zero counts. Without labelled rows of both labels every
-score is 0. A doc_id with several labels counts as toxic if one says so. Repeated rows get equal scores. An
-empty table gives no rows.
+Zstandard dictionaries are trained (by the library's own training) on whole toxic and on whole ordinary texts: `PARTS` of
+each label, on disjoint parts of the fitting rows, behind one larger dictionary of ordinary text that all of them share.
+Every window of `WORDS` words of a text is compressed with them. Its saving is the least, over the parts, of the ordinary
+length less the toxic length; what a single dictionary holds by chance saves nothing in the others. How many windows
+reach each of a ladder of thresholds, and the mean saving, are calibrated to a probability by logistic regression, on
+labelled rows that no dictionary has seen.
+
+Fitting takes a bounded sample of labelled rows: at most `SAMPLE` toxic and four times as many ordinary documents, least
+hash of doc_id first, whole texts. Dictionaries are trained and windows measured in Spark tasks; the driver gets
+dictionaries and one row of features for each calibration text. Scoring covers every whole text, and reads nothing but the text.
+
+Null or empty text: no windows, so the calibrated score of zero counts. Very long texts: whole, window after window. Without
+labelled rows of both labels every score is 0. A doc_id with several labels counts as toxic if one says so. Ties and
+repeated rows get equal scores. An empty table gives no rows. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,56 +28,84 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, crc_of_id, documents, text_or_empty
+from .common import by_rows, crc_of_id, documents, text_or_empty, written
 
-SAMPLE, FIT_CHARS = 2000, 20_000
-N_TYPICAL, N_COMMON = 120, 1000
+SAMPLE, PARTS = 2000, 3
 FOLDS, TEST_FOLD, THRESHOLD = 3, 1, 0.7
+#: Bytes of a part's dictionary and of the shared one; segment and sub-segment lengths of the training.
+PART_BYTES, SHARED_BYTES, SEGMENT, PIECE = 12_288, 60_000, 16, 8
+WORDS, STRIDE = 3, 3
+#: Stands around each window, since the compressor doesn't match the last bytes of a block.
 CARRIER = b"\n#0123456789#\n"
-BYTES_SAVED, SHARE_SAVED = (2, 3, 4, 5), (0.3, 0.4, 0.5, 0.6)
+LADDER = (1, 2, 3, 4, 5, 6, 7, 8)
 EDGES = b".,!?*$&#%|"
-KEPT_WINDOWS = 400_000
+KEPT_WINDOWS = 200_000
+SHARED = -1
 
 
 def windows(text: str) -> list[bytes]:
-    return [w.strip(EDGES) for w in text.lower().encode().split()]
+    words = [w.strip(EDGES) for w in text.lower().encode().split()]
+    return [b" ".join(words[k : k + WORDS]) for k in range(0, max(1, len(words) - WORDS + 1), STRIDE)] if words else []
+
+
+def trained(texts: list[str], size: int) -> bytes:
+    """A dictionary of at most `size` bytes of the training's choice; empty if there is too little to train on."""
+    samples = [b" " + w.strip(EDGES) + b" " for t in texts for w in three_words(t)]
+    if sum(map(len, samples)) < 16 * SEGMENT or len(samples) < 16:
+        return b" ".join(samples)
+    try:
+        return zstandard.train_dictionary(min(size, max(512, sum(map(len, samples)) // 4)), samples, k=SEGMENT, d=PIECE, f=20, level=19).as_bytes()
+    except zstandard.ZstdError:  # too few repetitions to choose from
+        return b"".join(samples)[-size:]
+
+
+def three_words(text: str) -> list[bytes]:
+    words = [w.strip(EDGES) for w in text.lower().encode().split()]
+    return [b" ".join(words[k : k + 3]) for k in range(0, len(words), 3)]
+
+
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=5, min_match=5, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    held.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(compression_params=how, dict_data=held)
 
 
 @dataclass
 class Model:
-    """toxic, ordinary: dictionary contents; weights of the features, bias first (empty: nothing was learned)."""
+    """pairs: contents of the ordinary and the toxic dictionary of each part; weights of the features, bias first (empty: nothing was learned)."""
 
-    toxic: bytes = b""
-    ordinary: bytes = b""
+    pairs: list[tuple[bytes, bytes]] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     _made: tuple | None = None
 
     def __getstate__(self) -> dict:
-        return {"toxic": self.toxic, "ordinary": self.ordinary, "weights": self.weights, "_made": None}
+        return {"pairs": self.pairs, "weights": self.weights, "_made": None}
 
     def made(self) -> tuple:
         if self._made is None:
-            self._made = (compressor(self.ordinary), compressor(self.toxic), {})
+            self._made = ([(compressor(a), compressor(b)) for a, b in self.pairs], {})
         return self._made
 
-    def savings(self, words: list[bytes]) -> np.ndarray:
-        """For each window the bytes that the toxic dictionary saves against the ordinary one."""
-        plain, toxic, known = self.made()
-        if len(known) > KEPT_WINDOWS:
-            known.clear()
-        for w in set(words).difference(known):
-            x = CARRIER + b" " + w + b" "
-            known[w] = len(plain.compress(x)) - len(toxic.compress(x))
-        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+    def saving(self, window: bytes) -> int:
+        pairs, known = self.made()
+        least = known.get(window)
+        if least is None:
+            x, least = CARRIER + b" " + window + b" " + CARRIER, 99
+            for ordinary, toxic in pairs:
+                least = min(least, len(ordinary.compress(x)) - len(toxic.compress(x)))
+                if least < LADDER[0]:
+                    break  # no threshold is reached, whatever the others say
+            if len(known) >= KEPT_WINDOWS:
+                known.clear()
+            known[window] = least
+        return least
 
     def features(self, text: str) -> list[float]:
-        words = windows(text)
-        if not words:
-            return [0.0] * (2 * len(BYTES_SAVED) + 2 * len(SHARE_SAVED))
-        saved = self.savings(words)
-        share = saved / np.fromiter((len(w) + 1 for w in words), np.float64, len(words))
-        counts = [*((saved >= k).sum() for k in BYTES_SAVED), *((share >= k).sum() for k in SHARE_SAVED)]
-        return [math.log1p(x) for x in counts[: len(BYTES_SAVED)]] + [math.log1p(x) for x in counts[len(BYTES_SAVED) :]] + [20.0 * x / len(words) for x in counts]
+        saved = np.array([self.saving(w) for w in windows(text)], np.float64)
+        counts = [int((saved >= k).sum()) for k in LADDER]
+        n = max(1, len(saved))
+        return [*(math.log1p(c) for c in counts), *(20.0 * c / n for c in counts), float(np.maximum(saved, 0).sum()) / n]
 
     def score(self, text: str) -> float:
         if not self.weights:
@@ -84,36 +114,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=9, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
-    held.precompute_compress(compression_params=how)
-    return zstandard.ZstdCompressor(compression_params=how, dict_data=held)
-
-
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Dictionaries of the text most typical of each label, behind common ordinary text; then the calibration."""
-    by_label: list[Counter] = [Counter(), Counter()]
-    sizes = [0, 0]
-    for text, label in rows:
-        by_label[label].update(set(windows(text)) - {b""})
-        sizes[label] += 1
-    if not all(sizes):
-        return Model()
-
-    def typical(label: int, least: int) -> list[bytes]:
-        own, other = by_label[label], by_label[1 - label]
-        lift = {w: n / sizes[label] * math.log((n + 0.5) / sizes[label] / ((other[w] + 0.5) / sizes[1 - label])) for w, n in own.items() if n >= least}
-        return sorted(lift, key=lambda w: (lift[w], w))[-N_TYPICAL:]
-
-    common = b" ".join([w for w, _ in sorted(by_label[0].items(), key=lambda x: (-x[1], x[0]))[:N_COMMON]][::-1]) + b" "
-    model = Model(common + b" ".join(typical(1, 3)) + b" " + CARRIER, common + b" ".join(typical(0, 5)) + b" " + CARRIER)
-    x, y = np.array([model.features(t) for t, _ in rows]), np.array([label for _, label in rows], np.float64)
-    model.weights = logistic(x, y).tolist()
-    return model
-
-
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0) -> np.ndarray:
     """Newton's method."""
     x = np.column_stack((np.ones(len(x)), x))
     w, n = np.zeros(x.shape[1]), len(x)
@@ -125,15 +126,48 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2)
     return w
 
 
-def learned(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on labelled rows outside the test fold. The ids joined are at most 5 * SAMPLE, so they are broadcast."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic, part: the fitting rows outside the test fold. Parts from 0 train a dictionary each, part PARTS calibrates. The ids joined are at most 5 * SAMPLE, so they are broadcast."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter((crc_of_id() % FOLDS != TEST_FOLD) & F.col("toxic").isin(0, 1))
     of = lambda k: known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE if k else 4 * SAMPLE)
     ids = of(0).unionByName(of(1)).select(F.col("doc_id").alias("id"), "toxic")
-    texts = docs.select("doc_id", F.substring(text_or_empty(), 1, FIT_CHARS).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
-    rows = texts.select("text", "toxic", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(5 * SAMPLE).collect()
-    return fit([(r["text"], int(r["toxic"])) for r in rows])
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    # copies of a text are in one part, so that calibration doesn't meet what a dictionary has seen
+    part = F.pmod(F.xxhash64("text"), F.lit(2 * PARTS)).cast("int")
+    return written(rows.select("text", "toxic", F.least(part, F.lit(PARTS)).alias("part")).dropDuplicates(["text", "toxic"]), "sample")
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    rows = sample(docs, labels)
+    if {r["toxic"] for r in rows.select("toxic").distinct().collect()} != {0, 1}:
+        return Model()
+
+    def train(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        toxic, part = key[0].as_py(), key[1].as_py()
+        content = trained(table.column("text").to_pylist(), SHARED_BYTES if part == SHARED else PART_BYTES)
+        return pa.table({"toxic": pa.array([toxic], pa.int32()), "part": pa.array([part], pa.int32()), "content": pa.array([content], pa.binary())})
+
+    fitting = rows.filter(F.col("part") < PARTS).withColumn("toxic", F.col("toxic").cast("int"))
+    both = fitting.unionByName(fitting.filter("toxic = 0").withColumn("part", F.lit(SHARED)))
+    found = both.groupBy("toxic", "part").applyInArrow(train, "toxic int, part int, content binary").collect()
+    content = {(r["toxic"], r["part"]): bytes(r["content"]) for r in found}
+    shared = content.get((0, SHARED), b"")
+    model = Model([(shared + content.get((0, k), b"") + CARRIER, shared + content.get((1, k), b"") + CARRIER) for k in range(PARTS)])
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [known.value.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+
+    rest = rows.filter(F.col("part") == PARTS).select("text", F.col("toxic").cast("int").alias("toxic")).repartition(8)
+    measured = rest.mapInArrow(measure, "toxic int, x array<double>").collect()
+    if len({r["toxic"] for r in measured}) == 2:
+        x, y = np.array([r["x"] for r in measured]), np.array([r["toxic"] for r in measured], np.float64)
+        order = np.lexsort((*x.T, y))
+        model.weights = logistic(x[order], y[order]).tolist()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
