@@ -17,6 +17,31 @@ TAILS = ".,"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
+#: A character that no text is split at; texts that have it, or white space in runs that form pieces, are split by CHUNK.
+MARK = "\x1f"
+OTHER_SPACE = [x for x in SPACE if x not in " \n"]
+RUN = re.compile(f"[{SPACE}]{{3}}|[{SPACE}]{{2}}\\Z")
+
+
+def split(text: str) -> list[str]:
+    """Chunks of a text: before each space and around each line feed, unless longer runs of white space call for CHUNK."""
+    doubtful = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(x in text for x in OTHER_SPACE)
+    if MARK in text or (doubtful and RUN.search(text)):
+        return CHUNK.findall(text)
+    return [x for x in text.replace(" ", MARK + " ").replace("\n", f"{MARK}\n{MARK}").split(MARK) if x]
+
+
+class Known(dict):
+    """Chunks and their packed ids; what is asked for and missing is noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.missing: list[str] = []
+
+    def __missing__(self, chunk: str) -> None:
+        self.missing.append(chunk)
+
+
 class ChunkTable:
     """Texts to packed ids (uint16 or uint32, little-endian) by way of chunks kept from earlier texts.
 
@@ -26,7 +51,7 @@ class ChunkTable:
 
     def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], added: dict[str, bytes], most: int = 700_000):
         self.encode_chunks, self.added, self.most = encode_chunks, added, most
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
         self.tails = dict(zip(TAILS, encode_chunks(list(TAILS)), strict=True))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
@@ -36,15 +61,28 @@ class ChunkTable:
             if self.cut and self.cut.search(text):
                 found = []
                 for piece in self.cut.split(text):
-                    found += [piece] if piece in self.added else CHUNK.findall(piece)
+                    found += [piece] if piece in self.added else split(piece)
                 parts.append(found)
             else:
-                parts.append(CHUNK.findall(text))
+                parts.append(split(text))
         if len(self.known) > self.most:
-            self.known = {}
-        packed = [list(map(self.known.get, found)) for found in parts]
-        missing = [[i for i, x in enumerate(row) if x is None] for row in packed]
-        wanted = {found[i] for found, row in zip(parts, missing, strict=True) for i in row}
+            self.known = Known()
+        rows, gaps = [], []
+        for found in parts:
+            asked = len(self.known.missing)
+            rows.append(list(map(self.known.__getitem__, found)))
+            gaps.append(len(self.known.missing) - asked)
+        if self.known.missing:
+            self.learn(set(self.known.missing))
+        for found, row, n in zip(parts, rows, gaps, strict=True):
+            at = -1
+            for _ in range(n):
+                at = row.index(None, at + 1)
+                row[at] = self.known[found[at]]
+        return [b"".join(row) for row in rows]
+
+    def learn(self, wanted: set[str]) -> None:
+        self.known.missing = []
         added = [x for x in wanted if x in self.added]
         ended = [x for x in wanted if x[-1] in self.tails and x[-2:-1].isalpha() and x not in self.added]
         wanted.difference_update(added, ended)
@@ -54,7 +92,3 @@ class ChunkTable:
         self.known.update(zip(new, self.encode_chunks(new), strict=True))
         self.known.update((x, self.known[x[:-1]] + self.tails[x[-1]]) for x in ended)
         self.known.update((x, self.added[x]) for x in added)
-        for found, row, places in zip(parts, packed, missing, strict=True):
-            for i in places:
-                row[i] = self.known[found[i]]
-        return [b"".join(row) for row in packed]

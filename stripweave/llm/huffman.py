@@ -13,6 +13,7 @@ table gives no segments and no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -132,9 +133,12 @@ class Encoder:
     together, a line feed between them, which is a piece and an id of its own."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each core has a task of its own
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if resize := getattr(self.library.model, "_resize_cache", None):
+            resize(0)  # chunks are kept in a table of our own; words that come here are new
         self.n = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.n <= 1 << 16 else "<u4")
         added = {t.content: np.array([i], self.dtype).tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
