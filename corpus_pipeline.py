@@ -1,4 +1,9 @@
-"""A training corpus in five stages; each works on all rows that the one before it kept."""
+"""A training corpus in five stages; each works on all rows that the one before it kept.
+
+Null or empty texts fail the quality rules, so they end there. Very long texts are worked on whole. Repeated rows and equal
+texts become one row in the second stage. Null lang or source: a value of its own. Null doc_id: kept. Ties fall by doc_id.
+An empty table gives no rows. Other columns are carried as they are, whatever their names; the last stage returns its own.
+"""
 
 from __future__ import annotations
 
@@ -43,7 +48,7 @@ STAGES = [
     ("mixing sources", mixture),
     ("bpe tokens", tokens),
 ]
-#: SQL can't express MCD estimates and BPE; tests hold the stages against plain versions.
+#: SQL can't express MCD estimates and BPE; tests hold the stages' operators against plain versions.
 ORACLE_SQL = None
 
 
