@@ -1,9 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Candidates of all kinds are found in every whole text; their hashes are counted over distinct
-repositories and owners. A hash with `COPIED` owners or more is a widely copied example; one with
-a single owner is owner-specific and looks live; the rest is undecided. Here an owner is a source, a
-repository a (source, lang).
+Candidates of all kinds are found in every whole text, once; their hashes are counted over distinct
+repositories and owners. A hash with `COPIED` owners or `SPREAD` repositories or more is a widely copied example; any
+other is owner-specific and looks live. Here an owner is a source, a repository a (source, lang).
 
 Null text: the empty text. Null owner or repository: a value of its own. Empty texts: no spans, the
 hash of the empty string. Repeated rows count once for each repository. Positions are code
@@ -16,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, text_or_empty, written
 
-COPIED = 3
+COPIED, SPREAD = 3, 6
 #: Kind, pattern, group that holds the secret, its least length. The first three are the base kinds.
 KINDS = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -81,21 +80,25 @@ def verdicts(scanned: DataFrame) -> DataFrame:
     holders = scanned.filter(F.size("found") > 0).select("doc_id", listed(F.col("found")).alias("listed"), F.col("found.hash").alias("hashes")).dropDuplicates(["doc_id", "listed"])
     each = holders.select("doc_id", "listed", F.explode(F.array_distinct("hashes")).alias("hash")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     each = each.join(owners, ["hash", "salt"])
-    live, copied = F.col("n_owners") == 1, F.col("n_owners") >= COPIED
+    copied = (F.col("n_owners") >= COPIED) | (F.col("n_repositories") >= SPREAD)
+    live = ~copied
     return each.groupBy("doc_id", "listed").agg(F.collect_set(F.when(live, F.col("hash"))).alias("live"), F.count(F.when(live, 1)).alias("n_live"), F.count(F.when(copied, 1)).alias("n_copied"))
 
 
 def joined(rows: DataFrame, scanned: DataFrame) -> DataFrame:
-    """rows (doc_id, listed, ..) with the verdicts on their secrets."""
+    """rows (doc_id, found, listed, ..) with the verdicts on their secrets; rows without spans stay where they are."""
     v = verdicts(scanned).select(F.col("doc_id").alias("v_id"), F.col("listed").alias("v_listed"), "live", "n_live", "n_copied")
-    return rows.join(v, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("listed") == F.col("v_listed")), "left").drop("v_id", "v_listed")
+    same = F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("listed") == F.col("v_listed"))
+    held = rows.filter(F.size("found") > 0).join(v, same, "left").drop("v_id", "v_listed")
+    none = {"live": F.lit(None).cast("array<string>"), "n_live": F.lit(0).cast("long"), "n_copied": F.lit(0).cast("long")}
+    return rows.filter(F.size("found") == 0).withColumns(none).unionByName(held)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    scanned = scan(docs, "source", "lang")
+    scanned = written(scan(docs, "source", "lang"), "spans")
     count = lambda k: F.size(F.filter("found", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k][0]}")
     base = listed(F.filter("found", lambda x: x["k"] < BASE))
-    rows = scanned.select("doc_id", *[count(k) for k in range(BASE)], F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("listed"))
+    rows = scanned.select("doc_id", "found", *[count(k) for k in range(BASE)], F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("listed"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c.replace("n_live", "n_owner_specific").replace("n_copied", "n_widely_copied"))
     return joined(rows, scanned).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("listed").alias("spans"), zero("n_live"), zero("n_copied"))
 
@@ -103,8 +106,8 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with live-looking secrets' spans replaced; widely copied examples stay. Overlapping spans become one. Other columns stay as they are."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    rows = scan(docs.select("doc_id", "text", whole), "whole").withColumn("listed", listed(F.col("found")))
-    rows = joined(rows, scan(docs, "source", "lang"))
+    rows = written(scan(docs.select("doc_id", "text", "source", "lang", whole), "source", "lang", "whole"), "spans")
+    rows = joined(rows.withColumn("listed", listed(F.col("found"))), rows.drop("whole"))
     spans = F.filter("found", lambda x: F.array_contains(F.col("live"), x["hash"]))
 
     def step(acc: Column, x: Column) -> Column:
