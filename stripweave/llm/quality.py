@@ -1,14 +1,15 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant estimates.
 
-Each (lang, source) has its own centre and scatter of transformed text statistics: from two
-robust starts, concentration steps take the share `H` of rows with the least Mahalanobis distance
-and estimate again; the start with the smaller determinant counts. Groups under `LEAST` rows take
-the rows of their language, languages under it all rows; under `LEAST` rows in all nothing is
-rejected. Statistics are whole numbers (thousandths), so sums are exact and reruns agree.
+Each (lang, source), each language and the whole table has its own centre and scatter of transformed text statistics: from
+two robust starts, concentration steps take the share `H` of rows with the least Mahalanobis distance
+and estimate again; the start with the smaller determinant counts. A group's estimates are then drawn towards those of
+its language, and these towards the whole table's, as if `PRIOR` rows of the wider group were in it; so groups of every size are
+judged alike, and small ones mostly by what is usual around them. Statistics are whole numbers (thousandths), so sums
+are exact and reruns agree.
 
 Null text: no words, so base_failed. Null lang or source: a value of its own. Empty and very long
 texts, ties and repeated rows: every row is judged alone, equal rows alike. An empty table gives no
-rows. Only doc_id, text, lang and source are read.
+rows. Only doc_id, text, lang and source are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import GAP, documents, text_or_empty, written
 
-H, STEPS, LEAST = 0.75, 4, 60
+H, STEPS, PRIOR = 0.75, 4, 60
 #: Least standard deviation of each statistic, in thousandths, so that constant statistics have a scale.
 FLOOR = 300
 #: Squared distance beyond which a document is rejected (ten robust standard deviations: only gross outliers go).
@@ -82,19 +83,14 @@ def named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("k_lang", name("lang")).withColumn("k_both", F.concat(F.length("k_lang"), F.lit(":"), F.col("k_lang"), name("source")))
 
 
-def group_keys(rows: DataFrame) -> DataFrame:
-    """b, key: for each language and source the group whose estimates judge it; null if there are too few rows in all."""
-    n = written(named(rows).filter(~F.col("base_failed")).groupBy("k_lang", "k_both").agg(F.count("*").alias("n")), "groups")
-    of_lang = n.groupBy(F.col("k_lang").alias("l")).agg(F.sum("n").alias("n_lang"))
-    total = n.agg(F.sum("n")).first()[0] or 0
-    key = F.when(F.col("n") >= LEAST, F.col("k_both")).when(F.col("n_lang") >= LEAST, F.col("k_lang"))
-    if total >= LEAST:
-        key = F.coalesce(key, F.lit("all"))
-    return small(written(n.join(of_lang, F.col("k_lang") == F.col("l")).select(F.col("k_both").alias("b"), key.alias("key")), "keys"), n.count())
+#: Name of the group of all rows.
+ALL = "all"
 
 
-def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    return named(rows).join(keys, F.col("k_both") == F.col("b"), "left").drop("b", "k_lang", "k_both")
+def with_levels(rows: DataFrame) -> DataFrame:
+    """key: each row once for its (lang, source), once for its language and once for all."""
+    keys = F.array(F.concat(F.lit("b"), "k_both"), F.concat(F.lit("l"), "k_lang"), F.lit(ALL))
+    return named(rows).select(F.explode(keys).alias("key"), *STATS)
 
 
 def small(table: DataFrame, n: int) -> DataFrame:
@@ -102,29 +98,49 @@ def small(table: DataFrame, n: int) -> DataFrame:
     return F.broadcast(table) if n <= BROADCAST_KEYS else table
 
 
+P = len(STATS)
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
 def estimates(subset: DataFrame) -> DataFrame:
-    """Mean m0.., lower Cholesky factor c00.. of the covariance and log-determinant, by key and start."""
-    p = len(STATS)
+    """n, mean m0.. and covariance v00.. by key and start."""
     sums = subset.groupBy("key", "start").agg(
         F.count("*").alias("n"),
         *[F.sum(c).alias(f"x{i}") for i, c in enumerate(STATS)],
-        *[F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"x{i}{j}") for i in range(p) for j in range(i + 1)],
+        *[F.sum((F.col(STATS[i]) * F.col(STATS[j])).cast("decimal(38,0)")).cast("double").alias(f"x{i}{j}") for i, j in PAIRS],
     )
-    out = sums.select("key", "start", *[(F.col(f"x{i}") / F.col("n")).alias(f"m{i}") for i in range(p)], *[(F.col(f"x{i}{j}") / F.col("n") - F.col(f"x{i}") / F.col("n") * (F.col(f"x{j}") / F.col("n")) + (FLOOR**2 if i == j else 0)).alias(f"v{i}{j}") for i in range(p) for j in range(i + 1)])
-    for j in range(p):
+    mean = lambda i: F.col(f"x{i}") / F.col("n")
+    covariance = lambda i, j: F.col(f"x{i}{j}") / F.col("n") - mean(i) * mean(j) + (FLOOR**2 if i == j else 0)
+    return sums.select("key", "start", "n", *[mean(i).alias(f"m{i}") for i in range(P)], *[covariance(i, j).alias(f"v{i}{j}") for i, j in PAIRS])
+
+
+def factored(table: DataFrame) -> DataFrame:
+    """Adds the lower Cholesky factor c00.. of the covariance and its log-determinant."""
+    out = table
+    for j in range(P):
         out = out.withColumn(f"c{j}{j}", F.sqrt(F.greatest(F.col(f"v{j}{j}") - sum((F.col(f"c{j}{k}") ** 2 for k in range(j)), F.lit(0.0)), F.lit(1.0))))
-        out = out.withColumns({f"c{i}{j}": (F.col(f"v{i}{j}") - sum((F.col(f"c{i}{k}") * F.col(f"c{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"c{j}{j}") for i in range(j + 1, p)})
-    out = out.withColumn("log_det", sum((F.log(f"c{j}{j}") for j in range(p)), F.lit(0.0)))
-    return out.select("key", "start", "log_det", *[f"m{i}" for i in range(p)], *[f"c{i}{j}" for i in range(p) for j in range(i + 1)])
+        out = out.withColumns({f"c{i}{j}": (F.col(f"v{i}{j}") - sum((F.col(f"c{i}{k}") * F.col(f"c{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"c{j}{j}") for i in range(j + 1, P)})
+    return out.withColumn("log_det", sum((F.log(f"c{j}{j}") for j in range(P)), F.lit(0.0)))
+
+
+def drawn(own: DataFrame, wider: DataFrame) -> DataFrame:
+    """own: key, parent, n, m, v, scale; wider: the same by key. own as if PRIOR rows of the wider group were among its rows."""
+    w = wider.select(F.col("key").alias("w_key"), *[F.col(c).alias(f"w_{c}") for c in (*(f"m{i}" for i in range(P)), *(f"v{i}{j}" for i, j in PAIRS), "scale")])
+    rows = own.join(w, F.col("parent") == F.col("w_key"))
+    share = F.col("n") / (F.col("n") + PRIOR)
+    blend = lambda c: share * F.col(c) + (1 - share) * F.col(f"w_{c}")
+    apart = lambda i: F.col(f"m{i}") - F.col(f"w_m{i}")
+    means = [blend(f"m{i}").alias(f"m{i}") for i in range(P)]
+    covariances = [(blend(f"v{i}{j}") + share * (1 - share) * apart(i) * apart(j)).alias(f"v{i}{j}") for i, j in PAIRS]
+    return rows.select("key", "n", *means, *covariances, blend("scale").alias("scale"))
 
 
 def distance(rows: DataFrame) -> DataFrame:
     """Squared Mahalanobis distance d by forward substitution; rows have the columns of estimates()."""
-    p = len(STATS)
-    for i in range(p):
+    for i in range(P):
         z = (F.col(STATS[i]) - F.col(f"m{i}") - sum((F.col(f"c{i}{k}") * F.col(f"z{k}") for k in range(i)), F.lit(0.0))) / F.col(f"c{i}{i}")
         rows = rows.withColumn(f"z{i}", z)
-    return rows.withColumn("d", sum((F.col(f"z{i}") ** 2 for i in range(p)), F.lit(0.0))).drop(*[f"z{i}" for i in range(p)])
+    return rows.withColumn("d", sum((F.col(f"z{i}") ** 2 for i in range(P)), F.lit(0.0))).drop(*[f"z{i}" for i in range(P)])
 
 
 def cut_at(rows: DataFrame, share: float) -> DataFrame:
@@ -151,7 +167,7 @@ def mcd(rows: DataFrame, n_keys: int) -> DataFrame:
     for _ in range(STEPS):
         starts = starts.withColumn("q", in_steps(F.col("d"))).select("key", "start", "q", *STATS)
         subset = starts.join(small(cut_at(starts, H), 2 * n_keys), ["key", "start"]).filter(F.col("q") <= F.col("at"))
-        found = written(estimates(subset), "estimates")
+        found = written(factored(estimates(subset)), "estimates")
         starts = distance(rows.join(small(found, 2 * n_keys), "key"))
     best = found.groupBy("key").agg(F.min(F.struct("log_det", "start")).alias("best"))
     found = found.join(best, "key").filter(F.col("best.start") == F.col("start")).drop("best")
@@ -160,17 +176,40 @@ def mcd(rows: DataFrame, n_keys: int) -> DataFrame:
     return found.join(half, "key")
 
 
+def in_levels(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """b: the group's name k_both; estimates of each group, drawn towards its language and all rows."""
+    groups = named(rows).select("k_lang", "k_both").distinct()
+    n = {"n": F.col("rows")}
+    counts = with_levels(rows.filter(~F.col("base_failed"))).groupBy("key").agg(F.count("*").alias("rows"))
+    found = written(found.drop("n").join(counts, "key").withColumns(n).select("key", "n", *[f"m{i}" for i in range(P)], *[f"v{i}{j}" for i, j in PAIRS], "scale"), "levels")
+    whole = found.filter(F.col("key") == ALL)
+    lang = groups.select(F.concat(F.lit("l"), "k_lang").alias("k"), F.lit(ALL).alias("parent")).distinct()
+    lang = drawn(of_groups(lang, found, whole), whole)
+    both = groups.select(F.concat(F.lit("b"), "k_both").alias("k"), F.concat(F.lit("l"), "k_lang").alias("parent"))
+    both = drawn(of_groups(both, found, lang), lang)
+    return factored(both).withColumn("b", F.substring("key", 2, 1 << 30))
+
+
+def of_groups(groups: DataFrame, found: DataFrame, wider: DataFrame) -> DataFrame:
+    """groups: k, parent, with their own estimates; a group without any rows to learn from has its parent's, with no weight."""
+    names = [*(f"m{i}" for i in range(P)), *(f"v{i}{j}" for i, j in PAIRS), "scale"]
+    own = groups.join(found, F.col("k") == F.col("key"), "left").drop("key")
+    up = wider.select(F.col("key").alias("up"), *[F.col(c).alias(f"up_{c}") for c in names])
+    rows = own.join(up, F.col("parent") == F.col("up"))
+    return rows.select(F.col("k").alias("key"), "parent", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, f"up_{c}").alias(c) for c in names])
+
+
 class Judge:
     """The estimates learned from all documents, and their verdicts on rows that have the statistics."""
 
     def __init__(self, rows: DataFrame):
-        self.keys = group_keys(rows)
-        passed = with_keys(rows, self.keys).filter(~F.col("base_failed") & F.col("key").isNotNull()).select("key", *STATS)
-        self.n_keys = passed.select("key").distinct().count()
-        self.found = written(mcd(passed, self.n_keys), "mcd")
+        passed = with_levels(rows.filter(~F.col("base_failed")))
+        self.n_keys = named(rows).select("k_lang", "k_both").distinct().count() * 2 + 1
+        self.found = written(in_levels(rows, mcd(passed, self.n_keys)), "mcd")
 
     def judged(self, rows: DataFrame) -> DataFrame:
-        rows = distance(with_keys(rows, self.keys).join(small(self.found, self.n_keys), "key", "left"))
+        """Where no row at all passed the base rules, nothing is known and distance is null; no row is kept then either."""
+        rows = distance(named(rows).join(small(self.found.drop("key", "n"), self.n_keys), F.col("k_both") == F.col("b"), "left"))
         rows = rows.withColumn("distance", F.col("d") / F.col("scale"))
         return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
 
