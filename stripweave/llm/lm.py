@@ -1,145 +1,254 @@
-"""Language-model scoring by deleted interpolation of unigram and bigram estimates.
-
-P(w | v) = L(b) * c(v, w) / c(v) + (1 - L(b)) * (c(w) + 1) / (N + V + 1), where b is the bucket of the
-context's frequency c(v), in octaves. The weights L are learned by expectation-maximisation on the
-events of held-out training documents, whose own counts are deleted from the estimates meanwhile; the
-final estimates count all training documents.
-
-Counting all n-grams as rows would shuffle several times the input, so n-grams travel packed: documents
-are dealt over chunks of about `CHUNK_BYTES`, a chunk sends each hash range its sorted distinct n-gram
-hashes and counts, the range adds them up over all chunks and answers in the same order. A chunk then
-scores its documents with the answers to its own n-grams. Nothing but the weights, N, V and a histogram
-of bounded size (buckets by quantised estimates) passes the driver.
-
-Words are hashed to 64 bits, bigrams to 48. Null text: the empty text, which is one end token. Empty training set:
-N = V = 0. Null doc_id: its id counts as the empty text for the split. Repeated rows count as often as
-they come and get equal scores. An empty table gives no rows. Only doc_id and text are read.
+"""Language-model scoring by deleted interpolation of trigram, bigram and unigram estimates.
+
+    P3(w | u, v) = L3(b) * c(u, v, w) / c(u, v) + (1 - L3(b)) * P2(w | v)     b: bucket (octave) of the context's count c(u, v)
+    P2(w | v)    = L2(b) * c(v, w) / c(v)       + (1 - L2(b)) * P1(w)         b: bucket of c(v)
+    P1(w)        = L1    * c(w) / N             + (1 - L1) / (V + 1)
+
+All estimates are maximum-likelihood ones. The weights are learned by expectation-maximisation over all events of
+held-out training documents, whose own counts are deleted from the estimates meanwhile; the final estimates count
+all training documents.
+
+Counting all n-grams as rows would shuffle several times the input, so n-grams travel packed. Documents are packed once
+into chunks of about `CHUNK_BYTES`, one row each; a chunk sends each hash range (of about `RANGE_BYTES` of text) its
+sorted distinct n-gram hashes and counts, the range adds them up over all chunks and answers in the same order, only
+with what other chunks have. A chunk then scores its documents with the answers to its own n-grams. There are at
+most (chunks * ranges) messages and never more than n-grams, since empty ones aren't sent. The held-out events are
+written as arrays of their chunk, and each round of EM adds up its expectations by bucket. Nothing but the weights, their
+expectations by bucket, N and V passes the driver.
+
+Words are hashed to 64 bits, longer n-grams to as many as keep chance collisions rare in this corpus (44 to 64,
+under 1e-4 of them). Null text: the
+empty text, which is one end token. Empty training set: N = V = 0. Null doc_id: its id counts as the empty text for the
+split. Very long texts: whole, in a chunk of their own if need be. Ties don't matter; repeated rows count as often as
+they come and get equal scores. An empty table gives no rows. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, documents, text_or_empty, written
+from .common import crc_of_id, documents, lean_memory, pieces, text_or_empty, written
 from .jaccard import STEP, U, mixed, word_hashes
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES, RANGE_BYTES, PARTS = 3 << 20, 8 << 20, 8
 FOLDS, TEST_FOLD, EM_FOLDS = 7, 2, 8
-BUCKETS, GRAIN, ROUNDS = 24, 8, 60
+BUCKETS, ROUNDS, GAIN = 24, 15, 1e-5
 BEGIN, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
-#: Classes of documents, the remainder of their chunk by 3.
+LEVELS = (1, 2, 3)
+#: Classes of documents: held out for the weights, other training documents, and the test fold.
 HELD, KEPT, TEST = 0, 1, 2
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Whole numbers in the fewest bytes of 1, 2, 4 or 8; the first byte says which."""
-    top = int(x.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+def squeezed(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64) if raw else np.zeros(0, np.int64)
+def grown(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def packed_counts(x: np.ndarray) -> bytes:
+    """Counts, one byte each; from 255 on the rest follows in eight."""
+    return squeezed(len(x).to_bytes(8, "little") + np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes())
+
+
+def unpacked_counts(raw: bytes) -> np.ndarray:
+    data = grown(raw)
+    n = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=8 + n)
+    return out
 
 
 def packed_sorted(x: np.ndarray) -> bytes:
-    return packed(np.diff(x, prepend=U(0)))
+    """Steps between ascending hashes, their bytes by significance, so that the upper ones shrink."""
+    return squeezed(np.diff(x, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpacked_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(U), dtype=U)
+    steps = np.ascontiguousarray(np.frombuffer(grown(raw), np.uint8).reshape(8, -1).T)
+    return np.cumsum(steps.view(U).reshape(-1), dtype=U)
 
 
 class Events:
-    """The tokens of a chunk's documents: words, then one end for each."""
-
-    def __init__(self, texts: pa.Array):
-        words, row = word_hashes(texts)
-        n = len(texts)
+    """The tokens of a chunk's documents (words, then one end for each), and its distinct n-grams with their counts.
+
+    hashes, counts: by level. of: each event's place in them; context: the place of its context in the level below.
+    Contexts before the first word are counted as well, once for each document.
+    """
+
+    def __init__(self, texts: pa.Array, bits: int):
+        words, rows, first = [], [], 0
+        for piece in pieces([pa.RecordBatch.from_arrays([texts], ["text"])], limit=1 << 18):
+            found, row = word_hashes(piece.column(0))
+            words.append(found)
+            rows.append(row + first)
+            first += len(piece)
+        word, row, n = np.concatenate(words), np.concatenate(rows), len(texts)
         counts = np.bincount(row, minlength=n)
         ends = np.cumsum(counts + 1) - 1
-        self.row = np.repeat(np.arange(n), counts + 1)
-        self.token = np.empty(len(words) + n, U)
-        is_word = np.ones(len(self.token), bool)
+        starts = ends - counts
+        self.n, self.row = n, np.repeat(np.arange(n, dtype=np.int32), counts + 1)
+        token = np.empty(len(word) + n, U)
+        is_word = np.ones(len(token), bool)
         is_word[ends] = False
-        self.token[is_word], self.token[ends] = words, END
-        self.before = np.concatenate(([BEGIN], self.token[:-1]))
-        self.before[ends[:-1] + 1] = BEGIN
-        self.n = n
-        pair = mixed(mixed(self.before) * STEP + self.token) >> U(16)
-        self.ones, self.one = np.unique(np.concatenate((self.token, np.full(n, BEGIN, U))), return_inverse=True)
-        self.twos, self.two = np.unique(pair, return_inverse=True)
-        self.one_counts, self.two_counts = np.bincount(self.one), np.bincount(self.two)
-        self.of_before = np.searchsorted(self.ones, self.before)
-        self.one = self.one[: len(self.token)]
+        token[is_word], token[ends] = word, END
+        before = np.concatenate(([BEGIN], token[:-1]))
+        before[starts] = BEGIN
+        two_before = np.concatenate(([BEGIN], before[:-1]))
+        two_before[starts] = BEGIN
+        drop = U(64 - bits)
+        follow = lambda h, x: mixed(h * STEP + x)
+        pair_of = lambda u, v: follow(mixed(u), v)
+        edge = np.full(n, BEGIN, U)
+        self.hashes, self.counts, self.of = [], [], []
+        of_level = (lambda: np.concatenate((token, edge)), lambda: np.concatenate((pair_of(before, token), pair_of(edge, edge))) >> drop, lambda: follow(pair_of(two_before, before), token) >> drop)
+        for hashes in of_level:  # one level in memory at a time
+            distinct, place, count = np.unique(hashes(), return_inverse=True, return_counts=True)
+            self.hashes.append(distinct)
+            self.counts.append(count.astype(np.int32))
+            self.of.append(place.astype(np.int32))
+        self.context = []
+        for k in (0, 1):  # an event's context is the n-gram before it, or that of the text's edge
+            place = self.of[k]
+            context = np.concatenate((np.zeros(1, np.int32), place[: len(token) - 1]))
+            context[starts] = place[len(token) :]
+            self.context.append(context)
+            self.of[k] = place[: len(token)]
+
+
+MESSAGE = "chunk long, kind int, range int, " + ", ".join(f"h{k} binary, c{k} binary" for k in LEVELS)
+ANSWER = "chunk long, kind int, range int, " + ", ".join(f"a{k} binary, d{k} binary" for k in LEVELS) + ", n_all long, v_all long, n_kept long, v_kept long"
+CHUNK = "chunk long, kind int, ids array<bigint>, sizes array<bigint>, texts binary"
+
+
+def as_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "double": pa.float64()}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+
+def chunks_of(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Documents packed by kind, written once: ids, sizes in bytes and the texts."""
+    fold = crc_of_id()
+    kind = F.when(fold % FOLDS == TEST_FOLD, TEST).when(F.floor(fold / FOLDS) % EM_FOLDS == 0, HELD).otherwise(KEPT)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        held: dict[int, list[tuple]] = {k: [] for k in (HELD, KEPT, TEST)}
+        total, first, n = dict.fromkeys(held, 0), TaskContext.get().partitionId() << 32, 0
 
-def cuts(sorted_hashes: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    edges = np.array([(k << bits) // buckets for k in range(1, buckets)], U)
-    return np.concatenate(([0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]))
+        def row(kind: int) -> pa.RecordBatch:
+            nonlocal n
+            ids, texts = zip(*held[kind], strict=True)
+            held[kind], total[kind], n = [], 0, n + 1
+            return as_batch([(first + n, kind, list(ids), [len(x) for x in texts], squeezed(b"".join(texts), 3))], CHUNK)
 
+        for batch in pieces(batches):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for doc_id, k, text in zip(batch.column("doc_id").to_pylist(), batch.column("kind").to_pylist(), texts, strict=True):
+                held[k].append((doc_id, text))
+                total[k] += len(text)
+                if total[k] >= chunk_bytes:
+                    yield row(k)
+        yield from (row(k) for k in held if held[k])
 
-REQUEST = "chunk long, bucket int, ones binary, one_counts binary, twos binary, two_counts binary"
-ANSWER = "chunk long, bucket int, one_all binary, one_held binary, two_all binary, two_held binary, n_all long, v_all long, n_held long, v_held long"
+    return written(docs.select("doc_id", text_or_empty().alias("text"), kind.cast("int").alias("kind")).mapInArrow(run, CHUNK), "chunks")
 
 
-def requests(rows: DataFrame, buckets: int) -> DataFrame:
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        e = Events(table.column("text").combine_chunks())
-        a, b = cuts(e.ones, 64, buckets), cuts(e.twos, 48, buckets)
-        out = []
-        for k in range(buckets):
-            s, t = slice(a[k], a[k + 1]), slice(b[k], b[k + 1])
-            if s.start < s.stop or t.start < t.stop:
-                out.append((key[0].as_py(), k, packed_sorted(e.ones[s]), packed(e.one_counts[s]), packed_sorted(e.twos[t]), packed(e.two_counts[t])))
-        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk", "bucket", "ones", "one_counts", "twos", "two_counts"])
+def events_of(sizes: list[int], texts: bytes, bits: int) -> Events:
+    lean_memory()
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(grown(texts))]
+    return Events(pa.Array.from_buffers(pa.large_binary(), len(sizes), buffers), bits)
+
+
+def edges(bits: int, ranges: int) -> np.ndarray:
+    return np.array([(k << bits) // ranges for k in range(1, ranges)], U)
 
-    return rows.groupBy("chunk").applyInArrow(run, REQUEST)
 
+def requests(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, kind, sizes, texts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "sizes", "texts")), strict=True):
+                e = events_of(sizes, texts, bits)
+                cuts = [np.concatenate(([0], np.searchsorted(h, edges(64 if k == 0 else bits, ranges)), [len(h)])) for k, h in enumerate(e.hashes)]
+                out = []
+                for r in range(ranges):
+                    parts = [slice(c[r], c[r + 1]) for c in cuts]
+                    if any(p.start < p.stop for p in parts):
+                        data = [f(x[p]) for p, h, c in zip(parts, e.hashes, e.counts, strict=True) for f, x in ((packed_sorted, h), (packed_counts, c))]
+                        out.append((chunk, kind, r, *data))
+                yield as_batch(out, MESSAGE)
 
-def added(hashes: list[np.ndarray], counts: list[np.ndarray], chunks: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct hashes, their counts in all training documents and in the held-out ones, and each request's places."""
+    return chunks.select("chunk", "kind", "sizes", "texts").mapInArrow(run, MESSAGE)
+
+
+def added(hashes: list[np.ndarray], counts: list[np.ndarray], kinds: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """For each message what others add to its own counts (all training documents; held-out ones); the distinct hashes with both totals."""
     distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    kind = np.repeat(np.array(chunks) % 3, [len(x) for x in hashes])
-    weight = np.concatenate(counts).astype(np.float64)
-    total = np.bincount(place, weight * (kind != TEST), len(distinct)).astype(np.int64)
-    held = np.bincount(place, weight * (kind == HELD), len(distinct)).astype(np.int64)
-    return distinct, total, held, np.split(place, np.cumsum([len(x) for x in hashes])[:-1])
+    lengths = [len(x) for x in hashes]
+    kind, own = np.repeat(kinds, lengths), np.concatenate(counts)
+    total, held = (np.bincount(place, own * w, len(distinct)).astype(np.int64) for w in (kind != TEST, kind == HELD))
+    cuts = np.cumsum(lengths)[:-1]
+    return np.split(total[place] - own * (kind != TEST), cuts), np.split(held[place] - own * (kind == HELD), cuts), distinct, total, held
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """For each request the global counts in its order; chunk -1 has the bucket's part of N and V (all, held out deleted)."""
+def answers(asked: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """For each message what other chunks have of its n-grams (a), and of them the held-out ones (d, for held-out chunks); chunk -1 has the range's part of N and V."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows, bucket = table.to_pydict(), key[0].as_py()
-        chunks = rows["chunk"]
-        ones, one_all, one_held, at_one = added([unpacked_sorted(x) for x in rows["ones"]], [unpacked(x) for x in rows["one_counts"]], chunks)
-        _, two_all, two_held, at_two = added([unpacked_sorted(x) for x in rows["twos"]], [unpacked(x) for x in rows["two_counts"]], chunks)
-        out = []
-        for chunk, i, j in zip(chunks, at_one, at_two, strict=True):
-            extra = (packed(one_held[i]), packed(two_held[j])) if chunk % 3 == HELD else (b"", b"")
-            out.append((chunk, bucket, packed(one_all[i]), extra[0], packed(two_all[j]), extra[1], 0, 0, 0, 0))
-        word, kept = ones != BEGIN, one_all - one_held
-        out.append((-1, bucket, b"", b"", b"", b"", int(one_all[word].sum()), int((one_all[word] > 0).sum()), int(kept[word].sum()), int((kept[word] > 0).sum())))
-        names = ["chunk", "bucket", "one_all", "one_held", "two_all", "two_held", "n_all", "v_all", "n_held", "v_held"]
-        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 4)
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
-
-
-def counts_of(table: pa.Table, name: str, n: int) -> np.ndarray:
-    """The answers of all buckets, one after the other."""
-    rows = table.sort_by("bucket").column(name).to_pylist()
-    out = np.concatenate([unpacked(x) for x in rows])
-    if len(out) != n:
-        raise ValueError(f"{len(out)} answers to {n} n-grams")
+        lean_memory()
+        r, kinds = key[0].as_py(), np.array(table.column("kind").to_pylist())
+        found: dict[str, list[bytes]] = {}
+        totals = np.zeros(4, np.int64)
+        for level in LEVELS:
+            hashes = [unpacked_sorted(x) for x in table.column(f"h{level}").to_pylist()]
+            counts = [unpacked_counts(x) for x in table.column(f"c{level}").to_pylist()]
+            width = 64 if level == 1 else bits
+            low, high = (r << width) // ranges, ((r + 1) << width) // ranges
+            inner = np.array([low + (high - low) * k // PARTS for k in range(1, PARTS)], U)
+            cuts = [np.concatenate(([0], np.searchsorted(h, inner), [len(h)])) for h in hashes]
+            others, deleted = [[] for _ in hashes], [[] for _ in hashes]
+            for p in range(PARTS):  # a part of the range at a time
+                part = [slice(c[p], c[p + 1]) for c in cuts]
+                a, d, distinct, total, held = added([h[s] for h, s in zip(hashes, part, strict=True)], [c[s] for c, s in zip(counts, part, strict=True)], kinds)
+                for k in range(len(hashes)):
+                    others[k].append(a[k])
+                    deleted[k].append(d[k])
+                if level == 1:
+                    word = distinct != BEGIN
+                    kept = (total - held)[word]
+                    totals += [total[word].sum(), (total[word] > 0).sum(), kept.sum(), (kept > 0).sum()]
+            found[f"a{level}"] = [packed_counts(np.concatenate(x)) for x in others]
+            found[f"d{level}"] = [packed_counts(np.concatenate(x)) if k == HELD else b"" for x, k in zip(deleted, kinds.tolist(), strict=True)]
+        rows = [(chunk, kind, r, *(found[f"{c}{level}"][i] for level in LEVELS for c in "ad"), 0, 0, 0, 0) for i, (chunk, kind) in enumerate(zip(table.column("chunk").to_pylist(), kinds.tolist(), strict=True))]
+        rows.append((-1, -1, r, *[b""] * (2 * len(LEVELS)), *totals.tolist()))
+        return pa.Table.from_batches([as_batch(rows, ANSWER)])
+
+    return asked.groupBy("range").applyInArrow(run, ANSWER)
+
+
+def all_counts(e: Events, kind: int, answered: pa.Table, deleted: bool) -> list[np.ndarray]:
+    """The chunk's n-grams' counts in all training documents; deleted: without the held-out ones."""
+    answered = answered.sort_by("range")
+    out = []
+    for level, own in zip(LEVELS, e.counts, strict=True):
+        of = lambda c: np.concatenate([unpacked_counts(x) for x in answered.column(f"{c}{level}").to_pylist()])  # noqa: B023, E731
+        others = of("a")
+        if len(others) != len(own):
+            raise ValueError(f"{len(others)} answers to {len(own)} n-grams")
+        out.append(others - of("d") if deleted else others + (own if kind != TEST else 0))
     return out
 
 
@@ -147,71 +256,143 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)  # 0 for a context never seen
 
 
-def histogram(rows: DataFrame, answered: DataFrame, n: int, v: int) -> DataFrame:
-    """bucket, low, high, n: held-out events by context bucket and quantised log2 estimates (high null: the bigram was not seen)."""
+def estimates(e: Events, counts: list[np.ndarray], n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Maximum-likelihood estimates of each event by level, and the buckets of its contexts (level 1 has one)."""
+    seen = [c[at] for c, at in zip(counts, e.of, strict=True)]
+    context = [counts[0][e.context[0]], counts[1][e.context[1]]]
+    f = [seen[0] / max(1, n), *(s / np.maximum(1, c) for s, c in zip(seen[1:], context, strict=True))]
+    return f, [np.ones(len(seen[0]), np.int64), *map(bucket_of, context)]
+
+
+@dataclass
+class Weights:
+    """Mixture weights by level and bucket."""
+
+    by_level: np.ndarray = field(default_factory=lambda: np.full((3, BUCKETS), 0.5))
+    floor: float = 1.0
+
+    def mix(self, f: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        """P1, P2, P3."""
+        out, p = [], self.floor
+        for k in range(3):
+            w = self.by_level[k][b[k]]
+            p = w * f[k] + (1 - w) * p
+            out.append(p)
+        return out
+
+    def expected(self, f: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
+        """level, bucket, expected events that the level explains, those that reach it; level 0: log-likelihood and events."""
+        p = self.mix(f, b)
+        reach, out = np.ones(len(p[2])), [(0, 0, float(np.log(p[2]).sum()), float(len(p[2])))]
+        for k in (2, 1, 0):
+            taken = reach * self.by_level[k][b[k]] * f[k] / p[k]
+            s, n = (np.bincount(b[k], x, BUCKETS) for x in (taken, reach))
+            out += [(k + 1, i, float(s[i]), float(n[i])) for i in np.flatnonzero(n).tolist()]
+            reach = reach - taken
+        return out
+
+    def stepped(self, sums: list[tuple[int, int, float, float]]) -> Weights:
+        """The maximisation step; buckets without events take their lower neighbour's weight."""
+        new = np.full_like(self.by_level, np.nan)
+        for level, bucket, s, n in sums:
+            if level and n > 0:
+                new[level - 1, bucket] = min(1 - 1e-6, max(1e-6, s / n))
+        new[1:, 0] = 0.0  # contexts never seen have no estimate
+        for k in range(3):
+            last = 0.5
+            for i in range(0 if k == 0 else 1, BUCKETS):
+                last = new[k, i] = last if math.isnan(new[k, i]) else new[k, i]
+        return Weights(new, self.floor)
+
+
+EVENTS = "f1 binary, f2 binary, f3 binary, b1 binary, b2 binary, b3 binary"
+
+
+def held_out_events(chunks: DataFrame, answered: DataFrame, n: int, bits: int) -> DataFrame:
+    """Estimates and buckets of the held-out events, deleted from all counts; one row for each chunk."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        e = Events(left.column("text").combine_chunks())
-        one = counts_of(right, "one_all", len(e.ones)) - counts_of(right, "one_held", len(e.ones))
-        two = counts_of(right, "two_all", len(e.twos)) - counts_of(right, "two_held", len(e.twos))
-        context, pair = one[e.of_before], two[e.two]
-        low = np.round(np.log2((one[e.one] + 1) / (n + v + 1)) * GRAIN).astype(np.int64)
-        high = np.where(pair > 0, np.round(np.log2(np.maximum(pair, 1) / np.maximum(context, 1)) * GRAIN), 1).astype(np.int64)
-        seen, count = np.unique(np.stack([bucket_of(context), low, high], 1), axis=0, return_counts=True)
-        return pa.Table.from_arrays([pa.array(seen[:, 0].astype(np.int32)), pa.array(seen[:, 1].astype(np.int32)), pa.array(seen[:, 2].astype(np.int32)), pa.array(count)], ["b", "low", "high", "n"])
-
-    found = rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, "b int, low int, high int, n long")
-    return found.groupBy("b", "low", "high").agg(F.sum("n").alias("n"))
-
-
-def learned(events: list[tuple[int, int, int, int]]) -> list[float]:
-    """Expectation-maximisation of each bucket's weight of the bigram estimate; buckets without events take their lower neighbour's."""
-    out, last = [0.0] * BUCKETS, 0.5
-    b, low, high, n = (np.array(x, np.float64) for x in zip(*events, strict=True)) if events else (np.zeros(0),) * 4
-    for k in range(1, BUCKETS):
-        at = b == k
-        if n[at].sum() > 0:
-            f1, f2, m, weight = 2 ** (low[at] / GRAIN), np.where(high[at] > 0, 0.0, 2 ** (high[at] / GRAIN)), n[at], 0.5
-            for _ in range(ROUNDS):
-                share = weight * f2 / (weight * f2 + (1 - weight) * f1)
-                weight = min(1 - 1e-6, max(1e-6, float((share * m).sum() / m.sum())))
-            last = weight
-        out[k] = last
-    return out
-
-
-def scored(rows: DataFrame, answered: DataFrame, n: int, v: int, weights: list[float]) -> DataFrame:
-    table = np.array(weights)
+        if not left.num_rows:
+            return pa.Table.from_batches([as_batch([], EVENTS)])
+        e = events_of(left.column("sizes")[0].as_py(), left.column("texts")[0].as_py(), bits)
+        f, b = estimates(e, all_counts(e, HELD, right, True), n)
+        row = (*(squeezed(x.astype("<f8").tobytes()) for x in f), *(squeezed(x.astype(np.uint8).tobytes()) for x in b))
+        return pa.Table.from_batches([as_batch([row], EVENTS)])
+
+    held = F.col("kind") == HELD
+    rows = chunks.filter(held).select("chunk", "sizes", "texts")
+    return rows.groupBy("chunk").cogroup(answered.filter(held).groupBy("chunk")).applyInArrow(run, EVENTS)
+
+
+def learned(events: DataFrame, v: int) -> Weights:
+    """Expectation-maximisation over all held-out events; each round is one aggregate of at most 3 * BUCKETS + 1 rows."""
+    weights, before = Weights(floor=1 / (v + 1)), -math.inf
+    for _ in range(ROUNDS):
+        now = weights
+
+        def run(batches: Iterator[pa.RecordBatch], now: Weights = now) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    f = [np.frombuffer(grown(row[f"f{k}"]), "<f8") for k in LEVELS]
+                    b = [np.frombuffer(grown(row[f"b{k}"]), np.uint8).astype(np.int64) for k in LEVELS]
+                    yield as_batch(now.expected(f, b), "level int, bucket int, s double, n double")
+
+        sums = events.mapInArrow(run, "level int, bucket int, s double, n double").groupBy("level", "bucket").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        rows = [tuple(r) for r in sums.select("level", "bucket", "s", "n").collect()]
+        fit = next((s / n for level, _, s, n in rows if level == 0 and n > 0), None)
+        if fit is None or fit - before < GAIN:
+            break
+        weights, before = weights.stepped(rows), fit
+    return weights
+
+
+def scored(chunks: DataFrame, answered: DataFrame, n: int, v: int, weights: Weights, bits: int) -> DataFrame:
+    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        e = Events(left.column("text").combine_chunks())
-        one, two = counts_of(right, "one_all", len(e.ones)), counts_of(right, "two_all", len(e.twos))
-        c, context = one[e.one], one[e.of_before]
-        low = (c + 1) / (n + v + 1)
-        weight = table[bucket_of(context)]
-        mix = weight * two[e.two] / np.maximum(context, 1) + (1 - weight) * low
+        if not left.num_rows:
+            return pa.Table.from_batches([as_batch([], schema)])
+        e = events_of(left.column("sizes")[0].as_py(), left.column("texts")[0].as_py(), bits)
+        counts = all_counts(e, left.column("kind")[0].as_py(), right, False)
+        c = counts[0][e.of[0]]
         of_doc = lambda w: np.bincount(e.row, w, e.n)
-        columns = [left.column("doc_id").combine_chunks(), pa.array(np.bincount(e.row, minlength=e.n)), pa.array(of_doc(c > 0).astype(np.int64)), pa.array(of_doc(np.log10(low))), pa.array(of_doc(np.log10(mix)))]
+        base, mix = np.log10((c + 1) / (n + v + 1)), np.log10(weights.mix(*estimates(e, counts, n))[2])
+        columns = [pa.array(left.column("ids")[0].as_py(), pa.int64()), pa.array(np.bincount(e.row, minlength=e.n)), pa.array(of_doc(c > 0).astype(np.int64)), pa.array(of_doc(base)), pa.array(of_doc(mix))]
         return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    rows = chunks.select("chunk", "kind", "ids", "sizes", "texts")
+    return rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    fold = crc_of_id()
-    kind = F.when(fold % FOLDS == TEST_FOLD, TEST).when(F.floor(fold / FOLDS) % EM_FOLDS == 0, HELD).otherwise(KEPT)
+@dataclass
+class Model:
+    """What the driver holds of a fitted model, and the tables that its parts are in."""
+
+    chunks: DataFrame
+    answered: DataFrame
+    n: int
+    v: int
+    weights: Weights
+    bits: int
+
+
+def fit(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> Model:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks = max(1, math.ceil(total / chunk_bytes))
-    share = F.when(kind == KEPT, max(1, round(n_chunks * 0.75))).when(kind == TEST, max(1, round(n_chunks / 7))).otherwise(max(1, round(n_chunks * 0.11)))
-    rows = docs.select("doc_id", text_or_empty().alias("text"), (F.pmod(F.xxhash64("doc_id", "text"), share) * 3 + kind).alias("chunk"))
-    answered = written(answers(requests(rows, n_chunks)), "answers")
-    t = answered.filter("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_all", "v_all", "n_held", "v_held")]).first()
-    of_chunks = answered.filter("chunk >= 0").select("chunk", "bucket", "one_all", "one_held", "two_all", "two_held")
-    held = (F.col("chunk") % 3 == HELD)
-    events = histogram(rows.filter(held), of_chunks.filter(held), t["n_held"], t["v_held"]).collect()
-    weights = learned([tuple(r) for r in events])
-    out = scored(rows, of_chunks.select("chunk", "bucket", "one_all", "two_all"), t["n_all"], t["v_all"], weights)
-    return out.select("doc_id", (crc_of_id() % FOLDS == TEST_FOLD).alias("held_out"), "n_tokens", "n_known", F.lit(t["n_all"]).cast("long").alias("train_tokens"), "base_score", "score")
+    ranges = max(1, math.ceil(total / range_bytes))
+    bits = min(64, max(44, total.bit_length() + 13))
+    chunks = chunks_of(docs, chunk_bytes)
+    answered = written(answers(requests(chunks, ranges, bits), ranges, bits), "answers")
+    t = answered.filter("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_all", "v_all", "n_kept", "v_kept")]).first()
+    of_chunks = answered.filter("chunk <> -1").drop("n_all", "v_all", "n_kept", "v_kept")
+    events = written(held_out_events(chunks, of_chunks, t["n_kept"], bits), "events")
+    weights = learned(events, t["v_kept"])
+    return Model(chunks, of_chunks, t["n_all"], t["v_all"], Weights(weights.by_level, 1 / (t["v_all"] + 1)), bits)
+
+
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    m = fit(docs, chunk_bytes, range_bytes)
+    out = scored(m.chunks, m.answered.drop("d1", "d2", "d3"), m.n, m.v, m.weights, m.bits)
+    return out.select("doc_id", (crc_of_id() % FOLDS == TEST_FOLD).alias("held_out"), "n_tokens", "n_known", F.lit(m.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

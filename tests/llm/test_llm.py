@@ -178,9 +178,13 @@ def test_language_model_does_not_depend_on_chunks(docs):
 
 
 def test_weights_rise_with_better_estimates():
-    good = lm.learned([(3, -80, -8, 100), (5, -80, 1, 100)])
-    assert good[3] > 0.9
-    assert good[5] < 0.1
+    f = [np.full(200, 0.001), np.repeat([0.5, 0.0], 100), np.zeros(200)]
+    b = [np.ones(200, int), np.repeat([3, 5], 100), np.zeros(200, int)]
+    weights = lm.Weights(floor=0.001)
+    for _ in range(lm.ROUNDS):
+        weights = weights.stepped(weights.expected(f, b))
+    assert weights.by_level[1, 3] > 0.9
+    assert weights.by_level[1, 5] < 0.1
 
 
 def test_bpe_equals_library(docs, library):
