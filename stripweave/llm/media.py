@@ -15,14 +15,17 @@ have equal values; repeated rows are members of their own. An empty table gives
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import time
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,11 +97,27 @@ def feature(samples: bytes) -> str:
 
 
 def store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    """The file system of a URI with a scheme."""
+    return fs.FileSystem.from_uri(uri)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder without scheme lies in Spark's default file system, here as for Spark's own readers."""
+    if urlsplit(folder).scheme:
+        return folder
+    base = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return f"{base.rstrip('/')}/{os.path.abspath(folder).lstrip('/')}" if not base.startswith("file:") else f"file://{os.path.abspath(folder)}"
+
+
+def manifest(folder: str) -> pa.Table:
+    """archive, size, members; one row for each archive, read as one dataset."""
+    files, path = store(f"{folder}/manifest")
+    return ds.dataset(path, schema=pa.schema([("archive", pa.string()), ("size", pa.int64()), ("members", pa.int64())]), filesystem=files, format="parquet").to_table()
 
 
 def write_archives(docs: DataFrame, folder: str) -> None:
     """Archives in folder/archives, and the manifest (archive, size, members) as Parquet in folder/manifest."""
+    folder = qualified(docs.sparkSession, folder)
     files, path = store(f"{folder}/archives")
     files.create_dir(path, recursive=True)
 
@@ -122,6 +141,17 @@ def write_archives(docs: DataFrame, folder: str) -> None:
 
     listed = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "archive string, size long, members long")
     listed.write.parquet(f"{folder}/manifest")
+    named = set(manifest(folder).column("archive").to_pylist())
+    for x in files.get_file_info(fs.FileSelector(path)):  # what lost or repeated tasks left
+        if x.base_name not in named:
+            files.delete_file(x.path)
+
+
+def again(files: fs.FileSystem, path: str, at: int, n: int) -> bytes:
+    """Bytes read anew, from a file opened for them."""
+    with files.open_input_file(path) as f:
+        f.seek(at)
+        return f.read(n)
 
 
 class Range(InputPartition):
@@ -136,15 +166,9 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         """Byte ranges over the archives of the manifest; a row for each archive passes the driver, as in any listing of files."""
-        import pyarrow.parquet as pq
-
-        files, path = store(f"{self.folder}/manifest")
-        parts = [x.path for x in files.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet")]
-        out = []
-        for part in sorted(parts):
-            table = pq.read_table(part, filesystem=files, partitioning=None)
-            for archive, size in zip(table.column("archive").to_pylist(), table.column("size").to_pylist(), strict=True):
-                out += [Range(archive, size, a, min(size, a + self.range_bytes)) for a in range(0, size, self.range_bytes)]
+        table, out = manifest(self.folder).sort_by("archive"), []
+        for archive, size in zip(table.column("archive").to_pylist(), table.column("size").to_pylist(), strict=True):
+            out += [Range(archive, size, a, min(size, a + self.range_bytes)) for a in range(0, size, self.range_bytes)]
         return out or [Range("", 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -152,12 +176,7 @@ class ArchiveReader(DataSourceReader):
             return
         files, path = store(f"{self.folder}/archives/{partition.archive}")
 
-        def get(at: int, n: int) -> bytes:
-            with files.open_input_file(path) as f:
-                f.seek(at)
-                return f.read(n)
-
-        ends, n, magic = struct.unpack(FOOTER, get(partition.size - FOOTER_SIZE, FOOTER_SIZE))
+        ends, n, magic = struct.unpack(FOOTER, again(files, path, partition.size - FOOTER_SIZE, FOOTER_SIZE))
         if magic != MAGIC:
             raise ValueError(f"{path} is no archive")
         rows: list[tuple] = []
@@ -174,7 +193,7 @@ class ArchiveReader(DataSourceReader):
                     if zlib.crc32(data) == crc:
                         break
                     time.sleep(0.1 * attempt)
-                    data = get(at, length)
+                    data = again(files, path, at, length)
                 else:
                     raise OSError(f"{path}: the member at {at} can't be read")
                 rows.append((doc_id if known else None, partition.archive, at, data))
@@ -208,9 +227,9 @@ class Archives(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     spark.dataSource.register(Archives)
-    return spark.read.format("archives").load(folder)
+    return spark.read.format("archives").option("rangebytes", range_bytes).load(qualified(spark, folder))
 
 
 def described(members: DataFrame) -> DataFrame:
