@@ -1,0 +1,123 @@
+"""Shards and media archives: laws, ranges, retries, empty and repeated rows."""
+
+import collections
+import zlib
+
+import pytest
+
+from stripweave.llm import media, secrets, sharding
+from stripweave.llm.common import new_path
+
+SCHEMA = "doc_id long, text string, shard int, place string"
+
+
+def rows():
+    out = [(k, f"text {k} " * (k % 9), 1, "x") for k in range(300)]
+    return [*out, (7, None, 1, "x"), (None, "", 1, "x"), *[(None, "same", 1, "x")] * 200, out[3], out[3]]
+
+
+def slots(spark, parts, **more):
+    path = new_path(spark, "shards")
+    sharding.write_shards(spark.createDataFrame(rows(), SCHEMA).repartition(parts), path, **more)
+    return sharding.read_shards(spark, path)
+
+
+def test_order_does_not_depend_on_partitions(spark):
+    def order(parts, shuffles):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        try:
+            return sorted(((r["shard"], r["slot"], r["doc_id"], r["text_crc32"], r["grown_shard"]) for r in slots(spark, parts, shards=4, bucket_rows=16).collect()), key=repr)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+    assert order(1, 3) == order(6, 7)
+
+
+def test_repeated_rows_are_dealt_over_buckets(spark):
+    got = slots(spark, 3, shards=4, bucket_rows=16)
+    counts = [r["count"] for r in got.filter("doc_id is null and size = 5").groupBy("shard", "bucket").count().collect()]
+    assert sum(counts) == 200
+    assert max(counts) < 60
+    assert got.count() == len(rows())
+
+
+def test_permutations_are_even(spark):
+    from pyspark.sql import functions as F
+
+    found = spark.range(6000).select(sharding.fisher_yates(F.lit(3), F.col("id")).alias("p")).groupBy("p").count().collect()
+    assert len(found) == 6
+    assert all(850 < r["count"] < 1150 for r in found)
+
+
+def test_empty_shards_and_archives(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    path = new_path(spark, "shards")
+    sharding.write_shards(none, path)
+    assert sharding.read_shards(spark, path).count() == 0
+    folder = new_path(spark, "media")
+    media.write_archives(none, folder)
+    assert media.described(media.read_archives(spark, folder)).count() == 0
+
+
+@pytest.mark.parametrize("range_bytes", [1, 300, 1 << 20])
+def test_each_member_is_in_one_range(spark, range_bytes):
+    docs = spark.createDataFrame(rows()[:40], SCHEMA).repartition(2)
+    folder = new_path(spark, "media")
+    media.write_archives(docs, folder)
+    got = collections.Counter(r["doc_id"] for r in media.read_archives(spark, folder, range_bytes).collect())
+    assert got == collections.Counter(r[0] for r in rows()[:40])
+
+
+def archive(spark):
+    folder = media.qualified(spark, new_path(spark, "media"))
+    media.write_archives(spark.createDataFrame(rows()[:5], SCHEMA).coalesce(1), folder)
+    reader = media.ArchiveReader({"path": folder})
+    return reader, reader.partitions()[0], media.store(f"{folder}/archives/{reader.partitions()[0].archive}")
+
+
+def test_a_damaged_member_is_read_again_alone(spark, monkeypatch):
+    reader, part, (files, path) = archive(spark)
+    whole = [b.to_pylist() for b in reader.read(part)]
+    with files.open_input_file(path) as f:
+        good = f.read()
+    bad = bytearray(good)
+    bad[20] ^= 255
+    with files.open_output_stream(path) as f:
+        f.write(bytes(bad))
+    asked, plain = [], media.again
+
+    def repaired(files, path, at, n):
+        asked.append(at)
+        return good[at : at + n] if at == 0 else plain(files, path, at, n)
+
+    monkeypatch.setattr(media, "again", repaired)
+    assert [b.to_pylist() for b in reader.read(part)] == whole
+    assert asked.count(0) == 1
+    monkeypatch.setattr(media, "again", plain)
+    with pytest.raises(OSError, match="the member at 0"):
+        list(reader.read(part))
+
+
+def test_what_lost_tasks_left_is_removed(spark):
+    folder = media.qualified(spark, new_path(spark, "media"))
+    files, path = media.store(f"{folder}/archives")
+    files.create_dir(path, recursive=True)
+    with files.open_output_stream(f"{path}/.lost.arch") as f:
+        f.write(b"part of an archive")
+    media.write_archives(spark.createDataFrame(rows()[:5], SCHEMA), folder)
+    assert all(not x.base_name.startswith(".lost") for x in files.get_file_info(media.fs.FileSelector(path)))
+
+
+def test_ownership_counts_and_verdicts(spark):
+    secret = lambda k: f"password=abcdefghijkl{k:04d}"
+    rows = [(1, secret(1), "en", "a"), (2, secret(1), "en", "a"), (3, secret(2), "en", "a"), (4, secret(2), "de", "b"), (5, secret(3), "en", "a"), (6, secret(3), "en", "b"), (7, secret(3), None, None)]
+    docs = spark.createDataFrame([*rows, rows[0], (8, None, "en", "a")], "doc_id long, text string, lang string, source string")
+    got = sorted((r["n_owners"], r["n_repositories"], r["n_spans"]) for r in secrets.ownership(secrets.scan(docs, "source", "lang")).collect())
+    assert got == [(1, 1, 3), (2, 2, 2), (3, 3, 3)]
+    found = {r["doc_id"]: (r["n_owner_specific"], r["n_widely_copied"]) for r in secrets.report(docs).collect()}
+    assert found == {1: (1, 0), 2: (1, 0), 3: (1, 0), 4: (1, 0), 5: (0, 1), 6: (0, 1), 7: (0, 1), 8: (0, 0)}
+
+
+def test_crc_of_sizes(spark):
+    got = collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in slots(spark, 2, shards=3).collect())
+    assert got == collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows())
