@@ -12,7 +12,7 @@ from .hits import BAND, SQL_EP, SQL_ISLANDS, SQL_LINKS, clusters, user_links
 from .registry import query
 
 L, E, V = f"WITH {SQL_ORDERS}", f"WITH {SQL_USERS}", f"WITH {SQL_POINTS}"
-#: Error of a cluster by its width in strips, 1 to 8, in strip pitches.
+#: Made-up values that grow with the width: error of a cluster of 1 to 8 strips, in strip pitches.
 WIDTH_ERRORS = (0.27, 0.33, 0.4, 0.5, 0.62, 0.75, 0.9, 1.05)
 ADJACENT = SQL_EP + SQL_LINKS.format(steps=1, band=BAND)
 
@@ -67,7 +67,7 @@ SQL_D2 = "(top_x-bot_x)*(top_x-bot_x) + (top_y-bot_y)*(top_y-bot_y)"
 
 @query("t1_best_parents", ADJACENT + f", b AS (SELECT *, row_number() OVER (PARTITION BY bot_id ORDER BY {SQL_D2}, top_id) AS r FROM k) SELECT event, top_id AS parent_id, count(*) AS n_children, min(bot_id) AS first_child FROM b WHERE r = 1 GROUP BY ALL")
 def best_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each point hangs on its nearest upper point; nodes with their number of children (T2, T5 without depth)."""
+    """Each point hangs on its nearest upper point; nodes with their number of children; t1_growth grows whole trees."""
     d2 = (F.col("top_x") - F.col("bot_x")) * (F.col("top_x") - F.col("bot_x")) + (F.col("top_y") - F.col("bot_y")) * (F.col("top_y") - F.col("bot_y"))
     best = user_links(spark, sf_dir, 0).withColumn("r", F.row_number().over(Window.partitionBy("bot_id").orderBy(d2, "top_id"))).filter("r = 1")
     return best.groupBy("event", F.col("top_id").alias("parent_id")).agg(F.count("*").alias("n_children"), F.min("bot_id").alias("first_child"))

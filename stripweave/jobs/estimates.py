@@ -44,7 +44,7 @@ SELECT grp, n, round(q + 2*p*cos(phi), 5) AS e1, round(3*q - (q + 2*p*cos(phi))
 
 @query("a5_principal_moments", SQL_PRINCIPAL)
 def principal_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moments analysis in closed form: eigenvalues of each group's scatter."""
+    """Moments analysis in closed form: eigenvalues of each group's scatter (A5)."""
     rows = moments.principal(moments.scatter(label_points(spark, sf_dir), "grp"))
     return rows.select("grp", "n", *[F.round(c, 5).alias(c) for c in ("e1", "e2", "e3")])
 
