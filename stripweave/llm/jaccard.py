@@ -35,7 +35,7 @@ from .common import by_rows, documents, pieces, text_or_empty, written
 
 BLOCK, LONG_LIST = 512, 24
 #: Nodes of one piece from which on a key is combined before the shuffle.
-HOT = 64
+HOT = 16
 BROADCAST_IDS = 1_000_000
 #: Shingles of a segment on average, at most, and the least number that a key has, at most; the chance of a link without a common key.
 CONTENT, MOST_LEAST, MISS = 5, 3, 1e-15
