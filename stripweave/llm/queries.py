@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, huffman, jaccard, lm, media, mixing, quality, secrets, sharding, toxicity
+from . import bpe, huffman, infill, jaccard, lm, media, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_huffman_ids": huffman.op9_huffman_ids,
     "op10_media": media.op10_media,
+    "op13_infill": infill.op13_infill,
 }
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -45,4 +46,15 @@ q AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.whole, greatest(0.0, e
 SELECT doc_id, size, source_size, target, (whole * size + CASE WHEN whole < 2 THEN greatest(0, least(size, round(rest)::BIGINT - before)) ELSE 0 END)::BIGINT AS taken FROM q
 """
 
-ORACLES: dict[str, str] = {"op1_jaccard": JACCARD, "op6_mix": MIX}
+#: Units by their pattern, parts as slices of the list of units.
+INFILL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, len(u) AS n, list_transform([0, 1, 2, 3], lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS h4 FROM d),
+f AS (SELECT *, least(h4[1] % (n + 1), h4[2] % (n + 1)) AS a, greatest(h4[1] % (n + 1), h4[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h4[3] % 100 >= 100 THEN 'plain' WHEN h4[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+ORACLES: dict[str, str] = {"op1_jaccard": JACCARD, "op6_mix": MIX, "op13_infill": INFILL}
