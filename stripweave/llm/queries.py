@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, huffman, infill, jaccard, lm, media, mixing, quality, secrets, sharding, toxicity
+from . import bpe, contamination, huffman, infill, jaccard, lm, media, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_huffman_ids": huffman.op9_huffman_ids,
     "op10_media": media.op10_media,
+    "op11_contamination": contamination.op11_contamination,
     "op13_infill": infill.op13_infill,
 }
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -46,6 +47,20 @@ q AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.whole, greatest(0.0, e
 SELECT doc_id, size, source_size, target, (whole * size + CASE WHEN whole < 2 THEN greatest(0, least(size, round(rest)::BIGINT - before)) ELSE 0 END)::BIGINT AS taken FROM q
 """
 
+#: Windows of all lengths that items have, joined by their words; hit words are counted once.
+CONTAMINATION = r"""
+WITH n AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[j:j + least(len(w), 10) - 1], ' ') AS x FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 9))) AS j FROM i WHERE len(w) > 0)),
+l AS (SELECT DISTINCT k FROM p),
+d AS (SELECT r, l.k, n.w, unnest(generate_series(1, len(n.w) - l.k + 1)) AS j FROM n JOIN l ON len(n.w) >= l.k),
+m AS MATERIALIZED (SELECT d.r, d.j, d.k, p.item FROM (SELECT r, k, j, array_to_string(w[j:j + k - 1], ' ') AS x FROM d) d JOIN p ON d.k = p.k AND d.x = p.x),
+h AS (SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(generate_series(j, j + k - 1)) AS word FROM (SELECT DISTINCT r, j, k FROM m)) GROUP BY r),
+o AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM n LEFT JOIN h ON n.r = h.r LEFT JOIN o ON n.r = o.r
+"""
+
 #: Units by their pattern, parts as slices of the list of units.
 INFILL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
@@ -57,4 +72,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
 """
 
-ORACLES: dict[str, str] = {"op1_jaccard": JACCARD, "op6_mix": MIX, "op13_infill": INFILL}
+ORACLES: dict[str, str] = {"op1_jaccard": JACCARD, "op6_mix": MIX, "op11_contamination": CONTAMINATION, "op13_infill": INFILL}
