@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, contamination, huffman, infill, jaccard, lm, media, mixing, quality, secrets, sharding, toxicity
+from . import audit, bpe, contamination, huffman, infill, jaccard, lm, media, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_huffman_ids": huffman.op9_huffman_ids,
     "op10_media": media.op10_media,
     "op11_contamination": contamination.op11_contamination,
+    "op12_audit": audit.op12_audit,
     "op13_infill": infill.op13_infill,
 }
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -61,6 +62,22 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM n LEFT JOIN h ON n.r = h.r LEFT JOIN o ON n.r = o.r
 """
 
+#: Failed filters as a mask, all orders of the letters, and sums over both.
+AUDIT = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+f AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), min(doc_id) OVER (PARTITION BY text) IS NOT NULL)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+s AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+k AS (SELECT array_to_string(o, '') AS filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o))
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(1, bit_count(mask))) FILTER (mask & bit <> 0), 0)::BIGINT AS shapley FROM s, k GROUP BY part, filter_order, step
+"""
+
 #: Units by their pattern, parts as slices of the list of units.
 INFILL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
@@ -72,4 +89,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
 """
 
-ORACLES: dict[str, str] = {"op1_jaccard": JACCARD, "op6_mix": MIX, "op11_contamination": CONTAMINATION, "op13_infill": INFILL}
+ORACLES: dict[str, str] = {"op1_jaccard": JACCARD, "op6_mix": MIX, "op11_contamination": CONTAMINATION, "op12_audit": AUDIT, "op13_infill": INFILL}
