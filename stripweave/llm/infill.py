@@ -189,8 +189,11 @@ def untransformed(outputs: DataFrame) -> DataFrame:
             first = TaskContext.get().partitionId() << 40
             for k, (doc_id, form, raw) in enumerate(tuples(batches, "text")):
                 yield (first + k, doc_id, -1, -1, None, None, form, None, None, None)
-                at = [] if form == "plain" else sorted((raw.index(mark), part) for mark, part in PART.items())
-                spans = [(a + 3, b, part) for (a, part), (b, _) in zip(at, [*at[1:], (len(raw), 0)], strict=True)] or [(0, len(raw), 0)]
+                spans = [(0, len(raw), 0)]
+                if form != "plain":
+                    marks = sorted((raw.index(mark), mark) for mark in PART)
+                    ends = [at for at, _ in marks[1:]] + [len(raw)]
+                    spans = [(at + len(mark), end, PART[mark]) for (at, mark), end in zip(marks, ends, strict=True)]
                 for begin, end, part in spans:
                     for place, body in enumerate(chunks(raw[begin:end], CHUNK)):
                         yield (first + k, doc_id, part, place, body, None, None, None, None, None)
