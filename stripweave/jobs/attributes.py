@@ -9,7 +9,7 @@ from ..functions import geometry as geo
 from ..operators import moments
 from ..sources.hits import SQL_ORDERS, SQL_POINTS, SQL_USERS, label_points, order_hits, table, user_hits
 from .hits import BAND, SQL_EP, SQL_ISLANDS, SQL_LINKS, clusters, user_links
-from .registry import query
+from .register import query
 
 L, E, V = f"WITH {SQL_ORDERS}", f"WITH {SQL_USERS}", f"WITH {SQL_POINTS}"
 #: Made-up values that grow with the width: error of a cluster of 1 to 8 strips, in strip pitches.

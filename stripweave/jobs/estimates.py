@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..operators import kalman, moments
 from ..sources.hits import SQL_ORDERS, SQL_POINTS, SQL_USERS, label_points, order_hits, user_hits
-from .registry import query
+from .register import query
 
 L, E, V = f"WITH {SQL_ORDERS}", f"WITH {SQL_USERS}", f"WITH {SQL_POINTS}"
 

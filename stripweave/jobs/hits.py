@@ -10,7 +10,7 @@ from ..operators import islands as isl
 from ..operators import links as lnk
 from ..operators import points as pts
 from ..sources.hits import SQL_ORDERS, SQL_USERS, order_hits, table, user_hits
-from .registry import query
+from .register import query
 
 L, E = f"WITH {SQL_ORDERS}", f"WITH {SQL_USERS}"
 IDENT = ["part", "supp", "price"]

@@ -2,24 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import attributes, estimates, hits, selections, shapes, tracks, trees  # noqa: F401  fill the tables
+from .register import ORACLES, QUERIES, Query, query  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "j3_adjacent_links"
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-from . import attributes, estimates, hits, selections, shapes, tracks, trees  # noqa: E402, F401  fill the tables above

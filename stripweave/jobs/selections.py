@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.hits import SQL_ORDERS, order_hits, table
-from .registry import query
+from .register import query
 
 L = f"WITH {SQL_ORDERS}"
 

@@ -10,7 +10,7 @@ from ..operators import axes, candidates, density, graph, moments
 from ..operators import links as lnk
 from ..sources.hits import SQL_POINTS, SQL_USERS, label_points, table, user_hits
 from .hits import BAND, SQL_EP, SQL_LINKS, user_links, user_points
-from .registry import query
+from .register import query
 
 V = f"WITH {SQL_POINTS}"
 LINKED = SQL_EP + SQL_LINKS.format(steps=1, band=BAND)

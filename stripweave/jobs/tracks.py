@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import fit, graph
 from ..sources.hits import SQL_ORDERS, SQL_POINTS, SQL_USERS, label_points, order_hits, table, user_hits
 from .reconstruct import Config, first_pass
-from .registry import query
+from .register import query
 
 L, E, V = f"WITH {SQL_ORDERS}", f"WITH {SQL_USERS}", f"WITH {SQL_POINTS}"
 

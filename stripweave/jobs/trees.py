@@ -7,45 +7,71 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import links as lnk
 from ..operators import trees
-from .hits import BAND, SQL_EP, SQL_LINKS, user_links, user_points
-from .registry import query
+from .hits import BAND, SQL_EP, SQL_LINKS, user_points
+from .register import query
 
 SKIP, LAYERS = 1, 18
 CUTS = trees.Cuts()
 
 
 def sql_growth() -> str:
-    """The steps of trees.grow as one CTE for each layer."""
-    most = f"{CUTS.most!r}::DOUBLE"
-    shift = f"{CUTS.offset!r}::DOUBLE / 0.228::DOUBLE"
+    """The rules of trees.grow, a layer at a time: the points of a layer are taken in order by folds over lists."""
     cosine = "round((i.sx * o.sx + i.sy * o.sy + 1) / sqrt(i.sx * i.sx + i.sy * i.sy + 1) / sqrt(o.sx * o.sx + o.sy * o.sy + 1), 9)"
+    shift = f"{CUTS.offset!r}::DOUBLE / 0.228::DOUBLE"
     parts = [
         SQL_EP
         + SQL_LINKS.format(steps=SKIP + 1, band=BAND)
-        + """,
-s AS MATERIALIZED (SELECT event, top_layer, bot_layer, step, top_id, bot_id, (top_x - bot_x) * 0.228::DOUBLE / (step * 32.575::DOUBLE) AS sx,
-  (top_y - bot_y) * 0.228::DOUBLE / (step * 32.575::DOUBLE) AS sy FROM k)"""
+        + f""",
+z AS (SELECT event, log10(count(*)) AS size FROM k GROUP BY event),
+zc AS (SELECT event, CASE WHEN size < 2.5 THEN {CUTS.displaced!r}::DOUBLE + 1.69::DOUBLE * (2.5::DOUBLE - size) ** 2 ELSE {CUTS.displaced!r}::DOUBLE END AS displaced,
+  CASE WHEN size < 2.5 THEN {CUTS.angle!r}::DOUBLE + {math.pi / 4!r}::DOUBLE - {math.pi!r}::DOUBLE * size / 10 ELSE {CUTS.angle!r}::DOUBLE END AS angle FROM z),
+zd AS (SELECT event, round(cos(angle), 9) AS least_cosine, round(displaced + {CUTS.offset!r}::DOUBLE * angle / 0.228::DOUBLE, 9) AS most FROM zc),
+ch AS MATERIALIZED (SELECT DISTINCT event, bot_id AS id FROM k WHERE (event, top_id) IN (SELECT (event, bot_id) FROM k)),
+s AS MATERIALIZED (SELECT k.event, top_layer, bot_layer, step, top_id, bot_id, (top_x - bot_x) * 0.228::DOUBLE / (step * 32.575::DOUBLE) AS sx, (top_y - bot_y) * 0.228::DOUBLE / (step * 32.575::DOUBLE) AS sy,
+  split_part(top_id, ':', 1) AS top_a, split_part(top_id, ':', 2) AS top_b, split_part(bot_id, ':', 1) AS bot_a, split_part(bot_id, ':', 2) AS bot_b, least_cosine, most,
+  EXISTS (SELECT 1 FROM ch WHERE ch.event = k.event AND ch.id = k.top_id) AS chained FROM k JOIN zd ON k.event = zd.event)"""
     ]
-    head = "SELECT event, top_id AS head, NULL::VARCHAR AS parent_id, top_id, bot_id, bot_layer, step, sx, sy, 1 AS depth, 0 AS n_angles, 0.0::DOUBLE AS quad, [top_id, bot_id] AS path"
-    for layer in range(LAYERS - 1, 0, -1):
-        above = [f"SELECT * FROM n{k} WHERE bot_layer = {layer}" for k in range(layer + 1, min(LAYERS, layer + SKIP + 2))]
-        start = f"{head} FROM s WHERE top_layer = {layer} AND step <= 2"
-        if not above:
-            parts.append(f"n{layer} AS MATERIALIZED ({start})")
-            continue
-        parts.append(f"i{layer} AS MATERIALIZED ({' UNION ALL '.join(above)})")
-        parts.append(f"""j{layer} AS (SELECT o.*, i.head, i.top_id AS parent_id, i.depth, i.n_angles, i.quad, i.path, i.step AS i_step, {cosine} AS cosine,
-  round(abs(i.sx - o.sx) * {shift}, 9) AS dx, round(abs(i.sy - o.sy) * {shift}, 9) AS dy FROM s o JOIN i{layer} i ON o.event = i.event AND o.top_id = i.bot_id WHERE o.top_layer = {layer})""")
-        parts.append(f"""v{layer} AS (SELECT event, head, parent_id, top_id, bot_id, bot_layer, step, sx, sy, depth + 1 AS depth, n_angles + 1 AS n_angles, quad + dx * dx + dy * dy AS quad,
-  list_append(path, bot_id) AS path FROM j{layer} WHERE cosine > {round(math.cos(CUTS.angle), 9)!r} AND dx < {most} AND dy < {most}
-  AND (depth > 1 OR cosine >= {round(CUTS.kink, 9)!r}) AND NOT (i_step > 1 AND step > 2 AND len(path) < 5))""")
-        parts.append(f"b{layer} AS (SELECT *, first_value(parent_id) OVER (PARTITION BY event, top_id ORDER BY (n_angles <= 3)::INT, round(sqrt(quad) / n_angles, 9), parent_id, bot_id) AS chosen FROM v{layer})")
-        parts.append(f"n{layer} AS MATERIALIZED (SELECT * EXCLUDE (chosen) FROM b{layer} WHERE parent_id = chosen UNION ALL {start} AND (event, top_id) NOT IN (SELECT (event, bot_id) FROM i{layer}))")
-    parts.append("n AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM n{k}" for k in range(1, LAYERS)) + ")")
+    node = "event, head, parent_id, top_id, bot_id, top_layer, bot_layer, step, sx, sy, bot_a, bot_b, depth, quad, path, start_layer, chained"
+    for layer in range(LAYERS - 1, -1, -1):
+        above = range(layer + 1, min(LAYERS, layer + SKIP + 2))
+        empty = "SELECT event, top_id AS head, top_id AS parent_id, top_id, bot_id, top_layer, bot_layer, step, sx, sy, bot_a, bot_b, 1 AS depth, 0.0::DOUBLE AS quad, [top_id] AS path, top_layer AS start_layer, chained, 0.0::DOUBLE AS rms, 0 AS layers FROM s WHERE false"
+        landed = " UNION ALL ".join(f"SELECT {node}, sqrt(quad) / depth AS rms, start_layer - bot_layer + 1 AS layers FROM n{q} WHERE bot_layer = {layer}" for q in above) or empty
+        owners = " UNION ALL ".join(f"SELECT event, bot_a, bot_b, depth, start_layer - bot_layer + 1 AS layers, sqrt(quad) / depth AS rms FROM n{q} WHERE bot_layer < {layer}" for q in above) or "SELECT event, bot_a, bot_b, 1 AS depth, 0 AS layers, 0.0::DOUBLE AS rms FROM s WHERE false"
+        parts.append(f"""i{layer} AS MATERIALIZED ({landed}),
+w{layer} AS MATERIALIZED ({owners}),
+j{layer} AS MATERIALIZED (SELECT *, sqrt(quad + m2) / (depth + 1) AS q FROM (SELECT o.event, o.top_id, o.bot_id, o.step, i.top_id AS parent, i.top_layer AS parent_layer, i.depth, i.quad, dx * dx + dy * dy AS m2, {cosine} AS cosine, o.least_cosine, i.chained, dx, dy, o.most
+  FROM s o JOIN i{layer} i ON o.event = i.event AND o.top_id = i.bot_id, LATERAL (SELECT round(abs(i.sx - o.sx) * {shift}, 9) AS dx, round(abs(i.sy - o.sy) * {shift}, 9) AS dy)
+  WHERE o.top_layer = {layer} AND NOT (i.layers < 4 AND i.step > 1 AND o.step > 2)) WHERE cosine > least_cosine AND (chained OR cosine >= {round(CUTS.kink, 9)!r}) AND dx < most AND dy < most),
+b{layer} AS MATERIALIZED (SELECT event, top_id, list_reduce(list({{'parent': parent, 'n': depth + 1, 'q': q}} ORDER BY step, bot_id, parent_layer DESC, parent), lambda acc, c: CASE WHEN (acc.n <= 2 AND c.n > 3) OR c.q < acc.q THEN c ELSE acc END).parent AS parent FROM j{layer} GROUP BY event, top_id),
+d{layer} AS MATERIALIZED (SELECT event, bot_id AS point, list_reduce(list({{'parent': top_id, 'n': depth, 'q': rms}} ORDER BY top_layer DESC, top_id), lambda acc, c: CASE WHEN c.n > acc.n + 2 OR c.q < acc.q THEN c ELSE acc END).parent AS parent
+  FROM i{layer} WHERE depth > 1 AND (event, bot_id) NOT IN (SELECT (event, top_id) FROM s WHERE top_layer = {layer}) GROUP BY event, bot_id),
+h{layer} AS MATERIALIZED (SELECT s.event, s.top_id, list({{'point': i.bot_id, 'top': i.top_id, 'dead': d.parent IS NOT NULL AND d.parent <> i.top_id, 'best': b.parent IS NOT NULL AND b.parent = i.top_id}}) FILTER (i.event IS NOT NULL) AS rivals
+  FROM (SELECT DISTINCT event, top_id, top_a, top_b FROM s WHERE top_layer = {layer} AND NOT chained AND (event, top_id) NOT IN (SELECT (event, top_id) FROM b{layer})) s
+  LEFT JOIN i{layer} i ON s.event = i.event AND ((s.top_a = i.bot_a AND i.layers > 2) OR (s.top_b = i.bot_b AND i.depth > 2)) LEFT JOIN d{layer} d ON d.event = i.event AND d.point = i.bot_id LEFT JOIN b{layer} b ON b.event = i.event AND b.top_id = i.bot_id GROUP BY s.event, s.top_id),
+cand{layer} AS MATERIALIZED (SELECT s.event, s.top_id, s.bot_id, s.bot_a, s.bot_b, s.step, j.m2, j.parent, i.depth, i.layers, sqrt(i.quad + j.m2) / (i.depth + 1) AS rms, NULL AS rivals FROM j{layer} j JOIN b{layer} b ON j.event = b.event AND j.top_id = b.top_id AND j.parent = b.parent
+  JOIN s ON s.event = j.event AND s.top_id = j.top_id AND s.bot_id = j.bot_id JOIN i{layer} i ON i.event = j.event AND i.bot_id = j.top_id AND i.top_id = j.parent
+  UNION ALL SELECT s.event, s.top_id, s.bot_id, s.bot_a, s.bot_b, s.step, 0.0, NULL, 0, 0, 0.0, coalesce(rivals, []) FROM h{layer} h JOIN s ON s.event = h.event AND s.top_id = h.top_id),
+x{layer} AS MATERIALIZED (SELECT c.* FROM cand{layer} c WHERE NOT EXISTS (SELECT 1 FROM w{layer} w WHERE w.event = c.event AND w.bot_a = c.bot_a AND {refused("w")}) AND NOT EXISTS (SELECT 1 FROM w{layer} w WHERE w.event = c.event AND w.bot_b = c.bot_b AND {refused("w")})),
+f{layer} AS (SELECT event, unnest(list_reduce(list({{'point': top_id, 'bot': bot_id, 'a': bot_a, 'b': bot_b, 'depth': depth, 'layers': layers, 'rms': rms, 'step': step, 'rivals': rivals, 'new_layers': greatest(layers, 1) + step}} ORDER BY top_id, step, m2, bot_id),
+  lambda acc, c: CASE WHEN len(list_filter(acc, lambda x: (x.a = c.a OR x.b = c.b) AND (x.depth + 1 > c.depth + {CUTS.longer} OR (c.depth <= x.depth + 2 AND x.new_layers >= 3 AND c.layers >= 3 AND c.rms > {CUTS.worse!r} * x.rms)))) > 0
+    OR (c.rivals IS NOT NULL AND len(list_filter(c.rivals, lambda r: NOT (r.point < c.point AND (r.dead OR (NOT r.best AND len(list_filter(acc, lambda x: x.point = r.point)) > 0))))) > 0) THEN acc ELSE list_append(acc, c) END,
+  []::STRUCT(point VARCHAR, bot VARCHAR, a VARCHAR, b VARCHAR, depth INTEGER, layers INTEGER, rms DOUBLE, step INTEGER, rivals STRUCT(point VARCHAR, top VARCHAR, dead BOOLEAN, best BOOLEAN)[], new_layers INTEGER)[])) AS a FROM x{layer} GROUP BY event),
+n{layer} AS MATERIALIZED (SELECT s.event, coalesce(i.head, s.top_id) AS head, c.parent AS parent_id, s.top_id, s.bot_id, s.top_layer, s.bot_layer, s.step, s.sx, s.sy, s.bot_a, s.bot_b, coalesce(i.depth, 0) + 1 AS depth, coalesce(i.quad + c.m2, 0.0) AS quad,
+  list_append(coalesce(i.path, [s.top_id]), s.bot_id) AS path, coalesce(i.start_layer, s.top_layer) AS start_layer, s.chained FROM f{layer} f JOIN cand{layer} c ON c.event = f.event AND c.top_id = f.a.point AND c.bot_id = f.a.bot
+  JOIN s ON s.event = c.event AND s.top_id = c.top_id AND s.bot_id = c.bot_id LEFT JOIN i{layer} i ON i.event = c.event AND i.bot_id = c.top_id AND i.top_id = c.parent),
+e{layer} AS MATERIALIZED (SELECT i.* FROM i{layer} i LEFT JOIN d{layer} d ON d.event = i.event AND d.point = i.bot_id LEFT JOIN b{layer} b ON b.event = i.event AND b.top_id = i.bot_id
+  LEFT JOIN (SELECT DISTINCT event, top_id FROM n{layer}) g ON g.event = i.event AND g.top_id = i.bot_id WHERE coalesce(d.parent = i.top_id, true) AND (g.event IS NULL OR coalesce(b.parent = i.top_id, false)))""")
+    parts.append("n AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT event, head, parent_id, top_id, bot_id, bot_layer, step, sx, sy, depth, depth - 1 AS n_angles, quad, path FROM e{q}" for q in range(LAYERS)) + ")")
     return ",\n".join(parts)
 
 
+def refused(owner: str) -> str:
+    """Whether an owner of a cluster keeps candidate c out."""
+    return f"({owner}.depth > c.depth + {CUTS.longer} OR (c.depth <= {owner}.depth + 1 AND {owner}.layers >= 3 AND c.layers >= 3 AND c.rms > {CUTS.worse!r} * {owner}.rms))"
+
+
 def sql_statistics() -> str:
     """The steps of trees.statistics."""
     own = "CASE WHEN n_angles > 0 THEN sqrt(quad) / n_angles ELSE 0.0::DOUBLE END"
@@ -73,8 +99,16 @@ l3 AS (SELECT *, len(list_intersect(path, best)) AS n_shared FROM l2),
 lv AS MATERIALIZED (SELECT *, rank = 1 OR n_points - n_shared > 2 AS accepted FROM l3)"""
 
 
+def cluster_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of user_links with their slopes and the clusters of their points."""
+    dx, dy = F.col("top_x") - F.col("bot_x"), F.col("top_y") - F.col("bot_y")
+    found = lnk.links(user_points(spark, sf_dir), SKIP, dx * dx + dy * dy <= 250000, ("x_hit", "y_hit"))
+    clusters = {f"{end}_{k}": F.col(f"{end}_{view}_hit").cast("string") for end in ("top", "bot") for k, view in (("a", "x"), ("b", "y"))}
+    return trees.with_slopes(found).withColumns(clusters)
+
+
 def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.grow(trees.with_slopes(user_links(spark, sf_dir, SKIP)), LAYERS, CUTS)
+    return trees.grow(cluster_links(spark, sf_dir), CUTS)
 
 
 @query("t1_growth", f"{GROWTH} SELECT event, head, parent_id, top_id, bot_id, depth, n_angles, round(quad, 6) AS quad FROM n")
@@ -85,7 +119,7 @@ def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t5_node_statistics", f"{STATISTICS} SELECT event, head, top_id, bot_id, n_leaves, n_branches, below, most_points, round(best_rms, 6) AS best_rms FROM t")
 def node_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trees.statistics(grown(spark, sf_dir), LAYERS)
+    found = trees.statistics(grown(spark, sf_dir))
     return found.select("event", "head", "top_id", "bot_id", "n_leaves", F.col("n_branches").cast("long").alias("n_branches"), "below", "most_points", F.round("best_rms", 6).alias("best_rms"))
 
 
@@ -98,7 +132,7 @@ def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t10_ranked_leaves", f"{LEAVES} SELECT event, head, leaf, rank, n_points, n_shared, accepted FROM lv")
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trees.ranked_leaves(trees.statistics(grown(spark, sf_dir), LAYERS))
+    found = trees.ranked_leaves(trees.statistics(grown(spark, sf_dir)))
     return found.select("event", "head", "leaf", "rank", "n_points", "n_shared", "accepted")
 
 
@@ -114,6 +148,6 @@ UNION ALL SELECT event, head, (layer - q)::INT, NULL, round(x + (nx - x) * (q /
 @query("t12_leaf_hits", SQL_HITS)
 def best_leaf_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of each tree's best leaf, with gap hits for skipped layers."""
-    best = trees.ranked_leaves(trees.statistics(grown(spark, sf_dir), LAYERS)).filter("rank = 1")
+    best = trees.ranked_leaves(trees.statistics(grown(spark, sf_dir))).filter("rank = 1")
     found = trees.leaf_hits(best, user_points(spark, sf_dir))
     return found.select("event", "head", "layer", "point_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "gap")

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.geometry import LAYER_PITCH, STRIP_PITCH
 
 
-def links(points: DataFrame, skip: int, band: Column | None = None) -> DataFrame:
-    """points: event, layer, x, y, id. Columns top_*, bot_*, step (1 .. skip + 1).
+def links(points: DataFrame, skip: int, band: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """points: event, layer, x, y, id, more. Columns top_*, bot_*, step (1 .. skip + 1).
 
     band: condition on those columns, such as a greatest transverse distance.
     """
-    top = points.select("event", *[F.col(c).alias(f"top_{c}") for c in ("layer", "x", "y", "id")])
+    columns = ("layer", "x", "y", "id", *more)
+    top = points.select("event", *[F.col(c).alias(f"top_{c}") for c in columns])
     top = top.withColumn("step", F.explode(F.array(*[F.lit(k) for k in range(1, skip + 2)]))).withColumn("bot_layer", F.col("top_layer") - F.col("step"))
-    bot = points.select("event", *[F.col(c).alias(f"bot_{c}") for c in ("layer", "x", "y", "id")])
+    bot = points.select("event", *[F.col(c).alias(f"bot_{c}") for c in columns])
     joined = top.join(bot, ["event", "bot_layer"])
     return joined if band is None else joined.filter(band)
 

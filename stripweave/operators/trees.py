@@ -1,34 +1,54 @@
-"""Trees of links: growth layer by layer, statistics from the leaves up, choice of leaves, hits of a leaf.
+"""Trees of links: growth with competition for clusters, statistics, choice of leaves, hits of a leaf.
 
-A node is a link that was attached: it stands on its bottom point and hangs on the node that ends at its top point.
-The number of layers bounds the steps; each step is written, so plans don't nest. Everything is keyed by event.
+A node is a link that was attached: it stands on its bottom point and hangs on the node that ends at its top point. Growth
+depends on the order in which an event's points are taken, so it is a fold over the event's links, sorted by event in the task: one
+exchange, no rounds; the guards of the first pass bound an event. All else is grouping and joining by event.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
+from itertools import groupby
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import LAYER_PITCH, STRIP_PITCH
-from .graph import cut_lineage
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Kink at a tree's first link, angle between links, displacement in strips, and the offset at which it is taken (mm)."""
+    """Kink at a tree's first links, angle between links, displacement in strips, the offset at which it is taken
+    (mm); a newcomer to a cluster is refused beside a node of `longer` more angles, or `worse` times straighter, unless the
+    cluster is wider than `wide`."""
 
     kink: float = math.cos(math.pi / 8)
     angle: float = math.pi / 4
     displaced: float = 1.25
     offset: float = 0.6
+    longer: int = 2
+    worse: float = 100.0
+    wide: int = 4
 
     @property
     def most(self) -> float:
         return self.displaced + self.offset * self.angle / STRIP_PITCH
 
+    def of_event(self, n_links: int, energy: float | None = None) -> Cuts:
+        """Wider cuts for events of few links, which are probably of low energy."""
+        size = math.log10(n_links) if n_links else 0.0
+        wider = self
+        if size < 2.5:
+            wider = replace(self, displaced=self.displaced + 1.69 * (2.5 - size) ** 2, angle=self.angle + math.pi / 4 - math.pi * size / 10)
+        if size < 3.0 and energy is not None and energy < 400.0:
+            wider = replace(wider, kink=math.cos(max(2.0, (4.0 - energy / 100.0) / 2) * math.pi / 8))
+        return wider
+
 
 def with_slopes(links: DataFrame) -> DataFrame:
     """links of operators.links with sx, sy: slopes in both views, from strips and layers."""
@@ -36,83 +56,216 @@ def with_slopes(links: DataFrame) -> DataFrame:
     return links.withColumns({f"s{a}": (F.col(f"top_{a}") - F.col(f"bot_{a}")) * STRIP_PITCH / rise for a in "xy"})
 
 
-def joint(a: str, b: str, cuts: Cuts) -> tuple[Column, Column, Column]:
-    """Cosine of the angle of two links that share a point, and their displacements in strips beside it."""
-    ax, ay, bx, by = (F.col(f"{x}.{c}") for x in (a, b) for c in ("sx", "sy"))
-    cosine = (ax * bx + ay * by + 1) / F.sqrt(ax * ax + ay * ay + 1) / F.sqrt(bx * bx + by * by + 1)
-    dx, dy = (F.abs(p - q) * cuts.offset / STRIP_PITCH for p, q in ((ax, bx), (ay, by)))
-    return F.round(cosine, 9), F.round(dx, 9), F.round(dy, 9)
+class Link(NamedTuple):
+    """A row of links() with slopes; a and b: the clusters of its points in the two views."""
+
+    event: int
+    top_layer: int
+    top_id: str
+    step: int
+    bot_id: str
+    bot_layer: int
+    sx: float
+    sy: float
+    top_a: str
+    top_b: str
+    bot_a: str
+    bot_b: str
+    wide_a: int
+    wide_b: int
+    gap: bool
+
+
+@dataclass(eq=False)
+class Node:
+    """An attached link: the layer at which its tree starts, links from the head, summed squared displacements."""
+
+    link: Link
+    parent: Node | None
+    start: int
+    depth: int
+    quad: float
+    path: list[str]
+    alive: bool = True
+
+    @property
+    def layers(self) -> int:
+        return self.start - self.link.bot_layer + 1
+
+    @property
+    def rms(self) -> float:
+        return math.sqrt(self.quad) / self.depth
+
+
+def displacement(upper: Link, lower: Link, straight: bool, cuts: Cuts) -> float | None:
+    """The squared displacement in strips of two links beside the point they share; None if they bend or miss too much."""
+    cosine = (upper.sx * lower.sx + upper.sy * lower.sy + 1) / math.sqrt(upper.sx * upper.sx + upper.sy * upper.sy + 1) / math.sqrt(lower.sx * lower.sx + lower.sy * lower.sy + 1)
+    cosine = round(cosine, 9)
+    if cosine <= round(math.cos(cuts.angle), 9) or (straight and cosine < round(cuts.kink, 9)):
+        return None
+    dx, dy = (round(abs(p - q) * cuts.offset / STRIP_PITCH, 9) for p, q in ((upper.sx, lower.sx), (upper.sy, lower.sy)))
+    dx, dy = dx / max(1, upper.wide_a), dy / max(1, upper.wide_b)
+    most = round(cuts.most, 9)
+    return dx * dx + dy * dy if dx < most and dy < most else None
+
+
+@dataclass
+class Growth:
+    """The trees of one event while its points are taken: nodes by the point and by the clusters on which they end."""
+
+    cuts: Cuts
+    chained: set[str]
+    at: dict[str, list[Node]] = field(default_factory=lambda: defaultdict(list))
+    on: dict[tuple[str, str], list[Node]] = field(default_factory=lambda: defaultdict(list))
+
+    def take(self, point: str, links: list[Link]) -> None:
+        """Attaches the links that start at a point to the best node that ends there, or starts a tree; losers go."""
+        ends = self.at[point]
+        if not links:
+            self.arbitrate(ends)
+            return
+        best, fits = self.best(ends, links)
+        if best is None and not self.starts(point, links[0]):
+            return
+        grown: list[Node] = []
+        for square, link in fits if best else [(0.0, x) for x in links]:
+            if best is None and (link.step > 4 or (link.step > 2 and (not link.gap or (grown and grown[0].link.step == 1)))):
+                continue
+            if not self.refused(best, link, square):
+                path = [*(best.path if best else [link.top_id]), link.bot_id]
+                node = Node(link, best, best.start if best else link.top_layer, best.depth + 1 if best else 1, best.quad + square if best else 0.0, path)
+                grown.append(node)
+                self.at[link.bot_id].append(node)
+                for cluster in (("a", link.bot_a), ("b", link.bot_b)):
+                    self.on[cluster].append(node)
+        if grown:
+            self.drop(x for x in ends if x is not best)
+
+    def best(self, ends: list[Node], links: list[Link]) -> tuple[Node | None, list[tuple[float, Link]]]:
+        """The node that the links suit best, and its links, those without skipped layers first, then the straightest."""
+        best, least, most = None, 1000.0, 0
+        fits: dict[int, list[tuple[float, Link]]] = defaultdict(list)
+        for link in links:
+            for node in ends:
+                if node.layers < 4 and node.link.step > 1 and link.step > 2:
+                    continue
+                square = displacement(node.link, link, node.link.top_id not in self.chained, self.cuts)
+                if square is None:
+                    continue
+                fits[id(node)].append((square, link))
+                n = node.depth + 1
+                rms = math.sqrt(node.quad + square) / n
+                if (most <= 2 and n > 3) or rms < least:
+                    best, least, most = node, rms, n
+        return best, sorted(fits[id(best)], key=lambda x: (x[1].step, x[0], x[1].bot_id)) if best else []
+
+    def refused(self, node: Node | None, link: Link, square: float) -> bool:
+        """Whether a cluster of the link's lower point belongs to a node that keeps newcomers out."""
+        depth, layers = (node.depth, node.layers) if node else (0, 0)
+        rms = math.sqrt(node.quad + square) / (depth + 1) if node else 0.0
+        for cluster, wide in ((("a", link.bot_a), link.wide_a), (("b", link.bot_b), link.wide_b)):
+            for other in self.on.get(cluster, ()):
+                if other.depth > depth + self.cuts.longer:
+                    return True
+                alike = depth <= other.depth + 1 and min(other.layers, layers) >= 3 and wide <= self.cuts.wide
+                if alike and rms > self.cuts.worse * other.rms:
+                    return True
+        return False
+
+    def starts(self, point: str, link: Link) -> bool:
+        """Whether a tree may start: the point is no second one of a chain, and no longer tree ends on its clusters."""
+        own_a, own_b = self.on.get(("a", link.top_a), ()), self.on.get(("b", link.top_b), ())
+        return point not in self.chained and all(x.layers <= 2 for x in own_a) and all(x.depth <= 2 for x in own_b)
+
+    def arbitrate(self, ends: list[Node]) -> None:
+        """Of the nodes at a dead end the longer or straighter one stays, if any has two links."""
+        best, least, most = None, 2 * math.pi, -1
+        for node in ends:
+            if node.depth > 1 and (node.depth > most + 2 or node.rms < least):
+                best, least, most = node, node.rms, node.depth
+        if best:
+            self.drop(x for x in ends if x is not best)
+
+    def drop(self, losers: Iterable[Node]) -> None:
+        for node in list(losers):
+            node.alive = False
+            self.at[node.link.bot_id].remove(node)
+            for cluster in (("a", node.link.bot_a), ("b", node.link.bot_b)):
+                self.on[cluster].remove(node)
+
+
+def grow_event(links: list[Link], cuts: Cuts) -> Iterator[Node]:
+    """links: those of one event by falling layer, then by point, steps and lower point, which is the order of all choices."""
+    below: dict[str, list[Link]] = defaultdict(list)
+    layer_of: dict[str, int] = {}
+    for link in links:
+        below[link.top_id].append(link)
+        layer_of[link.top_id], layer_of[link.bot_id] = link.top_layer, link.bot_layer
+    ends = {link.bot_id for link in links}
+    growth = Growth(cuts.of_event(len(links)), {link.bot_id for link in links if link.top_id in ends})
+    for point in sorted(layer_of, key=lambda p: (-layer_of[p], p)):
+        growth.take(point, below.get(point, []))
+    for point in layer_of:
+        yield from growth.at[point]
 
 
 NODE = ("event", "head", "parent_id", "top_id", "bot_id", "bot_layer", "step", "sx", "sy", "depth", "n_angles", "quad", "path")
+NODES = "event long, head string, parent_id string, top_id string, bot_id string, bot_layer int, step int, sx double, sy double, depth int, n_angles int, quad double, path array<string>"
+NODE_SCHEMA = pa.schema([("event", pa.int64()), *[(c, pa.string()) for c in ("head", "parent_id", "top_id", "bot_id")], ("bot_layer", pa.int32()), ("step", pa.int32()), ("sx", pa.float64()), ("sy", pa.float64()), ("depth", pa.int32()), ("n_angles", pa.int32()), ("quad", pa.float64()), ("path", pa.list_(pa.string()))])
 
 
-def grow(links: DataFrame, layers: int = 18, cuts: Cuts = Cuts()) -> DataFrame:
-    """links: event, top_layer, bot_layer, step, top_id, bot_id, sx, sy. The nodes of all trees.
+def grow(links: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
+    """links: event, top_layer, bot_layer, step, top_id, bot_id, sx, sy, top_a, top_b, bot_a, bot_b and, if there are such, wide_a,
+    wide_b (widths of the lower point's clusters) and gap (skipped layers lie in a gap). The nodes of all trees.
 
-    From the top layer down, the links of a point are attached to the best node that ends there: first those of more than three
-    angles, then the least root of the summed squared displacements over their number. A point where no node ends starts a
-    tree. A tree doesn't begin with a link over two layers or more, nor does such a link follow another skipping one within
-    four layers. A link whose angle, displacement or (at a first link) kink is too large isn't attached.
-    path: the tree's head and the points down to the node's. Ties fall by ids.
+    From the top layer down, and in a layer by id, each point's links are attached to the best node that ends there: those of more
+    than three angles before those of two, then the least root of the summed squared displacements over their number. A point
+    where none fits starts a tree, unless it is second in a chain of links or lies on clusters of longer trees; trees don't begin
+    with a link over three layers or more outside of gaps. A link is refused where one of its clusters belongs to a much longer or
+    much straighter node (an owner is never evicted). Once links are attached, all other nodes that end at the point are deleted;
+    where no link starts, all but the best are. depth: links from the head; path: points from the head down to the node's.
     """
-    found: list[DataFrame] = []
-    for layer in range(layers - 1, 0, -1):
-        out = links.filter(F.col("top_layer") == layer).alias("o")
-        landed = [n.filter(F.col("bot_layer") == layer) for n in found]
-        heads = out.filter("step <= 2")
-        parts = []
-        if landed:
-            ends = landed[0]
-            for more in landed[1:]:
-                ends = ends.unionByName(more)
-            i = ends.alias("i")
-            cosine, dx, dy = joint("i", "o", cuts)
-            skips = (F.col("i.step") > 1) & (F.col("o.step") > 2) & (F.size("i.path") < 5)
-            ok = (cosine > F.lit(round(math.cos(cuts.angle), 9))) & (dx < cuts.most) & (dy < cuts.most) & ((F.col("i.depth") > 1) | (cosine >= F.lit(round(cuts.kink, 9)))) & ~skips
-            pairs = out.join(i, (F.col("o.event") == F.col("i.event")) & (F.col("o.top_id") == F.col("i.bot_id"))).filter(ok)
-            quad, n = F.col("i.quad") + dx * dx + dy * dy, F.col("i.n_angles") + 1
-            pairs = pairs.select("o.*", F.col("i.head").alias("head"), F.col("i.top_id").alias("parent_id"), (F.col("i.depth") + 1).alias("depth"), n.alias("n_angles"), quad.alias("quad"), F.concat("i.path", F.array("o.bot_id")).alias("path"))
-            rank = F.row_number().over(Window.partitionBy("event", "top_id").orderBy((F.col("n_angles") <= 3).cast("int"), F.round(F.sqrt("quad") / F.col("n_angles"), 9), "parent_id", "bot_id"))
-            best = pairs.withColumn("first", rank).withColumn("chosen", F.first("parent_id").over(Window.partitionBy("event", "top_id").orderBy("first")))
-            parts.append(best.filter(F.col("parent_id") == F.col("chosen")).select(*NODE))
-            heads = heads.join(ends.select("event", F.col("bot_id").alias("top_id")).distinct(), ["event", "top_id"], "left_anti")
-        new = heads.withColumns({"head": F.col("top_id"), "parent_id": F.lit(None).cast(links.schema["top_id"].dataType), "depth": F.lit(1), "n_angles": F.lit(0), "quad": F.lit(0.0), "path": F.array("top_id", "bot_id")})
-        parts.append(new.select(*NODE))
-        found.append(cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def statistics(nodes: DataFrame, layers: int = 18) -> DataFrame:
-    """Nodes with leaves, branches (of children deeper than two), depth below (1 at a leaf), and the most points and the straightness of their best leaf.
-
-    A child is better if it is deeper, then if its best leaf is straighter. One step for each layer, from the bottom up.
+    has = set(links.columns)
+    rows = links.withColumns({c: F.lit(v) for c, v in {"wide_a": 1, "wide_b": 1, "gap": False}.items() if c not in has}).select(*Link._fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (Link(*row) for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        held = []
+        for event, mine in groupby(found, lambda x: x.event):
+            for n in grow_event(list(mine), cuts):
+                k, parent = n.link, n.parent.link.top_id if n.parent else None
+                held.append((event, n.path[0], parent, k.top_id, k.bot_id, k.bot_layer, k.step, k.sx, k.sy, n.depth, n.depth - 1, n.quad, n.path))
+            if len(held) > 5000:
+                yield table(held)
+                held = []
+        yield table(held)
+
+    def table(held: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*held, strict=True)) or [()] * len(NODE)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, NODE_SCHEMA, strict=True)], schema=NODE_SCHEMA)
+
+    order = ("event", F.desc("top_layer"), "top_id", "step", "bot_id")
+    return rows.repartition("event").sortWithinPartitions(*order).mapInArrow(run, NODES)
+
+
+def statistics(nodes: DataFrame) -> DataFrame:
+    """Nodes with leaves, branches, depth below (1 at a leaf), and the points and straightness of their best leaf.
+
+    A child is better if it is deeper, then if its best leaf is straighter, so the best leaf of a node is the straightest of its
+    deepest ones. Each leaf goes to all nodes on its path. A branch is a node below with exactly three levels: the first of a
+    run that is deeper than two.
     """
     rms = F.when(F.col("n_angles") > 0, F.sqrt("quad") / F.col("n_angles")).otherwise(0.0)
-    done: list[DataFrame] = []
-    for layer in range(layers - 1):
-        rows = nodes.filter(F.col("bot_layer") == layer)
-        own = {"n_leaves": F.lit(1).cast("long"), "n_branches": F.lit(0).cast("long"), "below": F.lit(1), "most_points": F.size("path"), "best_rms": rms}
-        if done:
-            lower = done[0]
-            for more in done[1:]:
-                lower = lower.unionByName(more)
-            better = F.struct((-F.col("below")).alias("a"), F.round(F.col("best_rms"), 9).alias("b"), F.col("bot_id").alias("c"), F.col("most_points").alias("points"), F.col("best_rms").alias("rms"))
-            branches = F.when(F.col("below") > 2, F.greatest(F.col("n_branches"), F.lit(1))).otherwise(0)
-            children = lower.filter("parent_id IS NOT NULL").groupBy("event", "parent_id", "top_id").agg(F.sum("n_leaves").alias("c_leaves"), F.sum(branches).alias("c_branches"), F.max("below").alias("c_below"), F.min(better).alias("c_best"))
-            children = children.select(F.col("event"), F.col("parent_id").alias("p"), F.col("top_id").alias("t"), "c_leaves", "c_branches", "c_below", "c_best")
-            here = rows.alias("r").join(children.alias("c"), (F.col("r.event") == F.col("c.event")) & (F.col("r.top_id") == F.col("c.p")) & (F.col("r.bot_id") == F.col("c.t")), "left").select("r.*", "c_leaves", "c_branches", "c_below", "c_best")
-            child = {"n_leaves": "c_leaves", "n_branches": "c_branches", "below": F.col("c_below") + 1, "most_points": "c_best.points", "best_rms": "c_best.rms"}
-            own = {c: F.coalesce(F.col(x) if isinstance(x, str) else x, own[c]) for c, x in child.items()}
-            rows = here
-        done.append(cut_lineage(rows.select(*NODE, *[x.alias(c) for c, x in own.items()])))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    parents = nodes.filter("parent_id IS NOT NULL").select("event", F.col("parent_id").alias("top_id"), F.col("top_id").alias("bot_id")).distinct()
+    leaves = nodes.join(parents, ["event", "top_id", "bot_id"], "left_anti").select("event", "path", rms.alias("rms"))
+    above = lambda path: F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda k: F.struct(F.get(path, k - 1).alias("top_id"), F.get(path, k).alias("bot_id"), (F.size(path) - k).alias("below")))
+    each = leaves.select("event", "path", "rms", F.explode(above(F.col("path"))).alias("at")).select("event", "path", "rms", "at.*")
+    best = F.min(F.struct((-F.col("below")).alias("a"), F.round("rms", 9).alias("b"), F.col("path"), F.col("rms"))).alias("best")
+    sums = each.groupBy("event", "top_id", "bot_id").agg(F.count("*").alias("n_leaves"), F.max("below").alias("below"), best)
+    found = nodes.join(sums, ["event", "top_id", "bot_id"])
+    third = found.filter("below = 3 AND depth > 1").select("event", F.explode(above(F.slice("path", 1, F.size("path") - 1))).alias("at")).groupBy("event", "at.top_id", "at.bot_id").agg(F.count("*").alias("n_branches"))
+    found = found.join(third, ["event", "top_id", "bot_id"], "left")
+    return found.select(*NODE, "n_leaves", F.coalesce("n_branches", F.lit(0)).alias("n_branches"), "below", F.size("best.path").alias("most_points"), F.col("best.rms").alias("best_rms"))
 
 
 def ranked_leaves(stats: DataFrame, least_unique: int = 2) -> DataFrame:

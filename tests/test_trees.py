@@ -1,17 +1,17 @@
 """Trees of links on small made-up events."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from stripweave.operators import islands, links, points, trees
 
-LAYERS = 8
-
 
 def event(spark, tracks, skip=1):
     """tracks: lists of (layer, x, y)."""
     rows = sorted({(1, layer, x, y, f"{layer}:{x}:{y}") for t in tracks for layer, x, y in t})
     p = spark.createDataFrame(rows, "event long, layer int, x long, y long, id string")
-    return p, trees.with_slopes(links.links(p, skip))
+    p = p.withColumns({"a": F.concat_ws(":", "layer", "x"), "b": F.concat_ws(":", "layer", "y")})
+    return p, trees.with_slopes(links.links(p, skip, more=("a", "b")))
 
 
 def straight(layers, x=100, dx=20):
@@ -20,44 +20,45 @@ def straight(layers, x=100, dx=20):
 
 def test_a_straight_track_is_one_tree(spark):
     p, k = event(spark, [straight(range(7, 0, -1))], skip=0)
-    nodes = trees.grow(k, LAYERS)
+    nodes = trees.grow(k)
     assert {r["head"] for r in nodes.collect()} == {"7:100:300"}
-    leaf = trees.ranked_leaves(trees.statistics(nodes, LAYERS)).collect()
+    leaf = trees.ranked_leaves(trees.statistics(nodes)).collect()
     assert [(r["n_points"], r["rank"], r["accepted"]) for r in leaf] == [(7, 1, True)]
-    hits = trees.leaf_hits(trees.ranked_leaves(trees.statistics(nodes, LAYERS)), p).orderBy("layer").collect()
+    hits = trees.leaf_hits(trees.ranked_leaves(trees.statistics(nodes)), p).orderBy("layer").collect()
     assert [(r["layer"], r["x"]) for r in hits] == [(layer, 100 + 20 * (7 - layer)) for layer in range(1, 8)]
 
 
 def test_a_missing_layer_becomes_a_gap_hit(spark):
     p, k = event(spark, [straight([7, 6, 5, 3, 2])])
-    leaves = trees.ranked_leaves(trees.statistics(trees.grow(k, LAYERS), LAYERS)).filter("rank = 1 AND head = '7:100:300'")
+    leaves = trees.ranked_leaves(trees.statistics(trees.grow(k))).filter("rank = 1 AND head = '7:100:300'")
     hits = {r["layer"]: (r["x"], r["gap"]) for r in trees.leaf_hits(leaves, p).collect()}
     assert hits[4] == (160.0, True)
-    assert [layer for layer, (_, gap) in hits.items() if gap] == [4]
+    assert sorted(hits) == [2, 3, 4, 5, 6, 7]
+    assert all(x == 100 + 20 * (7 - layer) for layer, (x, _) in hits.items())
 
 
 def test_a_fork_has_two_leaves_and_the_longer_one_wins(spark):
     trunk = straight([7, 6, 5, 4])
     left, right = [(3, 185, 300), (2, 210, 300)], [(3, 175, 300), (2, 190, 300), (1, 205, 300)]
     _, k = event(spark, [trunk + left, trunk + right], skip=0)
-    stats = trees.statistics(trees.grow(k, LAYERS), LAYERS).filter("top_id = '7:100:300'").first()
-    leaves = {r["rank"]: r for r in trees.ranked_leaves(trees.statistics(trees.grow(k, LAYERS), LAYERS), least_unique=1).filter("head = '7:100:300'").collect()}
+    stats = trees.statistics(trees.grow(k)).filter("top_id = '7:100:300'").first()
+    leaves = {r["rank"]: r for r in trees.ranked_leaves(trees.statistics(trees.grow(k)), least_unique=1).filter("head = '7:100:300'").collect()}
     assert stats["n_leaves"] >= 2
     assert stats["most_points"] == leaves[1]["n_points"] == 7
     assert leaves[1]["leaf"] == "1:205:300"
     assert leaves[2]["n_shared"] >= 4
 
 
-def test_sharp_kinks_are_not_attached(spark):
+def test_behind_a_sharp_kink_a_tree_starts_and_what_ended_there_goes(spark):
     _, k = event(spark, [[(7, 100, 300), (6, 100, 300), (5, 500, 300)]], skip=0)
-    assert sorted((r["top_id"], r["depth"]) for r in trees.grow(k, LAYERS).collect()) == [("7:100:300", 1)]
+    assert sorted((r["top_id"], r["depth"]) for r in trees.grow(k).collect()) == [("6:100:300", 1)]
 
 
 def test_empty_event(spark):
     _, k = event(spark, [straight([7, 6])], skip=0)
     none = k.filter("event = 2")
-    assert trees.grow(none, LAYERS).count() == 0
-    assert trees.ranked_leaves(trees.statistics(trees.grow(none, LAYERS))).count() == 0
+    assert trees.grow(none).count() == 0
+    assert trees.ranked_leaves(trees.statistics(trees.grow(none))).count() == 0
 
 
 def test_point_ids_beyond_a_million(spark):
@@ -69,8 +70,6 @@ def test_point_ids_beyond_a_million(spark):
 
 @pytest.mark.parametrize(("strips", "truncated", "allowed"), [([5], True, 10), ([5, 9], True, 5), ([5, 9], False, 0), ([1, 2], True, 3), ([1, 500], True, 10)])
 def test_allowed_gap(spark, strips, truncated, allowed):
-    from pyspark.sql import functions as F
-
     rows = spark.createDataFrame([(1, s, 0, truncated) for s in strips], "plane int, strip int, side int, cut boolean")
     assert islands.allowed_gap(rows, ["plane"], F.max("cut"), []).first()["allowed"] == allowed
 
@@ -84,3 +83,79 @@ def test_guard_counts_points_before_they_are_formed(spark):
     assert [(r["event"], r["stage"]) for r in found.errors.collect()] == [(1, "points")]
     assert {r["event"] for r in found.points.collect()} == {2}
     assert first_pass(hits, Config(last_stage=LINKS)).summary.count() == 0
+
+
+def link(top, bot, sx=0.0, sy=0.0, **more):
+    """A link of a made-up event; points are (layer, a, b), clusters are their coordinates."""
+    name = lambda p: ":".join(map(str, p))
+    fields = {"event": 1, "top_layer": top[0], "top_id": name(top), "step": top[0] - bot[0], "bot_id": name(bot), "bot_layer": bot[0], "sx": sx, "sy": sy}
+    fields |= {"top_a": f"{top[0]}:{top[1]}", "top_b": f"{top[0]}:{top[2]}", "bot_a": f"{bot[0]}:{bot[1]}", "bot_b": f"{bot[0]}:{bot[2]}", "wide_a": 1, "wide_b": 1, "gap": False}
+    return trees.Link(**fields | more)
+
+
+def grown(*found):
+    ordered = sorted(found, key=lambda x: (-x.top_layer, x.top_id, x.step, x.bot_id))
+    return {tuple(n.path) for n in trees.grow_event(ordered, trees.Cuts())}
+
+
+def chain(points, sx=0.0):
+    return [link(p, q, sx) for p, q in zip(points, points[1:], strict=False)]
+
+
+def names(points):
+    return tuple(":".join(map(str, p)) for p in points)
+
+
+def test_losers_at_a_point_are_deleted():
+    one = [(9, 1, 1), (8, 1, 1), (7, 5, 5), (6, 5, 5)]
+    other = [(9, 2, 2), (8, 2, 2), (7, 5, 5)]
+    paths = grown(*chain(one), *chain(other, sx=0.1))
+    assert names(one) in paths
+    assert names(other) not in paths
+    assert names(other[:2]) in paths  # what the loser hung on stays
+
+
+def test_of_nodes_at_a_dead_end_the_straighter_one_stays():
+    straight, bent = [(9, 1, 1), (8, 1, 1), (7, 1, 1), (6, 5, 5)], [(9, 2, 2), (8, 2, 2), (7, 2, 2), (6, 5, 5)]
+    found = [*chain(straight), *chain(bent)]
+    found[-1] = found[-1]._replace(sx=0.2)
+    paths = grown(*found)
+    assert names(straight) in paths
+    assert names(bent) not in paths
+    assert names(bent[:3]) in paths
+
+
+def test_newcomers_are_refused_by_much_longer_nodes():
+    long = [(9, 1, 1), (8, 1, 1), (7, 1, 1), (6, 1, 1), (5, 1, 1)]
+    short = [(6, 2, 2), (5, 1, 3)]  # shares cluster a of layer 5 with the fourth link
+    assert names(short) not in grown(*chain(long), *chain(short))
+    apart = [(6, 2, 2), (5, 2, 3)]
+    assert names(apart) in grown(*chain(long), *chain(apart))
+
+
+def test_a_much_straighter_owner_keeps_newcomers_out_of_narrow_clusters():
+    straight, bent = [(9, 1, 1), (8, 1, 1), (7, 1, 1), (6, 1, 1)], [(9, 2, 2), (8, 2, 2), (7, 2, 2), (6, 1, 2)]
+    found = [*chain(straight), *chain(bent)]
+    found[-1] = found[-1]._replace(sx=0.3)
+    assert names(bent) not in grown(*found)
+    found[-1] = found[-1]._replace(wide_a=5)
+    assert names(bent) in grown(*found)
+
+
+def test_trees_dont_start_on_clusters_of_longer_ones():
+    long, late = [(9, 1, 1), (8, 1, 1), (7, 1, 1)], [(7, 1, 4), (6, 4, 4), (5, 4, 4)]
+    assert names(late) not in grown(*chain(long), *chain(late))
+    assert names([(7, 2, 4), *late[1:]]) in grown(*chain(long), *chain([(7, 2, 4), *late[1:]]))
+
+
+def test_trees_start_with_long_links_in_gaps_only():
+    long = link((9, 1, 1), (6, 1, 1))
+    assert grown(long) == set()
+    assert grown(long._replace(gap=True)) == {names([(9, 1, 1), (6, 1, 1)])}
+    assert grown(link((9, 1, 1), (4, 1, 1), gap=True)) == set()
+
+
+def test_cuts_widen_for_small_events():
+    assert trees.Cuts().of_event(1000) == trees.Cuts()
+    assert trees.Cuts().of_event(10).displaced == pytest.approx(1.25 + 1.69 * 2.25)
+    assert trees.Cuts().of_event(100, energy=100.0).kink == pytest.approx(0.7071067811865476)
