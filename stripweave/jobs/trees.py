@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import links as lnk
-from ..operators import trees
+from ..operators import packing, trees
 from .hits import BAND, SQL_EP, SQL_LINKS, user_points
 from .register import query
 
@@ -151,3 +151,42 @@ def best_leaf_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = trees.ranked_leaves(trees.statistics(grown(spark, sf_dir))).filter("rank = 1")
     found = trees.leaf_hits(best, user_points(spark, sf_dir))
     return found.select("event", "head", "layer", "point_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "gap")
+
+
+PACKING = packing.Packing()
+MARKS = "(list_has_any(acc.{0}_a, [h.a for h in p.hits]) OR list_has_any(acc.{0}_b, [h.b for h in p.hits]))"
+LINKS_OF = "(len(p.hits) - 1)"
+
+
+def sql_added(name: str, view: str) -> str:
+    """The clusters that a taken path adds to a list; no cluster here is wide."""
+    place = f"k - 1 > CASE WHEN {LINKS_OF} < 4 THEN 0 ELSE {PACKING.shared} END" if name == "outs" else f"k - 1 = {name[4:]} AND k - 1 <= CASE WHEN {LINKS_OF} < 4 THEN 0 ELSE {PACKING.shared} END"
+    return f"'{name}_{view}': list_concat(acc.{name}_{view}, list_transform(list_filter(range(1, len(p.hits) + 1), lambda k: {place}), lambda k: p.hits[k].{view}))"
+
+
+LISTS = [f"{name}_{view}" for name in ("outs", "mark0", "mark1", "mark2") for view in "ab"]
+SQL_PACKED = f"""{LEAVES},
+pp AS (SELECT event, head || '>' || leaf AS path_id, row_number() OVER (PARTITION BY event ORDER BY n_points DESC, round(rms, 9), head, leaf)::INT AS rank, path FROM lv),
+ph AS (SELECT pp.*, p.layer AS start_layer, [{{'a': split_part(x, ':', 1), 'b': split_part(x, ':', 2)}} for x in path] AS hits FROM pp JOIN p ON pp.event = p.event AND pp.path[1] = p.id),
+pg AS (SELECT event, list_reduce(list({{'rank': rank, 'path_id': path_id, 'start_layer': start_layer, 'hits': hits}} ORDER BY rank), lambda acc, p:
+  CASE WHEN len(acc.taken) < {PACKING.most} AND {LINKS_OF} >= 1 AND NOT {MARKS.format("outs")} AND NOT (NOT {MARKS.format("mark0")} AND ({MARKS.format("mark1")} OR {MARKS.format("mark2")}))
+    AND NOT ({LINKS_OF} < acc.least AND p.start_layer < coalesce(acc.top, p.start_layer) - 2)
+  THEN {{'taken': list_append(acc.taken, p.path_id), 'least': greatest(acc.least, {LINKS_OF} - 4), 'top': coalesce(acc.top, p.start_layer), {", ".join(sql_added(*x.split("_")) for x in LISTS)}}}
+  ELSE {{'taken': acc.taken, 'least': acc.least, 'top': coalesce(acc.top, p.start_layer), {", ".join(f"'{x}': acc.{x}" for x in LISTS)}}} END,
+  {{'taken': []::VARCHAR[], 'least': {PACKING.least_links}::BIGINT, 'top': NULL::INT, {", ".join(f"'{x}': []::VARCHAR[]" for x in LISTS)}}}).taken AS taken FROM ph GROUP BY event)
+SELECT event, (k - 1)::INT AS track, taken[k] AS path_id FROM (SELECT event, taken, unnest(range(1, len(taken) + 1)) AS k FROM pg)"""
+
+
+def leaf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of all leaves as packing.pack takes them: longest first, then straightest; the clusters of a point are its hits."""
+    leaves_ = trees.ranked_leaves(trees.statistics(grown(spark, sf_dir)))
+    order = Window.partitionBy("event").orderBy(F.desc("n_points"), F.round("rms", 9), "head", "leaf")
+    hit = lambda x: F.struct(F.split(x, ":")[0].alias("a"), F.split(x, ":")[1].alias("b"), F.lit(False).alias("wide"))
+    tops = user_points(spark, sf_dir).select("event", F.col("id").alias("head"), F.col("layer").alias("start_layer"))
+    return leaves_.join(tops, ["event", "head"]).select("event", F.concat_ws(">", "head", "leaf").alias("path_id"), F.row_number().over(order).alias("rank"), "start_layer", F.transform("path", hit).alias("hits"))
+
+
+@query("o6_packed_tracks", SQL_PACKED)
+def packed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of all trees that become tracks when the best is taken first and its hits are shared by the rules alone."""
+    return packing.pack(leaf_paths(spark, sf_dir), PACKING)
