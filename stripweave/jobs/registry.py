@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attributes, estimates, hits, selections, shapes, tracks, trees  # noqa: F401  fill the tables
+from . import attributes, estimates, following, hits, selections, shapes, tracks, trees  # noqa: F401  fill the tables
 from .register import ORACLES, QUERIES, Query, query  # noqa: F401
 
 FLAGSHIP = "j3_adjacent_links"
