@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import LAYER_PITCH, STRIP_PITCH, TRAY_WIDTH
-from ..operators import following, packing
+from ..operators import following, packing, vertices
+from ..operators.graph import cut_lineage
 from ..sources.hits import user_hits
 from .hits import user_points
 from .register import query
@@ -64,9 +65,8 @@ hs AS (SELECT event, track, z.n_a + z.n_b >= {RULES.least_hits} AND least(z.n_a,
 SELECT event, track, found, i::INT - 1 AS place, hits[i].plane AS plane, hits[i].cluster AS cluster FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM hs)"""
 
 
-@query("h1_followed_hits", sql_follow())
-def followed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hits and gaps of tracks that start at the heads of packed paths, along their first links (H1, H5)."""
+def followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks that start at the heads of packed paths, along their first links."""
     paths = leaf_paths(spark, sf_dir)
     tracks = packing.pack(paths, PACKING).join(paths.select("event", "path_id", "hits"), ["event", "path_id"])
     name = lambda k: F.concat_ws(":", F.col("hits")[k]["a"], F.col("hits")[k]["b"])
@@ -77,8 +77,30 @@ def followed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rise = (F.col("top_layer") - F.col("bot_layer")) * LAYER_PITCH
     slopes = {f"s{a}": (F.col(f"top_{a}") - F.col(f"bot_{a}")) * STRIP_PITCH / rise for a in "xy"}
     seeds = ends.withColumns(slopes).select("event", "track", (2 * F.col("top_layer") + 1).alias("plane"), *[(F.col(f"top_{a}") * STRIP_PITCH).alias(a) for a in "xy"], "sx", "sy")
-    found = following.follow(seeds, plane_clusters(spark, sf_dir), RULES)
-    return found.select("event", "track", "found", F.posexplode("hits").alias("place", "hit")).select("event", "track", "found", "place", "hit.plane", "hit.cluster")
+    return following.follow(seeds, plane_clusters(spark, sf_dir), RULES)
+
+
+@query("h1_followed_hits", sql_follow())
+def followed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits and gaps of followed tracks (H1, H5)."""
+    found = followed(spark, sf_dir).select("event", "track", "found", F.posexplode("hits").alias("place", "hit"))
+    return found.select("event", "track", "found", "place", "hit.plane", "hit.cluster")
+
+
+@query("x1_greedy_vertices")
+def greedy_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices of an event's followed tracks, the best partner first (X1). Their lines and covariances are fitted to their hits; a
+    track's energy is half that of the one before, 30 MeV at least. The given strips are random, so approaches and qualities are
+    gated widely here; the defaults are the fixed values."""
+    found = cut_lineage(followed(spark, sf_dir).filter("found").select("event", "track", F.explode("hits").alias("hit")).select("event", "track", "hit.*").filter("cluster IS NOT NULL"))
+    at = plane_clusters(spark, sf_dir).select("event", "cluster", "position")
+    hits = found.join(at, ["event", "cluster"]).withColumns({"view": F.col("plane") % 2, "z": F.floor(F.col("plane") / 2) * LAYER_PITCH})
+    first = found.groupBy("event", "track").agg(F.max(F.struct("plane", "cluster")).alias("first"))
+    energy = F.greatest(F.lit(30.0), 1000.0 / F.expr("shiftleft(1, track)"))
+    more = first.select("event", "track", F.floor(F.col("first.plane") / 2).cast("int").alias("layer"), F.col("first.cluster").cast("string").alias("cluster"), F.lit(1).alias("width"), energy.alias("energy"))
+    tracks = cut_lineage(vertices.line_states(hits).join(more, ["event", "track"]))
+    out = vertices.vertices(tracks, vertices.Vertexing(most_doca=50.0, least_quality=-1e6))
+    return out.select("event", "first", "second", F.round("quality", 3).alias("quality"), F.round("doca", 4).alias("doca"), F.round("z", 4).alias("z"), "status")
 
 
 def plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

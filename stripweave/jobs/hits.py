@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.geometry import order_key
 from ..operators import islands as isl
 from ..operators import links as lnk
 from ..operators import points as pts
+from ..sources import store
 from ..sources.hits import SQL_ORDERS, SQL_USERS, order_hits, table, user_hits
 from .register import query
 
@@ -108,6 +111,14 @@ def adjacent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_links(spark, sf_dir, 0).groupBy("event").agg(F.count("*").alias("n_links"), F.round(F.avg(lnk.transverse()), 6).alias("mean_distance"), F.max(d2).alias("most_d2"))
 
 
+@query("s2_stored_points", SQL_EP + SQL_LINKS.format(steps=1, band=BAND) + " SELECT event, top_layer, count(*) AS n_links FROM k GROUP BY ALL")
+def stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written as a table bucketed by event (S2), and its links by layer. The exchange by event is that of the sink."""
+    points = store.save(user_points(spark, sf_dir), f"points_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions")), ("layer",))
+    dx, dy = F.col("top_x") - F.col("bot_x"), F.col("top_y") - F.col("bot_y")
+    return lnk.links(points, 0, dx * dx + dy * dy <= 250000).groupBy("event", "top_layer").agg(F.count("*").alias("n_links"))
+
+
 @query("j3_skip_links", SQL_EP + SQL_LINKS.format(steps=4, band=BAND) + " SELECT event, step::INT AS step, count(*) AS n_links, sum(top_x - bot_x)::BIGINT AS sum_dx, sum(top_y - bot_y)::BIGINT AS sum_dy FROM k GROUP BY ALL")
 def skip_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_links(spark, sf_dir, 3).groupBy("event", "step").agg(F.count("*").alias("n_links"), F.sum(F.col("top_x") - F.col("bot_x")).alias("sum_dx"), F.sum(F.col("top_y") - F.col("bot_y")).alias("sum_dy"))

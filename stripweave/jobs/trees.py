@@ -99,12 +99,16 @@ l3 AS (SELECT *, len(list_intersect(path, best)) AS n_shared FROM l2),
 lv AS MATERIALIZED (SELECT *, rank = 1 OR n_points - n_shared > 2 AS accepted FROM l3)"""
 
 
+def with_clusters(links: DataFrame) -> DataFrame:
+    """Links of points with x_hit and y_hit: slopes, and the clusters of both points."""
+    clusters = {f"{end}_{k}": F.col(f"{end}_{view}_hit").cast("string") for end in ("top", "bot") for k, view in (("a", "x"), ("b", "y"))}
+    return trees.with_slopes(links).withColumns(clusters)
+
+
 def cluster_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of user_links with their slopes and the clusters of their points."""
     dx, dy = F.col("top_x") - F.col("bot_x"), F.col("top_y") - F.col("bot_y")
-    found = lnk.links(user_points(spark, sf_dir), SKIP, dx * dx + dy * dy <= 250000, ("x_hit", "y_hit"))
-    clusters = {f"{end}_{k}": F.col(f"{end}_{view}_hit").cast("string") for end in ("top", "bot") for k, view in (("a", "x"), ("b", "y"))}
-    return trees.with_slopes(found).withColumns(clusters)
+    return with_clusters(lnk.links(user_points(spark, sf_dir), SKIP, dx * dx + dy * dy <= 250000, ("x_hit", "y_hit")))
 
 
 def grown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Trees of links: growth with competition for clusters, statistics, choice of leaves, hits of a leaf.
 
 A node is a link that was attached: it stands on its bottom point and hangs on the node that ends at its top point. Growth
-depends on the order in which an event's points are taken, so it is a fold over the event's links, sorted by event in the task: one
-exchange, no rounds; the guards of the first pass bound an event. All else is grouping and joining by event.
+depends on the order in which an event's points are taken, so it is a fold over the event's links: one grouping by event (no
+exchange where the links lie together by event), no rounds; the guards of the first pass bound an event. All else is grouping and joining by event.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import math
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
-from itertools import groupby
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -228,24 +227,16 @@ def grow(links: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     has = set(links.columns)
     rows = links.withColumns({c: F.lit(v) for c, v in {"wide_a": 1, "wide_b": 1, "gap": False}.items() if c not in has}).select(*Link._fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (Link(*row) for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    def run(event: pa.Table) -> pa.Table:
+        found = sorted((Link(*row) for row in zip(*[c.to_pylist() for c in event.columns], strict=True)), key=lambda x: (-x.top_layer, x.top_id, x.step, x.bot_id))
         held = []
-        for event, mine in groupby(found, lambda x: x.event):
-            for n in grow_event(list(mine), cuts):
-                k, parent = n.link, n.parent.link.top_id if n.parent else None
-                held.append((event, n.path[0], parent, k.top_id, k.bot_id, k.bot_layer, k.step, k.sx, k.sy, n.depth, n.depth - 1, n.quad, n.path))
-            if len(held) > 5000:
-                yield table(held)
-                held = []
-        yield table(held)
-
-    def table(held: list[tuple]) -> pa.RecordBatch:
+        for n in grow_event(found, cuts):
+            k, parent = n.link, n.parent.link.top_id if n.parent else None
+            held.append((k.event, n.path[0], parent, k.top_id, k.bot_id, k.bot_layer, k.step, k.sx, k.sy, n.depth, n.depth - 1, n.quad, n.path))
         columns = list(zip(*held, strict=True)) or [()] * len(NODE)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, NODE_SCHEMA, strict=True)], schema=NODE_SCHEMA)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, NODE_SCHEMA, strict=True)], schema=NODE_SCHEMA)
 
-    order = ("event", F.desc("top_layer"), "top_id", "step", "bot_id")
-    return rows.repartition("event").sortWithinPartitions(*order).mapInArrow(run, NODES)
+    return rows.groupBy("event").applyInArrow(run, NODES)
 
 
 def statistics(nodes: DataFrame) -> DataFrame:
