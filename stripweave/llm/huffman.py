@@ -137,8 +137,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        if resize := getattr(self.library.model, "_resize_cache", None):
-            resize(0)  # chunks are kept in a table of our own; words that come here are new
         self.n = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.n <= 1 << 16 else "<u4")
         added = {t.content: np.array([i], self.dtype).tobytes() for i, t in self.library.get_added_tokens_decoder().items()}

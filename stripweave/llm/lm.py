@@ -173,8 +173,10 @@ def events_of(sizes: list[int], texts: bytes, bits: int) -> Events:
     return Events(pa.Array.from_buffers(pa.large_binary(), len(sizes), buffers), bits)
 
 
-def edges(bits: int, ranges: int) -> np.ndarray:
-    return np.array([(k << bits) // ranges for k in range(1, ranges)], U)
+def range_of(hashes: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+    """Number of the range of each hash of so many bits: as its highest 32 bits share out the ranges, so it never falls with the hash."""
+    low = max(0, bits - 32)
+    return ((hashes >> U(low)) * U(ranges)) >> U(bits - low)
 
 
 def requests(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
@@ -182,13 +184,14 @@ def requests(chunks: DataFrame, ranges: int, bits: int) -> DataFrame:
         for batch in batches:
             for chunk, kind, sizes, texts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "sizes", "texts")), strict=True):
                 e = events_of(sizes, texts, bits)
-                cuts = [np.concatenate(([0], np.searchsorted(h, edges(64 if k == 0 else bits, ranges)), [len(h)])) for k, h in enumerate(e.hashes)]
+                places = [range_of(h, 64 if k == 0 else bits, ranges) for k, h in enumerate(e.hashes)]
+                met = np.unique(np.concatenate([np.unique(x) for x in places]))  # a chunk's work grows with its n-grams alone
+                cuts = [(np.searchsorted(x, met), np.searchsorted(x, met, "right")) for x in places]
                 out = []
-                for r in range(ranges):
-                    parts = [slice(c[r], c[r + 1]) for c in cuts]
-                    if any(p.start < p.stop for p in parts):
-                        data = [f(x[p]) for p, h, c in zip(parts, e.hashes, e.counts, strict=True) for f, x in ((packed_sorted, h), (packed_counts, c))]
-                        out.append((chunk, kind, r, *data))
+                for k, r in enumerate(met.tolist()):
+                    parts = [slice(begin[k], end[k]) for begin, end in cuts]
+                    data = [f(x[p]) for p, h, c in zip(parts, e.hashes, e.counts, strict=True) for f, x in ((packed_sorted, h), (packed_counts, c))]
+                    out.append((chunk, kind, r, *data))
                 yield as_batch(out, MESSAGE)
 
     return chunks.select("chunk", "kind", "sizes", "texts").mapInArrow(run, MESSAGE)
