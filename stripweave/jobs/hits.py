@@ -165,11 +165,10 @@ def nearest_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
 KINK = "atan2((u.top_x - u.bot_x)::DOUBLE, 100.0) - atan2((w.top_x - w.bot_x)::DOUBLE, 100.0)"
 
 
-@query("j8_kink_chains", SQL_EP + SQL_LINKS.format(steps=1, band=BAND.replace("250000", "40000")) + f" SELECT u.event, count(*) AS n_chains, count(*) FILTER (abs({KINK}) < 0.8) AS n_straight, round(max(abs({KINK})), 6) AS most_kink FROM k u JOIN k w ON u.event = w.event AND u.bot_id = w.top_id GROUP BY u.event")
+@query("j8_kink_chains", SQL_EP + SQL_LINKS.format(steps=1, band=BAND) + f" SELECT u.event, count(*) AS n_chains, count(*) FILTER (abs({KINK}) < 0.8) AS n_straight, round(max(abs({KINK})), 6) AS most_kink FROM k u JOIN k w ON u.event = w.event AND u.bot_id = w.top_id GROUP BY u.event")
 def kink_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that share a point, with the kink between them."""
-    d2 = (F.col("top_x") - F.col("bot_x")) * (F.col("top_x") - F.col("bot_x")) + (F.col("top_y") - F.col("bot_y")) * (F.col("top_y") - F.col("bot_y"))
-    return kinks(lnk.links(user_points(spark, sf_dir), 0, d2 <= 40000))
+    return kinks(user_links(spark, sf_dir, 0))
 
 
 def kinks(links_: DataFrame) -> DataFrame:
@@ -217,7 +216,7 @@ def sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_hits(spark, sf_dir).groupBy("event", order_key(F.col("tower"), F.col("layer"), F.col("view")).alias("sort_key")).agg(F.count("*").alias("n_hits"))
 
 
-SQL_PATHS = SQL_EP + SQL_LINKS.format(steps=1, band=BAND.replace("250000", "3600")) + """, s AS (SELECT event, top_id AS a, bot_id AS b FROM k),
+SQL_PATHS = SQL_EP + SQL_LINKS.format(steps=1, band=BAND) + """, s AS (SELECT event, top_id AS a, bot_id AS b FROM k),
 r AS (SELECT event, a AS head, b AS tail, 1 AS n FROM s UNION ALL SELECT r.event, r.head, s.b, r.n + 1 FROM r JOIN s ON r.event = s.event AND r.tail = s.a)
 SELECT event, head, n AS n_links, count(*) AS n_paths FROM r WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM s WHERE s.event = r.event AND s.a = r.tail) GROUP BY ALL"""
 
@@ -225,18 +224,16 @@ SELECT event, head, n AS n_links, count(*) AS n_paths FROM r WHERE n >= 2 AND NO
 @query("t4_paths", SQL_PATHS.replace("WITH ", "WITH RECURSIVE ", 1))
 def all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of links down to their dead ends, over at most 17 layer steps."""
-    dx, dy = F.col("top_x") - F.col("bot_x"), F.col("top_y") - F.col("bot_y")
-    k = lnk.links(user_points(spark, sf_dir), 0, dx * dx + dy * dy <= 3600)
-    return lnk.paths(k, 17).groupBy("event", "head", "n_links").agg(F.count("*").alias("n_paths"))
+    return lnk.paths(user_links(spark, sf_dir, 0), 17).groupBy("event", "head", "n_links").agg(F.count("*").alias("n_paths"))
 
 
 @query("t4_all_paths", (SQL_EP + SQL_LINKS.format(steps=1, band=BAND) + SQL_PATHS[SQL_PATHS.index(", s AS (") :]).replace("WITH ", "WITH RECURSIVE ", 1))
 def all_adjacent_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paths of t4_paths over all links of j3_adjacent_links."""
+    """The paths of t4_paths, which takes all links too by now."""
     return lnk.paths(user_links(spark, sf_dir, 0), 17).groupBy("event", "head", "n_links").agg(F.count("*").alias("n_paths"))
 
 
 @query("j8_all_kink_chains", SQL_EP + SQL_LINKS.format(steps=1, band=BAND) + f" SELECT u.event, count(*) AS n_chains, count(*) FILTER (abs({KINK}) < 0.8) AS n_straight, round(max(abs({KINK})), 6) AS most_kink FROM k u JOIN k w ON u.event = w.event AND u.bot_id = w.top_id GROUP BY u.event")
 def all_kink_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chains of j8_kink_chains over all links of j3_adjacent_links."""
+    """The chains of j8_kink_chains, which takes all links too by now."""
     return kinks(user_links(spark, sf_dir, 0))

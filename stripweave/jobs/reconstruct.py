@@ -1,6 +1,6 @@
 """The first pass as one job: guards, points, links, summaries; refused events go to a side output.
 
-The stage window runs a stage if it lies in it; a stage that isn't run has empty tables.
+A stage behind the window has empty tables; one before it takes those of an earlier pass.
 """
 
 from __future__ import annotations
@@ -59,13 +59,23 @@ def refused(hits: DataFrame, config: Config) -> DataFrame:
     return sizes.withColumn("stage", stage).filter(F.col("stage").isNotNull()).select("event", "stage", "n_clusters")
 
 
-def first_pass(hits: DataFrame, config: Config = Config()) -> FirstPass:
-    """hits: event, layer, view, strip, hit."""
+def first_pass(hits: DataFrame, config: Config = Config(), earlier: FirstPass | None = None) -> FirstPass:
+    """hits: event, layer, view, strip, hit. earlier: the pass that ran the stages before the window, if there are any."""
+    if config.first_stage > POINTS:
+        if earlier is None:
+            raise ValueError("a window that doesn't begin with points needs the tables of an earlier pass")
+        links = earlier.links if config.first_stage > LINKS else FINDERS[config.finder](earlier.points, config)
+        links = links if config.last_stage >= LINKS else links.limit(0)
+        return FirstPass(earlier.points, links, summary_of(links, config), earlier.errors)
     errors = refused(hits, config)
     kept = hits.join(errors, "event", "left_anti")
     points = pts.points(kept, ["event", "layer"], ["hit"]).withColumn("id", pts.pair_id("x_hit", "y_hit"))
     points = points if config.runs(POINTS) else points.limit(0)
     found = FINDERS[config.finder](points, config)
     found = found if config.runs(LINKS) else found.limit(0)
-    summary = found.groupBy("event").agg(F.count("*").alias("n_links"), F.countDistinct("top_layer").alias("n_layers"))
-    return FirstPass(points, found, summary if config.runs(SUMMARY) else summary.limit(0), errors)
+    return FirstPass(points, found, summary_of(found, config), errors)
+
+
+def summary_of(links: DataFrame, config: Config) -> DataFrame:
+    summary = links.groupBy("event").agg(F.count("*").alias("n_links"), F.countDistinct("top_layer").alias("n_layers"))
+    return summary if config.runs(SUMMARY) else summary.limit(0)

@@ -134,9 +134,9 @@ def track_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.track_fits(user_hits(spark, sf_dir).withColumn("m", F.col("strip") / 100.0))
 
 
-@query("r1_first_pass", f"{E}, big AS (SELECT event FROM e GROUP BY event HAVING count(*) > 75), p AS (SELECT a.event, a.layer, a.strip AS x, b.strip AS y FROM e a JOIN e b USING (event, layer) WHERE a.view = 0 AND b.view = 1 AND a.event NOT IN (SELECT event FROM big)), k AS (SELECT t.event, t.layer FROM p t JOIN p b ON t.event = b.event AND t.layer - b.layer BETWEEN 1 AND 2 WHERE (t.x-b.x)*(t.x-b.x) + (t.y-b.y)*(t.y-b.y) <= 250000) SELECT event, count(*) AS n_links, count(DISTINCT layer) AS n_layers FROM k GROUP BY event")
+@query("r1_first_pass", f"{E}, big AS (SELECT event FROM e GROUP BY event HAVING count(*) > 2000), p AS (SELECT a.event, a.layer, a.strip AS x, b.strip AS y FROM e a JOIN e b USING (event, layer) WHERE a.view = 0 AND b.view = 1 AND a.event NOT IN (SELECT event FROM big)), k AS (SELECT t.event, t.layer FROM p t JOIN p b ON t.event = b.event AND t.layer - b.layer BETWEEN 1 AND 2 WHERE (t.x-b.x)*(t.x-b.x) + (t.y-b.y)*(t.y-b.y) <= 250000) SELECT event, count(*) AS n_links, count(DISTINCT layer) AS n_layers FROM k GROUP BY event")
 def first_pass_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_pass(user_hits(spark, sf_dir), Config(most_clusters=75, skip=1)).summary
+    return first_pass(user_hits(spark, sf_dir), Config(skip=1)).summary
 
 
 @query("r1_whole_first_pass", f"{E}, big AS (SELECT event FROM e GROUP BY event HAVING count(*) > 2000), p AS (SELECT a.event, a.layer, a.strip AS x, b.strip AS y FROM e a JOIN e b USING (event, layer) WHERE a.view = 0 AND b.view = 1 AND a.event NOT IN (SELECT event FROM big)), k AS (SELECT t.event, t.layer FROM p t JOIN p b ON t.event = b.event AND t.layer - b.layer BETWEEN 1 AND 2 WHERE (t.x-b.x)*(t.x-b.x) + (t.y-b.y)*(t.y-b.y) <= 250000) SELECT event, count(*) AS n_links, count(DISTINCT layer) AS n_layers, false AS refused FROM k GROUP BY event UNION ALL SELECT event, 0, 0, true FROM big")

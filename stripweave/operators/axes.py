@@ -27,17 +27,17 @@ def with_axis(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"a{k}": F.when(flat, 1.0 if k == "z" else 0.0).otherwise(F.col(f"axis.{k}") / size) for k in "xyz"}).drop("axis")
 
 
-def trimmed_moments(points: DataFrame, factor: float = 2.0, rounds: int = 8, least: int = 10) -> DataFrame:
+def trimmed_moments(points: DataFrame, factor: float = 2.0, least: int = 10, most_rounds: int = 100) -> DataFrame:
     """points: grp, id, x, y, z. grp, n, n_dropped, n_rounds, centroid, axis and moments of each group without its outliers.
 
     Each round sorts by the distance from the axis and compares with that at 68 %: the last point goes if it is further than the
     last limit times that (first 1), and then all that are further than the present limit, which doubles each round. A
     group ends when nothing is dropped, when it has fewer than `least` points, or fewer than 3 are left. Rounds run for
-    all groups at once and are written; ties in distance fall by id.
+    all groups at once and are written; each group that goes on loses a point in each, and the limit doubles. Ties in distance fall by id.
     """
     now = points.select("grp", "id", "x", "y", "z").withColumns({"was": F.lit(1.0), "open": F.lit(True), "n_rounds": F.lit(0), "n_dropped": F.lit(0).cast("long")})
     limit = factor
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         fit = with_axis(moments.principal(moments.scatter(now, "grp"))).select("grp", F.col("n").alias("size"), *[f"m{k}" for k in "xyz"], *[f"a{k}" for k in "xyz"])
         p = now.join(fit, "grp")
         d = [F.col(k) - F.col(f"m{k}") for k in "xyz"]
@@ -61,5 +61,7 @@ def trimmed_moments(points: DataFrame, factor: float = 2.0, rounds: int = 8, lea
         limit *= 2
         if not now.filter("open").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"a group is still losing points after {most_rounds} rounds")
     told = now.groupBy("grp").agg(F.first("n_dropped").alias("n_dropped"), F.first("n_rounds").alias("n_rounds"))
     return with_axis(moments.principal(moments.scatter(now, "grp"))).join(told, "grp")

@@ -66,7 +66,8 @@ def trees_of(nodes: DataFrame, forest: DataFrame) -> DataFrame:
     """id, label, size, rank: the trees of a forest by size, ties by label."""
     label = components(nodes, forest.select("a", "b"))
     sizes = label.groupBy("label").agg(F.count("*").alias("size"))
-    return label.join(sizes, "label").withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("size"), "label")))
+    ranked = sizes.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("size"), "label")))  # one row for each tree
+    return label.join(ranked, "label")
 
 
 def cut_forest(forest: DataFrame, factor: float, least: float) -> DataFrame:

@@ -14,11 +14,9 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "grp long, id long, x double, y double, z double")
 
 
-def plain_trim(p, factor=2.0, rounds=8, least=10):
+def plain_trim(p, factor=2.0, least=10):
     c, dropped = 1.0, 0
-    for _ in range(rounds):
-        if len(p) < least:
-            break
+    while len(p) >= least:
         center = p.mean(0)
         _, vectors = np.linalg.eigh(np.cov(p.T, bias=True))
         off = p - center

@@ -75,14 +75,30 @@ def test_allowed_gap(spark, strips, truncated, allowed):
 
 
 def test_guard_counts_points_before_they_are_formed(spark):
-    from stripweave.jobs.reconstruct import LINKS, Config, first_pass
+    from stripweave.jobs.reconstruct import LINKS, POINTS, Config, first_pass
 
     rows = [(e, layer, view, 10 * k, 100 * layer + 10 * k + view) for e, n in ((1, 4), (2, 2)) for layer in (3, 4) for view in (0, 1) for k in range(n)]
     hits = spark.createDataFrame(rows, "event long, layer int, view int, strip long, hit long")
     found = first_pass(hits, Config(most_points=31))
     assert [(r["event"], r["stage"]) for r in found.errors.collect()] == [(1, "points")]
     assert {r["event"] for r in found.points.collect()} == {2}
-    assert first_pass(hits, Config(last_stage=LINKS)).summary.count() == 0
+    early = first_pass(hits, Config(last_stage=LINKS))
+    assert early.summary.count() == 0
+    assert first_pass(hits, Config(last_stage=POINTS)).links.count() == 0
+
+
+def test_a_later_window_takes_the_tables_of_an_earlier_pass(spark):
+    from stripweave.jobs.reconstruct import LINKS, SUMMARY, Config, first_pass
+
+    rows = [(e, layer, view, 10 * k, 100 * layer + 10 * k + view) for e in (1, 2) for layer in (3, 4) for view in (0, 1) for k in range(2)]
+    hits = spark.createDataFrame(rows, "event long, layer int, view int, strip long, hit long")
+    whole, early = first_pass(hits), first_pass(hits, Config(last_stage=LINKS))
+    for first in (LINKS, SUMMARY):
+        late = first_pass(hits, Config(first_stage=first), early)
+        assert late.links.count() == whole.links.count() > 0
+        assert sorted(late.summary.collect()) == sorted(whole.summary.collect())
+    with pytest.raises(ValueError, match="earlier pass"):
+        first_pass(hits, Config(first_stage=LINKS))
 
 
 def link(top, bot, sx=0.0, sy=0.0, **more):

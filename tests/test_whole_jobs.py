@@ -9,7 +9,7 @@ def written_events(spark, tmp_path, rows):
 
 
 def straight_track(user):
-    """A hit in each view of each layer, 80 strips further in each: wider apart than the band of t4_paths."""
+    """A hit in each view of each layer, 80 strips further in each."""
     return [(18 * view + layer, user, 0.8 * layer) for view in (0, 1) for layer in range(18)]
 
 
@@ -20,6 +20,6 @@ def test_paths_walk_all_layers(spark, tmp_path):
 
 
 def test_kink_chains_take_all_links(spark, tmp_path):
-    rows = [(i, u, v * 3) for i, u, v in straight_track(3) if i % 18 < 6]  # 240 strips apart, beyond the band of j8_kink_chains
+    rows = [(i, u, v * 3) for i, u, v in straight_track(3) if i % 18 < 6]  # 240 strips apart
     got = registry.QUERIES["j8_all_kink_chains"](spark, written_events(spark, tmp_path, rows)).collect()
     assert [(r["event"], r["n_chains"]) for r in got] == [(3, 4)]
