@@ -63,7 +63,7 @@ n{layer} AS MATERIALIZED (SELECT s.event, coalesce(i.head, s.top_id) AS head, c.
   JOIN s ON s.event = c.event AND s.top_id = c.top_id AND s.bot_id = c.bot_id LEFT JOIN i{layer} i ON i.event = c.event AND i.bot_id = c.top_id AND i.top_id = c.parent),
 e{layer} AS MATERIALIZED (SELECT i.* FROM i{layer} i LEFT JOIN d{layer} d ON d.event = i.event AND d.point = i.bot_id LEFT JOIN b{layer} b ON b.event = i.event AND b.top_id = i.bot_id
   LEFT JOIN (SELECT DISTINCT event, top_id FROM n{layer}) g ON g.event = i.event AND g.top_id = i.bot_id WHERE coalesce(d.parent = i.top_id, true) AND (g.event IS NULL OR coalesce(b.parent = i.top_id, false)))""")
-    parts.append("n AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT event, head, parent_id, top_id, bot_id, bot_layer, step, sx, sy, depth, depth - 1 AS n_angles, quad, path FROM e{q}" for q in range(LAYERS)) + ")")
+    parts.append("n AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT event, head, parent_id, top_id, bot_id, bot_layer, step, sx, sy, depth, depth - 1 AS n_angles, quad, path, start_layer - bot_layer + 1 AS layers FROM e{q}" for q in range(LAYERS)) + ")")
     return ",\n".join(parts)
 
 
@@ -80,11 +80,11 @@ def sql_statistics() -> str:
         lower = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(max(0, layer - SKIP - 1), layer))
         if lower:
             parts.append(f"""c{layer} AS (SELECT event, parent_id AS p, top_id AS t, sum(n_leaves)::BIGINT AS c_leaves, sum(CASE WHEN below > 2 THEN greatest(n_branches, 1) ELSE 0 END)::BIGINT AS c_branches,
-  max(below) AS c_below, arg_min(most_points, (-below, round(best_rms, 9), bot_id)) AS c_points, arg_min(best_rms, (-below, round(best_rms, 9), bot_id)) AS c_rms FROM ({lower}) WHERE parent_id IS NOT NULL GROUP BY ALL)""")
+  max(below) AS c_below, arg_min(most_points, (-below, round(best_rms, 9), bot_id)) AS c_points, arg_min(best_rms, (-below, round(best_rms, 9), bot_id)) AS c_rms, arg_min(best_path, (-below, round(best_rms, 9), bot_id)) AS c_path FROM ({lower}) WHERE parent_id IS NOT NULL GROUP BY ALL)""")
             join = f"LEFT JOIN c{layer} c ON n.event = c.event AND n.top_id = c.p AND n.bot_id = c.t"
-            values = f"coalesce(c_leaves, 1) AS n_leaves, coalesce(c_branches, 0) AS n_branches, coalesce(c_below + 1, 1) AS below, coalesce(c_points, len(path)) AS most_points, coalesce(c_rms, {own}) AS best_rms"
+            values = f"coalesce(c_leaves, 1) AS n_leaves, coalesce(c_branches, 0) AS n_branches, coalesce(c_below + 1, 1) AS below, coalesce(c_points, len(path)) AS most_points, coalesce(c_rms, {own}) AS best_rms, coalesce(c_path, path) AS best_path"
         else:
-            join, values = "", f"1::BIGINT AS n_leaves, 0::BIGINT AS n_branches, 1 AS below, len(path) AS most_points, {own} AS best_rms"
+            join, values = "", f"1::BIGINT AS n_leaves, 0::BIGINT AS n_branches, 1 AS below, len(path) AS most_points, {own} AS best_rms, path AS best_path"
         parts.append(f"s{layer} AS MATERIALIZED (SELECT n.*, {values} FROM n {join} WHERE n.bot_layer = {layer})")
     parts.append("t AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(LAYERS - 1)) + ")")
     return ",\n".join(parts)
@@ -194,3 +194,36 @@ def leaf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of all trees that become tracks when the best is taken first and its hits are shared by the rules alone."""
     return packing.pack(leaf_paths(spark, sf_dir), PACKING)
+
+
+KEPT = f"""{STATISTICS},
+q1 AS (SELECT event, head, arg_min({{'bot_id': bot_id, 'sx': sx, 'sy': sy, 'below': below, 'top_layer': bot_layer + step, 'path': best_path}}, (-below, round(best_rms, 9), bot_id)) AS best FROM t WHERE parent_id IS NULL GROUP BY event, head),
+q2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY event ORDER BY best.top_layer DESC, head) AS place FROM q1),
+q3 AS MATERIALIZED (SELECT t.*, q2.best.path AS main, place, parent_id IS NULL AND below = 1 AND bot_id <> best.bot_id AND
+  round((sx * best.sx + sy * best.sy + 1) / sqrt(sx * sx + sy * sy + 1) / sqrt(best.sx * best.sx + best.sy * best.sy + 1), 9) < 0.975 AS stub FROM t JOIN q2 ON t.event = q2.event AND t.head = q2.head),
+q4 AS (SELECT h.event, h.place, h.best.below > 1 AS deep, list({{'place': r.place, 'stub': r.stub}}) FILTER (r.event IS NOT NULL) AS rivals FROM q2 h LEFT JOIN q3 r ON h.event = r.event AND ((split_part(h.head, ':', 1) = split_part(r.bot_id, ':', 1) AND r.layers > 2) OR (split_part(h.head, ':', 2) = split_part(r.bot_id, ':', 2) AND r.depth > 2)) GROUP BY ALL),
+q5 AS (SELECT event, list_reduce(list({{'place': place, 'deep': deep, 'rivals': coalesce(rivals, [])}} ORDER BY place), lambda acc, h: CASE WHEN h.deep AND len(list_filter(h.rivals, lambda r: r.place >= h.place OR (NOT r.stub AND list_contains(acc, r.place)))) = 0 THEN list_append(acc, h.place) ELSE acc END, []::BIGINT[]) AS stay FROM q4 GROUP BY event),
+kp AS MATERIALIZED (SELECT q3.*, len(path) - len(list_filter(range(1, len(path) + 1), lambda k: path[1:k] = main[1:k])) AS distance FROM q3 JOIN q5 ON q3.event = q5.event WHERE list_contains(stay, place) AND NOT stub)"""
+
+
+def kept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.kept(trees.statistics(grown(spark, sf_dir)))
+
+
+@query("t7_kept_trees", f"{KEPT} SELECT event, head, count(*) AS n_nodes, max(depth) AS most_links, sum((below = 1)::INT)::BIGINT AS n_leaves FROM kp GROUP BY event, head")
+def kept_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees that stay once stubs at their heads are gone (T6) and heads are short or on clusters of other trees."""
+    return kept_nodes(spark, sf_dir).groupBy("event", "head").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("most_links"), F.count(F.when(F.col("below") == 1, 1)).alias("n_leaves"))
+
+
+@query("t8_main_distance", f"{KEPT} SELECT event, head, bot_layer AS layer, count(*) AS n_siblings, max(distance)::INT AS furthest, sum((distance = 0)::INT)::BIGINT AS n_main FROM kp GROUP BY ALL")
+def main_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of each kept tree by layer, with their distance to the main branch."""
+    rows = kept_nodes(spark, sf_dir).withColumn("distance", trees.main_distance()).groupBy("event", "head", F.col("bot_layer").alias("layer"))
+    return rows.agg(F.count("*").alias("n_siblings"), F.max("distance").alias("furthest"), F.count(F.when(F.col("distance") == 0, 1)).alias("n_main"))
+
+
+@query("t10_leaf_order", f"{KEPT} SELECT event, head, bot_id AS leaf, distance::INT AS distance, row_number() OVER (PARTITION BY event, head ORDER BY CASE WHEN distance = 0 THEN 100000 ELSE distance END DESC, round(best_rms * layers, 9), bot_id) AS rank FROM kp WHERE below = 1")
+def leaf_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves of kept trees in the order in which tracks are sought."""
+    return trees.ordered_leaves(kept_nodes(spark, sf_dir)).select("event", "head", "leaf", "distance", "rank")

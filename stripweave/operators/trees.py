@@ -208,9 +208,10 @@ def grow_event(links: list[Link], cuts: Cuts) -> Iterator[Node]:
         yield from growth.at[point]
 
 
-NODE = ("event", "head", "parent_id", "top_id", "bot_id", "bot_layer", "step", "sx", "sy", "depth", "n_angles", "quad", "path")
-NODES = "event long, head string, parent_id string, top_id string, bot_id string, bot_layer int, step int, sx double, sy double, depth int, n_angles int, quad double, path array<string>"
-NODE_SCHEMA = pa.schema([("event", pa.int64()), *[(c, pa.string()) for c in ("head", "parent_id", "top_id", "bot_id")], ("bot_layer", pa.int32()), ("step", pa.int32()), ("sx", pa.float64()), ("sy", pa.float64()), ("depth", pa.int32()), ("n_angles", pa.int32()), ("quad", pa.float64()), ("path", pa.list_(pa.string()))])
+NODE = ("event", "head", "parent_id", "top_id", "bot_id", "bot_layer", "step", "sx", "sy", "depth", "n_angles", "quad", "path", "layers", "top_a", "top_b", "bot_a", "bot_b")
+NODES = """event long, head string, parent_id string, top_id string, bot_id string, bot_layer int, step int, sx double, sy double, depth int,
+n_angles int, quad double, path array<string>, layers int, top_a string, top_b string, bot_a string, bot_b string"""
+NODE_SCHEMA = pa.schema([("event", pa.int64()), *[(c, pa.string()) for c in ("head", "parent_id", "top_id", "bot_id")], ("bot_layer", pa.int32()), ("step", pa.int32()), ("sx", pa.float64()), ("sy", pa.float64()), ("depth", pa.int32()), ("n_angles", pa.int32()), ("quad", pa.float64()), ("path", pa.list_(pa.string())), ("layers", pa.int32()), *[(c, pa.string()) for c in ("top_a", "top_b", "bot_a", "bot_b")]])
 
 
 def grow(links: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
@@ -232,7 +233,7 @@ def grow(links: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
         held = []
         for n in grow_event(found, cuts):
             k, parent = n.link, n.parent.link.top_id if n.parent else None
-            held.append((k.event, n.path[0], parent, k.top_id, k.bot_id, k.bot_layer, k.step, k.sx, k.sy, n.depth, n.depth - 1, n.quad, n.path))
+            held.append((k.event, n.path[0], parent, k.top_id, k.bot_id, k.bot_layer, k.step, k.sx, k.sy, n.depth, n.depth - 1, n.quad, n.path, n.layers, k.top_a, k.top_b, k.bot_a, k.bot_b))
         columns = list(zip(*held, strict=True)) or [()] * len(NODE)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, NODE_SCHEMA, strict=True)], schema=NODE_SCHEMA)
 
@@ -256,7 +257,55 @@ def statistics(nodes: DataFrame) -> DataFrame:
     found = nodes.join(sums, ["event", "top_id", "bot_id"])
     third = found.filter("below = 3 AND depth > 1").select("event", F.explode(above(F.slice("path", 1, F.size("path") - 1))).alias("at")).groupBy("event", "at.top_id", "at.bot_id").agg(F.count("*").alias("n_branches"))
     found = found.join(third, ["event", "top_id", "bot_id"], "left")
-    return found.select(*NODE, "n_leaves", F.coalesce("n_branches", F.lit(0)).alias("n_branches"), "below", F.size("best.path").alias("most_points"), F.col("best.rms").alias("best_rms"))
+    return found.select(*NODE, "n_leaves", F.coalesce("n_branches", F.lit(0)).alias("n_branches"), "below", F.size("best.path").alias("most_points"), F.col("best.rms").alias("best_rms"), F.col("best.path").alias("best_path"))
+
+
+def kept(stats: DataFrame, least_cosine: float = 0.975, least_depth: int = 3) -> DataFrame:
+    """The nodes of statistics() that stay, with main: the path of their tree's best leaf.
+
+    Of a head's links those that nothing hangs on go if they turn away from its best link (T6). Then the heads of an event are
+    taken in the order in which they grew; one stays if its tree has `least_depth` levels, its own included, and its point lies on no
+    cluster of a tree that is there then: a node over more than two layers in view a, or with more than two links in view b (T7).
+    Trees that went leave their clusters free to later ones. Null clusters are on no tree.
+    """
+    first = stats.filter("parent_id IS NULL")
+    better = F.struct((-F.col("below")).alias("a"), F.round("best_rms", 9).alias("b"), "bot_id", "sx", "sy", "below", (F.col("bot_layer") + F.col("step")).alias("top_layer"), "top_a", "top_b", "best_path")
+    heads = first.groupBy("event", "head").agg(F.min(better).alias("best"))
+    order = Window.partitionBy("event").orderBy(F.desc("best.top_layer"), "head")
+    heads = heads.select("event", "head", "best", F.row_number().over(order).alias("place"))
+    rows = stats.join(heads, ["event", "head"])
+    dot = F.col("sx") * F.col("best.sx") + F.col("sy") * F.col("best.sy") + 1
+    size = lambda x, y: F.sqrt(x * x + y * y + 1)
+    cosine = F.round(dot / size(F.col("sx"), F.col("sy")) / size(F.col("best.sx"), F.col("best.sy")), 9)
+    stub = F.col("parent_id").isNull() & (F.col("below") == 1) & (F.col("bot_id") != F.col("best.bot_id")) & (cosine < least_cosine)
+    rows = rows.withColumn("stub", stub)
+    own = heads.select("event", F.col("head").alias("own"), "place", *[F.col(f"best.top_{v}").alias(v) for v in "ab"])
+    on = lambda v, far: rows.filter(far).select("event", F.col(f"bot_{v}").alias(v), F.struct(F.col("place").alias("place"), F.col("stub").alias("stub")).alias("rival")).join(own, ["event", v]).select("event", "own", "rival")
+    rivals = on("a", F.col("layers") > 2).unionByName(on("b", F.col("depth") > 2)).groupBy("event", F.col("own").alias("head")).agg(F.collect_set("rival").alias("rivals"))
+    asked = heads.join(rivals, ["event", "head"], "left").select("event", F.struct("place", "head", (F.col("best.below") + 1 >= least_depth).alias("deep"), "rivals").alias("h"))
+
+    def step(acc: Column, h: Column) -> Column:
+        there = lambda r: (r["place"] >= h["place"]) | (~r["stub"] & F.array_contains(acc, r["place"]))
+        stays = h["deep"] & ~F.coalesce(F.exists(h["rivals"], there), F.lit(False))
+        return F.when(stays, F.concat(acc, F.array(h["place"]))).otherwise(acc)
+
+    stay = asked.groupBy("event").agg(F.aggregate(F.array_sort(F.collect_list("h")), F.array().cast("array<int>"), step).alias("stay"))
+    out = rows.join(stay, "event").filter(F.array_contains("stay", F.col("place")) & ~F.col("stub"))
+    return out.select(*stats.columns, F.col("best.best_path").alias("main"))
+
+
+def main_distance() -> Column:
+    """Of a node of kept(): how many nodes its path has beside the main one."""
+    same = F.filter(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", F.lit(1), k) == F.slice("main", F.lit(1), k))
+    return F.size("path") - F.size(same)
+
+
+def ordered_leaves(nodes: DataFrame) -> DataFrame:
+    """event, head, leaf, distance, rms, rank: the leaves of kept trees, the main one first, then those that leave it furthest, then the
+    straightest over the layers that they span; ties by leaf."""
+    leaves = nodes.filter("below = 1").select("event", "head", F.col("bot_id").alias("leaf"), main_distance().alias("distance"), F.round(F.col("best_rms") * F.col("layers"), 9).alias("rms"))
+    order = Window.partitionBy("event", "head").orderBy(F.desc(F.when(F.col("distance") == 0, 100000).otherwise(F.col("distance"))), "rms", "leaf")
+    return leaves.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def ranked_leaves(stats: DataFrame, least_unique: int = 2) -> DataFrame:

@@ -175,3 +175,62 @@ def test_cuts_widen_for_small_events():
     assert trees.Cuts().of_event(1000) == trees.Cuts()
     assert trees.Cuts().of_event(10).displaced == pytest.approx(1.25 + 1.69 * 2.25)
     assert trees.Cuts().of_event(100, energy=100.0).kink == pytest.approx(0.7071067811865476)
+
+
+def random_event(r, event, layers=9, points=5):
+    """Links between random points whose clusters are shared."""
+    at = {layer: sorted({(layer, r.randint(0, 2), r.randint(0, 3)) for _ in range(points)}) for layer in range(layers)}
+    found = []
+    for layer in range(layers - 1, 0, -1):
+        for top in at[layer]:
+            for step in (1, 2):
+                for bot in at.get(layer - step, []):
+                    if r.random() < 0.5:
+                        found.append(link(top, bot, r.gauss(0, 0.08), r.gauss(0, 0.08), event=event))
+    return found
+
+
+def plain_kept(nodes):
+    """Heads that stay and stubs that go, from the rows of one event."""
+    heads = {}
+    for n in nodes:
+        if n["parent_id"] is None:
+            key = (-n["below"], round(n["best_rms"], 9), n["bot_id"])
+            if n["head"] not in heads or key < heads[n["head"]][0]:
+                heads[n["head"]] = (key, n)
+    there, stubs = list(nodes), set()
+    for n in nodes:
+        best = heads[n["head"]][1]
+        size = lambda x: (x["sx"] ** 2 + x["sy"] ** 2 + 1) ** 0.5
+        if n["parent_id"] is None and n["below"] == 1 and n["bot_id"] != best["bot_id"] and round((n["sx"] * best["sx"] + n["sy"] * best["sy"] + 1) / size(n) / size(best), 9) < 0.975:
+            stubs.add((n["head"], n["bot_id"]))
+    stay = []
+    for head in sorted(heads, key=lambda h: (-(heads[h][1]["bot_layer"] + heads[h][1]["step"]), h)):
+        first = heads[head][1]
+        bad = any((n["layers"] > 2 and n["bot_a"] == first["top_a"]) or (n["depth"] > 2 and n["bot_b"] == first["top_b"]) for n in there)
+        if first["below"] > 1 and not bad:
+            stay.append(head)
+            there = [n for n in there if (n["head"], n["bot_id"]) not in stubs or n["head"] != head or n["parent_id"] is not None]
+        else:
+            there = [n for n in there if n["head"] != head]
+    return sorted((n["head"], tuple(n["path"])) for n in there)
+
+
+def test_kept_trees_equal_plain(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [x for event in range(40) for x in random_event(r, event)]
+    nodes = trees.statistics(trees.grow(spark.createDataFrame(rows, ", ".join(f"{f} {'double' if f in ('sx', 'sy') else 'boolean' if f == 'gap' else 'string' if f.endswith(('_id', '_a', '_b')) and f[:4] != 'wide' else 'int'}" for f in trees.Link._fields)).withColumn("event", F.col("event").cast("long")))).cache()
+    by_event = {}
+    for n in nodes.collect():
+        by_event.setdefault(n["event"], []).append(n)
+    kept = trees.kept(nodes).cache()
+    got = {}
+    for n in kept.withColumn("distance", trees.main_distance()).collect():
+        got.setdefault(n["event"], []).append((n["head"], tuple(n["path"])))
+        assert n["distance"] == sum(a != b for a, b in zip(n["path"], [*n["main"], *[None] * 20], strict=False)) or n["distance"] > 0
+    assert {e: sorted(x) for e, x in got.items()} == {e: k for e, rows in by_event.items() if (k := plain_kept(rows))}
+    assert any(len(plain_kept(x)) < len(x) for x in by_event.values())
+    ranks = trees.ordered_leaves(kept).filter("rank = 1").collect()
+    assert all(x["distance"] == 0 for x in ranks)
