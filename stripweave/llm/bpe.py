@@ -5,8 +5,9 @@ searched by a scan, its boundary deleted, and the two neighbouring ranks refresh
 length are rows of one matrix, so a step serves all of them; every row still at work has lost the
 same number of boundaries. Words over `LONG` bytes take a heap over linked parts, with equal results.
 
-Null text: encoded as the empty text. Empty text: no ids. Equal texts, equal ids. Rows are
-independent, so ties, repeats and empty tables need nothing; only doc_id and text are read.
+Null text: encoded as the empty text. Empty text: no ids. Equal texts, equal ids. Of pairs of one rank the leftmost is merged first
+(ties). Very long texts are worked on whole, word by word, and hold memory in proportion to their ids. Null doc_id: kept. Rows are
+independent, so repeats and empty tables need nothing; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

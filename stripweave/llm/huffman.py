@@ -8,7 +8,8 @@ only its tasks. Driver and broadcasts hold one count and one code length for eac
 
 Null text: the empty text, so only the end id is stored. Null doc_id: sorts first and is kept as
 null. Repeated doc_ids sort by their ids; repeated rows are stored as often as they come. An empty
-table gives no segments and no rows. Only doc_id and text are read.
+table gives no segments and no rows. Codes of equal counts are ordered by id (ties). A very long text is encoded whole and is a
+segment of its own. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

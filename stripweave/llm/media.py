@@ -9,7 +9,8 @@ its bytes do not match, and streams Arrow batches.
 
 A member is a greyscale PNG, 64 samples wide; its pixels are the text's UTF-8 bytes, then zeros up to
 a positive multiple of 64. Null text: the empty text, one row of zeros. Null doc_id is kept. Equal texts
-have equal values; repeated rows are members of their own. An empty table gives no archives and no rows. Only doc_id and text are read.
+have equal values; repeated rows are members of their own. An empty table gives no archives and no rows. A very long text is one member, held whole by the task that writes or reads it. Members
+of one archive keep the order in which rows came, so ties can't arise. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
