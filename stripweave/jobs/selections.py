@@ -62,7 +62,7 @@ def stage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o5_best_candidates", f"{L} SELECT event, price, rank FROM (SELECT event, price, row_number() OVER (PARTITION BY event ORDER BY width DESC, strip, part, supp, price) AS rank FROM l) WHERE rank <= 3")
 def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounded best-first lists by rank: the rank that O2 to O5, T9 and P6 share, without their further rules."""
+    """Bounded best-first lists by rank: the rank that O2 to O5 and T9 share, without their further rules."""
     w = Window.partitionBy("event").orderBy(F.desc("width"), "strip", "part", "supp", "price")
     return order_hits(spark, sf_dir).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 3").select("event", "price", "rank")
 

@@ -39,7 +39,7 @@ SELECT event, h1, h2, h3, bend FROM (SELECT *, row_number() OVER (PARTITION BY e
 
 @query("p1_triplet_seeds", SEEDS)
 def triplet_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hits of neighbouring layers and the third that bends least, if it bends little (P1; P3 and P4 are the same with other cuts or the layers' sign turned)."""
+    """Two hits of neighbouring layers and the third that bends least, if it bends little."""
     e = user_hits(spark, sf_dir)
     a = e.select("event", "view", "layer", F.col("strip").alias("s1"), F.col("hit").alias("h1"))
     b = e.select("event", "view", (F.col("layer") + 1).alias("layer"), F.col("strip").alias("s2"), F.col("hit").alias("h2"))
