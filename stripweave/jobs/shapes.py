@@ -74,6 +74,12 @@ def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axes.trimmed_moments(label_points(spark, sf_dir)).select("grp", "n", "n_dropped", "n_rounds", "mx", "my", "mz", "ax", "ay", "az", "e1", "e2", "e3")
 
 
+@query("a7_reweighted_moments")
+def reweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of each group, its points weighted by their nearness to the axis."""
+    return axes.reweighted_moments(label_points(spark, sf_dir))
+
+
 def forest(spark: SparkSession, sf_dir: str, size: float = 0.25) -> tuple[DataFrame, DataFrame]:
     points = label_points(spark, sf_dir)
     at = lambda c: points.select(F.col("id").alias(c), *[F.col(k).alias(f"{c}{k}") for k in "xyz"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import moments
@@ -65,3 +65,63 @@ def trimmed_moments(points: DataFrame, factor: float = 2.0, least: int = 10, mos
         raise RuntimeError(f"a group is still losing points after {most_rounds} rounds")
     told = now.groupBy("grp").agg(F.first("n_dropped").alias("n_dropped"), F.first("n_rounds").alias("n_rounds"))
     return with_axis(moments.principal(moments.scatter(now, "grp"))).join(told, "grp")
+
+
+def reweighted_moments(points: DataFrame, factor: float = 1.0, flat: float = 0.25, most_rounds: int = 1000) -> DataFrame:
+    """points: grp, id, x, y, z. grp, n, n_dropped, n_rounds, chi2, centroid (mx, my, mz), axis (ax, ay, az) and covariances (cxx ..) of each
+    group, its points weighted by their nearness to the axis.
+
+    A round takes the moments about the last centroid (first: the mean) with the last weights (first: 1), and drops the points further from
+    the axis than the limit times its transverse size: the root of the root of the transverse moment over the sum of weights, over that sum.
+    If the first axis is flatter than `flat` it is put upright, and the size made such that only the furthest point, if it is alone by a
+    millimetre, is beyond the limit. A round that drops points weights the others by the inverse of their distance and doubles the limit; one
+    that drops none is a group's last. A group of fewer than two points, or of points without extent, ends with what it had.
+
+    Rounds run for all open groups at once and are written; each open group loses a point a round, so they end. Null coordinates: the
+    row is left out. A group that never had moments has a null axis.
+    """
+    xyz = ("x", "y", "z")
+    has = points.filter(" AND ".join(f"{c} IS NOT NULL" for c in xyz)).select("grp", "id", *xyz).withColumn("weight", F.lit(1.0))
+    start = has.groupBy("grp").agg(*[F.avg(c).alias(f"m{c}") for c in xyz], F.count("*").alias("n"))
+    told = ["n_dropped", "n_rounds", "chi2", *[f"a{c}" for c in xyz], *[f"c{a}{b}" for i, a in enumerate(xyz) for b in xyz[i:]]]
+    blank = {"n_dropped": F.lit(0).cast("long"), "n_rounds": F.lit(0)} | {c: F.lit(None).cast("double") for c in told[2:]}
+    state = cut_lineage(start.withColumns(blank))
+    done, now, limit = [], cut_lineage(has), factor
+    for number in range(most_rounds):
+        at = now.join(state.select("grp", *[F.col(f"m{c}").alias(f"o{c}") for c in xyz]), "grp")
+        off = {c: F.col(c) - F.col(f"o{c}") for c in xyz}
+        w = F.col("weight")
+        second = [(F.sum(w * off[a] * off[b]) / F.sum(w)).alias(f"c{a}{b}") for i, a in enumerate(xyz) for b in xyz[i:]]
+        fit = at.groupBy("grp").agg(F.count("*").alias("n"), F.sum(w).alias("w"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"m{c}") for c in xyz], *second)
+        fit = with_axis(moments.principal(fit)).filter("n > 1 AND e1 > 1e-24")
+        upright = F.abs("az") < flat if number == 0 else F.lit(False)
+        fit = cut_lineage(fit.withColumn("size", F.sqrt(F.sqrt(F.greatest(F.lit(0.0), F.col("e2") + F.col("e3"))) / F.col("w"))).withColumn("upright", upright))
+        p = at.join(fit.select("grp", "size", "upright", F.col("w").alias("total"), F.col("n").alias("of"), *[f"a{c}" for c in xyz], *[F.col(f"m{c}") for c in xyz]), "grp")
+
+        def distance(center: str, axis: list[Column]) -> Column:
+            d = [F.col(c) - F.col(f"{center}{c}") for c in xyz]  # noqa: B023
+            cross = [d[1] * axis[2] - d[2] * axis[1], d[2] * axis[0] - d[0] * axis[2], d[0] * axis[1] - d[1] * axis[0]]
+            return F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2])
+
+        first = distance("o", [F.col(f"a{c}") for c in xyz])
+        p = p.withColumn("d", F.when(F.col("upright"), distance("m", [F.lit(0.0), F.lit(0.0), F.lit(1.0)])).otherwise(first)).withColumn("part", w * first * first)
+        furthest = p.groupBy("grp").agg(F.max("d").alias("far"), (F.sum("part") / F.max("total") / F.max("of")).alias("chi2"))
+        p = cut_lineage(p.join(furthest, "grp").withColumn("gone", F.col("d") > limit * F.when(F.col("upright"), (F.col("far") - 1) / limit).otherwise(F.col("size"))))
+        lost = p.groupBy("grp").agg(F.count(F.when(F.col("gone"), 1)).alias("lost"), F.first("chi2").alias("chi2"))
+        up = {f"a{c}": F.when(F.col("upright"), 1.0 if c == "z" else 0.0).otherwise(F.col(f"a{c}")).alias(f"a{c}") for c in xyz}
+        told_now = fit.join(lost, "grp").select("grp", *[f"m{c}" for c in xyz], *up.values(), *[c for c in told if c[0] == "c" and c != "chi2"], "chi2", "lost", (F.col("n") - F.col("lost")).alias("left"))
+        before = state.select("grp", F.col("n_dropped").alias("dropped_before"), F.col("n_rounds").alias("rounds_before"))
+        after = told_now.join(before, "grp").withColumns({"n": F.col("left"), "n_dropped": F.col("dropped_before") + F.col("lost"), "n_rounds": F.col("rounds_before") + 1})
+        after = cut_lineage(after.select("lost", *state.columns))
+        done.append(state.join(after.select("grp"), "grp", "left_anti").unionByName(after.filter("lost = 0").drop("lost")))
+        state = after.filter("lost > 0").drop("lost")
+        limit *= 2
+        if not state.limit(1).count():
+            break
+        now = cut_lineage(p.filter("NOT gone").join(state.select("grp"), "grp").withColumn("weight", F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(1000.0)).select(*has.columns))
+    else:
+        raise RuntimeError(f"a group is still losing points after {most_rounds} rounds")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

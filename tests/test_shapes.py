@@ -132,3 +132,45 @@ def test_threshold_is_a_smooth_step(spark):
     size, separation, least = density.bin_parameters(F.col("n"))
     got = [tuple(r) for r in spark.createDataFrame([(1,), (31,), (32,), (10**9,)], "n long").select(size, separation, least).collect()]
     assert got == [(15.0, 8, 2), (15.0, 8, 2), (15.0, 6, 3), (20.0, 2, 10)]
+
+
+def plain_reweighted(p, factor, flat=0.25):
+    """Size, dropped, rounds, axis of one group's points."""
+    center, w, limit, dropped, rounds, axis = p.mean(0), np.ones(len(p)), factor, 0, 0, None
+    while True:
+        off = p - center
+        m = (w[:, None, None] * off[:, :, None] * off[:, None, :]).sum(0)
+        values, vectors = np.linalg.eigh(m / w.sum())
+        if len(p) < 2 or values[2] <= 1e-24:
+            return len(p), dropped, rounds, axis
+        axis = vectors[:, 2] * (1 if vectors[2, 2] >= 0 else -1)
+        rounds += 1
+        size = np.sqrt(np.sqrt(max(0.0, values[0] + values[1])) / w.sum())
+        d = np.linalg.norm(np.cross(off, axis), axis=1)
+        center = (w[:, None] * p).sum(0) / w.sum()
+        if rounds == 1 and abs(axis[2]) < flat:
+            axis = np.array([0.0, 0.0, 1.0])
+            d = np.linalg.norm(np.cross(p - center, axis), axis=1)
+            size = (d.max() - 1) / limit
+        gone = d > limit * size
+        if not gone.any():
+            return len(p), dropped, rounds, axis
+        dropped += int(gone.sum())
+        p, d, limit = p[~gone], d[~gone], limit * 2
+        w = np.where(d > 0, 1 / np.where(d > 0, d, 1), 1000.0)
+
+
+@pytest.mark.parametrize("factor", [1.0, 2.0])
+def test_reweighted_moments_equal_plain(spark, factor):
+    rng = np.random.default_rng(8)
+    sets = {g: rng.normal(size=(n, 3)) * spread for g, n, spread in ((1, 60, [1, 1, 9]), (2, 40, [0.1, 0.2, 3]), (3, 30, [9, 1, 0.5]), (4, 25, [0.01, 0.01, 1]), (5, 3, [1, 1, 1]), (6, 1, [1, 1, 1]))}
+    sets[7] = np.zeros((4, 3))
+    sets[1][:3] += [40, 0, 0]
+    rows = [(g, k, *map(float, x)) for g, p in sets.items() for k, x in enumerate(p)] + [(1, 999, None, 0.0, 0.0)]
+    got = {r["grp"]: r for r in axes.reweighted_moments(spark.createDataFrame(rows, "grp int, id int, x double, y double, z double"), factor).collect()}
+    assert set(got) == set(sets)
+    for g, p in sets.items():
+        n, dropped, rounds, axis = plain_reweighted(p, factor)
+        assert (got[g]["n"], got[g]["n_dropped"], got[g]["n_rounds"]) == (n, dropped, rounds), g
+        assert axis is None or [got[g]["ax"], got[g]["ay"], got[g]["az"]] == pytest.approx(list(axis), abs=1e-6)
+    assert sum(r["n_dropped"] for r in got.values()) > 3
