@@ -67,7 +67,7 @@ SELECT event, track, found, i::INT - 1 AS place, hits[i].plane AS plane, hits[i]
 
 def followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks that start at the heads of packed paths, along their first links."""
-    paths = leaf_paths(spark, sf_dir)
+    paths = cut_lineage(leaf_paths(spark, sf_dir))
     tracks = packing.pack(paths, PACKING).join(paths.select("event", "path_id", "hits"), ["event", "path_id"])
     name = lambda k: F.concat_ws(":", F.col("hits")[k]["a"], F.col("hits")[k]["b"])
     ends = tracks.select("event", "track", name(0).alias("top_id"), name(1).alias("bot_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import links as lnk
 from ..operators import packing, trees
+from ..operators.graph import cut_lineage
 from .hits import BAND, SQL_EP, SQL_LINKS, user_points
 from .register import query
 
@@ -115,6 +116,11 @@ def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.grow(cluster_links(spark, sf_dir), CUTS)
 
 
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all nodes; the trees are grown once and written, as several branches of the plan read them."""
+    return trees.statistics(cut_lineage(grown(spark, sf_dir)))
+
+
 @query("t1_growth", f"{GROWTH} SELECT event, head, parent_id, top_id, bot_id, depth, n_angles, round(quad, 6) AS quad FROM n")
 def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes of the greedy growth (T1) with the choice of the best node and the vetoes."""
@@ -123,7 +129,7 @@ def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t5_node_statistics", f"{STATISTICS} SELECT event, head, top_id, bot_id, n_leaves, n_branches, below, most_points, round(best_rms, 6) AS best_rms FROM t")
 def node_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trees.statistics(grown(spark, sf_dir))
+    found = statistics(spark, sf_dir)
     return found.select("event", "head", "top_id", "bot_id", "n_leaves", F.col("n_branches").cast("long").alias("n_branches"), "below", "most_points", F.round("best_rms", 6).alias("best_rms"))
 
 
@@ -136,7 +142,7 @@ def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t10_ranked_leaves", f"{LEAVES} SELECT event, head, leaf, rank, n_points, n_shared, accepted FROM lv")
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trees.ranked_leaves(trees.statistics(grown(spark, sf_dir)))
+    found = trees.ranked_leaves(statistics(spark, sf_dir))
     return found.select("event", "head", "leaf", "rank", "n_points", "n_shared", "accepted")
 
 
@@ -152,7 +158,7 @@ UNION ALL SELECT event, head, (layer - q)::INT, NULL, round(x + (nx - x) * (q /
 @query("t12_leaf_hits", SQL_HITS)
 def best_leaf_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of each tree's best leaf, with gap hits for skipped layers."""
-    best = trees.ranked_leaves(trees.statistics(grown(spark, sf_dir))).filter("rank = 1")
+    best = trees.ranked_leaves(statistics(spark, sf_dir)).filter("rank = 1")
     found = trees.leaf_hits(best, user_points(spark, sf_dir))
     return found.select("event", "head", "layer", "point_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "gap")
 
@@ -183,7 +189,7 @@ SELECT event, (k - 1)::INT AS track, taken[k] AS path_id FROM (SELECT event, tak
 
 def leaf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paths of all leaves as packing.pack takes them: longest first, then straightest; the clusters of a point are its hits."""
-    leaves_ = trees.ranked_leaves(trees.statistics(grown(spark, sf_dir)))
+    leaves_ = trees.ranked_leaves(statistics(spark, sf_dir))
     order = Window.partitionBy("event").orderBy(F.desc("n_points"), F.round("rms", 9), "head", "leaf")
     hit = lambda x: F.struct(F.split(x, ":")[0].alias("a"), F.split(x, ":")[1].alias("b"), F.lit(False).alias("wide"))
     tops = user_points(spark, sf_dir).select("event", F.col("id").alias("head"), F.col("layer").alias("start_layer"))
@@ -207,7 +213,7 @@ kp AS MATERIALIZED (SELECT q3.*, len(path) - len(list_filter(range(1, len(path)
 
 
 def kept_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.kept(trees.statistics(grown(spark, sf_dir)))
+    return trees.kept(cut_lineage(statistics(spark, sf_dir)))
 
 
 @query("t7_kept_trees", f"{KEPT} SELECT event, head, count(*) AS n_nodes, max(depth) AS most_links, sum((below = 1)::INT)::BIGINT AS n_leaves FROM kp GROUP BY event, head")
