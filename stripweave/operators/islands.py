@@ -15,13 +15,14 @@ def islands(rows: DataFrame, by: list[str], first: str, last: str, most: Column
 
 
 def merged(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each island: ends, mean of the end positions, status bits or-ed, the first member's signal."""
+    """One row for each island: ends, mean of the end positions, status bits or-ed, the signal of the first member by strip, then by
+    price, part, supplier and width."""
     return rows.groupBy(*by, "island").agg(
         F.count("*").alias("n_members"),
         F.min("strip").alias("first_strip"),
         F.max("last_strip").alias("last_strip"),
         F.expr("bit_or(status)").alias("status"),
-        F.min_by("width", F.struct("strip", "price")).alias("signal"),
+        F.min_by("width", F.struct("strip", "price", "part", "supp", "width")).alias("signal"),
     ).withColumn("position", (F.col("first_strip") + F.col("last_strip")) / 2)
 
 

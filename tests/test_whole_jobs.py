@@ -1,5 +1,7 @@
 """Queries of the whole job on small made-up tables."""
 
+import duckdb
+
 from stripweave.jobs import registry
 
 
@@ -23,3 +25,16 @@ def test_kink_chains_take_all_links(spark, tmp_path):
     rows = [(i, u, v * 3) for i, u, v in straight_track(3) if i % 18 < 6]  # 240 strips apart
     got = registry.QUERIES["j8_all_kink_chains"](spark, written_events(spark, tmp_path, rows)).collect()
     assert [(r["event"], r["n_chains"]) for r in got] == [(3, 4)]
+
+
+def test_first_member_is_one_whatever_the_order_of_rows(spark, tmp_path):
+    """Members with equal strip and price: the signal is that of the lower part, in the SQL too."""
+    fields = "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_extendedprice double"
+    rows = [(1, 1, 3, 40, 1.0, 10.0), (1, 2, 3, 20, 6.0, 10.0), (1, 3, 1, 20, 4.0, 10.0), (1, 4, 3, 30, 2.0, 10.0)]
+    for k, order in enumerate((rows, rows[::-1])):
+        sf = str(tmp_path / str(k))
+        spark.createDataFrame(order, fields).coalesce(1).write.parquet(f"{sf}/lineitem.parquet")
+        assert [r["signal"] for r in registry.QUERIES["c1_strip_islands"](spark, sf).collect()] == [5]
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet/*.parquet')")
+        assert [r[0] for r in con.sql(f"SELECT signal FROM ({registry.ORACLES['c1_strip_islands']})").fetchall()] == [5]
