@@ -234,3 +234,23 @@ def test_kept_trees_equal_plain(spark):
     assert any(len(plain_kept(x)) < len(x) for x in by_event.values())
     ranks = trees.ordered_leaves(kept).filter("rank = 1").collect()
     assert all(x["distance"] == 0 for x in ranks)
+
+
+def test_leaves_at_one_point_are_ordered_by_path(spark):
+    """Two leaves of a tree end at one point, equally long and straight: the lesser path comes first, whatever the order of rows."""
+    fields = "event long, head string, bot_id string, path array<string>, best_rms double, below int, layers int, main array<string>"
+    row = lambda *path: (5, path[0], path[-1], list(path), 0.0, 1, 3, ["h", "a", "z"])
+    rows = [row("h", "b", "y"), row("h", "c", "y"), row("h", "a", "y"), row("h", "d", "y"), row("h", "a", "z")]
+    for order in (rows, rows[::-1]):
+        stats = spark.createDataFrame(order, fields).coalesce(1)
+        ranked = sorted((r["rank"], r["path"][1]) for r in trees.ranked_leaves(stats).collect() if r["leaf"] == "y")
+        assert ranked == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+        sought = sorted((r["rank"], r["distance"]) for r in trees.ordered_leaves(stats).collect())
+        assert sought == [(1, 0), (2, 2), (3, 2), (4, 2), (5, 1)]
+
+
+def test_hits_of_leaves_at_one_point_stay_apart(spark):
+    leaves = spark.createDataFrame([(5, "h", "y", ["h", "a", "y"]), (5, "h", "y", ["h", "b", "y"])], "event long, head string, leaf string, path array<string>")
+    points = spark.createDataFrame([(5, "h", 9, 1, 1), (5, "a", 8, 1, 1), (5, "b", 7, 1, 1), (5, "y", 6, 1, 1)], "event long, id string, layer int, x long, y long")
+    got = sorted((r["layer"], r["gap"]) for r in trees.leaf_hits(leaves, points).collect())
+    assert got == [(6, False), (6, False), (7, False), (7, True), (8, False), (8, True), (9, False), (9, False)]

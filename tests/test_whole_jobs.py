@@ -1,6 +1,8 @@
 """Queries of the whole job on small made-up tables."""
 
 import duckdb
+import pytest
+from pyspark.sql import Row
 
 from stripweave.jobs import registry
 
@@ -38,3 +40,17 @@ def test_first_member_is_one_whatever_the_order_of_rows(spark, tmp_path):
         con = duckdb.connect()
         con.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet/*.parquet')")
         assert [r[0] for r in con.sql(f"SELECT signal FROM ({registry.ORACLES['c1_strip_islands']})").fetchall()] == [5]
+
+
+@pytest.mark.parametrize("name", ["t10_ranked_leaves", "t12_leaf_hits", "o6_packed_tracks"])
+def test_tied_leaves_equal_sql(spark, tmp_path, name):
+    """Two hits on one strip: paths over either are equally straight and end at the same leaf."""
+    at = lambda layer, view, strip, k: (36 * k + 18 * view + layer, 5, strip / 100)
+    rows = [at(k, v, 500, 0) for k in (17, 16, 15) for v in (0, 1)] + [at(14, 0, 999, 0), at(14, 1, 500, 0), at(16, 0, 500, 1), at(16, 0, 500, 2)]
+    sf = written_events(spark, tmp_path, rows)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet/*.parquet')")
+    df, expected = registry.QUERIES[name](spark, sf), con.sql(registry.ORACLES[name])
+    assert sorted(map(repr, df.select(*expected.columns).collect())) == sorted(repr(Row(**dict(zip(expected.columns, r, strict=True)))) for r in expected.fetchall())
+    if name == "t12_leaf_hits":
+        assert {r["point_id"] for r in df.collect() if r["layer"] == 16} == {"16:34"}
