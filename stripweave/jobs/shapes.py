@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import axes, candidates, density, graph, moments
+from ..operators import axes, candidates, density, moments
 from ..operators import links as lnk
 from ..sources.hits import SQL_POINTS, SQL_USERS, label_points, table, user_hits
 from .hits import BAND, SQL_EP, SQL_LINKS, user_links, user_points
@@ -82,10 +82,7 @@ def reweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forest(spark: SparkSession, sf_dir: str, size: float = 0.25) -> tuple[DataFrame, DataFrame]:
     points = label_points(spark, sf_dir)
-    at = lambda c: points.select(F.col("id").alias(c), *[F.col(k).alias(f"{c}{k}") for k in "xyz"])
-    d2 = sum(((F.col(f"a{k}") - F.col(f"b{k}")) ** 2 for k in "yz"), (F.col("ax") - F.col("bx")) ** 2)
-    edges = graph.near_pairs(points, size).join(at("a"), "a").join(at("b"), "b").select("a", "b", F.sqrt(d2).alias("w"))
-    return points.select("id", "grp"), density.spanning_forest(points.select("id"), edges)
+    return points.select("id", "grp"), density.near_forest(points, size)
 
 
 @query("g4_spanning_forest")

@@ -41,25 +41,103 @@ def bin_clusters(bins: DataFrame, separation: int, least_points: int) -> DataFra
     return marked.join(components(core, edges), "id", "left").drop("noise", "around")
 
 
-def spanning_forest(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def spanning_forest(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """nodes: id; edges: a, b, w. a, b, w of the lightest forest: each round every tree takes its lightest edge to another tree.
 
-    Ties fall by (a, b), so the forest is unique. The number of trees at least halves in a round.
+    Ties fall by (a, b), so the forest is unique. The number of trees at least halves in a round. Edges to ids that are no nodes are left out.
     """
-    edges = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").filter("a < b").groupBy("a", "b").agg(F.min("w").alias("w")))
-    taken = edges.limit(0)
-    label = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(most_rounds):
-        of = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))  # noqa: B023, E731
-        cross = cut_lineage(edges.join(of("a"), "a").join(of("b"), "b").filter("la <> lb"))
-        if not cross.limit(1).count():
-            return taken
-        edge = F.struct("w", "a", "b").alias("e")
-        best = cross.select(F.col("la").alias("l"), edge).unionByName(cross.select(F.col("lb").alias("l"), edge)).groupBy("l").agg(F.min("e").alias("e"))
-        taken = cut_lineage(taken.unionByName(best.select("e.a", "e.b", "e.w")).distinct())
-        label = components(nodes, taken.select("a", "b"))
-        edges = cross.select("a", "b", "w")
-    raise RuntimeError(f"the forest did not settle in {most_rounds} rounds")
+    known = edges
+    for c in "ab":
+        known = known.join(nodes.select(F.col("id").alias(c)).distinct(), c, "left_semi")
+    found = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").filter("a < b").withColumns({"la": F.col("a"), "lb": F.col("b")})
+    return joined_trees(found, most_rounds)[0]
+
+
+def joined_trees(edges: DataFrame, most_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+    """edges: la, lb (two trees), a, b, w. The edges that join trees at the least weight (a, b, w), and label, root: the trees that were joined.
+
+    Each round every tree takes its lightest edge, ties by (a, b), so that only two trees can choose each other; the lesser of them is the
+    root of all that hang on it, found by doubling. Then edges are kept between roots alone, one for each pair.
+    """
+    lightest = F.min(F.struct("w", "a", "b")).alias("e")
+    cross = lambda e: cut_lineage(e.filter("la <> lb").groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).agg(lightest).select("la", "lb", "e.*"))
+    edges = cross(edges)
+    taken = [edges.select("a", "b", "w").limit(0)]
+    roots = edges.select(F.col("la").alias("label"), F.col("la").alias("root")).limit(0)
+    for number in range(most_rounds):
+        if not edges.limit(1).count():
+            break
+        ends = [edges.select(F.col(own).alias("label"), F.struct("w", "a", "b", F.col(other).alias("other")).alias("e")) for own, other in (("la", "lb"), ("lb", "la"))]
+        best = cut_lineage(ends[0].unionByName(ends[1]).groupBy("label").agg(F.min("e").alias("e")).select("label", "e.*"))
+        taken.append(best.select("a", "b", "w").distinct())
+        mutual = best.select(F.col("other").alias("label"), F.col("label").alias("other"), F.lit(True).alias("mutual"))
+        parent = best.join(mutual, ["label", "other"], "left").select("label", F.when(F.col("mutual") & (F.col("label") < F.col("other")), F.col("label")).otherwise(F.col("other")).alias("root"))
+        parent = cut_lineage(parent)
+        while True:  # each turn follows four times as many steps
+            above = parent.select(F.col("label").alias("root"), F.col("root").alias("next"))
+            twice = cut_lineage(parent.join(above, "root").select("label", "root", F.col("next").alias("far")))
+            if not twice.filter("far <> root").limit(1).count():
+                break
+            above = twice.select(F.col("label").alias("root"), F.col("far").alias("next"))
+            parent = cut_lineage(twice.select("label", F.col("far").alias("root")).join(above, "root").select("label", F.col("next").alias("root")))
+        if number:
+            old = roots.join(parent.select(F.col("label").alias("root"), F.col("root").alias("new")), "root", "left").select("label", F.coalesce("new", "root").alias("root"))
+            roots = cut_lineage(old)
+        else:
+            roots = parent
+        for end in ("la", "lb"):
+            edges = edges.join(parent.select(F.col("label").alias(end), F.col("root").alias("new")), end).drop(end).withColumnRenamed("new", end)
+        edges = cross(edges)
+    else:
+        raise RuntimeError(f"the forest did not settle in {most_rounds} rounds")
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return cut_lineage(out), roots
+
+
+def near_forest(points: DataFrame, size: float, crowd: int = 64, halvings: int = 24) -> DataFrame:
+    """points: grp, id, x, y, z, ids unique. a, b, w: the lightest forest over the points of a group that are no further than `size` apart,
+    ties by (a, b), as spanning_forest finds it over all such pairs, without forming them.
+
+    Points at one place hang on the least of them by edges of 0, and only that one is compared. The distance then grows by doubling, from
+    one at which no cell of that width holds more than `crowd` points: all edges of up to a distance are taken before longer ones, and a
+    longer one can only join two trees. So from the second distance on a cell takes part only if it or a neighbour holds another tree,
+    and only pairs of two trees are kept, the lightest of two trees alone: work grows with the points and the seams between trees.
+    Rows without a group or a coordinate have no edges. Many near copies cost more turns, one for each doubling, at most `halvings`.
+    """
+    has = points.filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz") + " AND grp IS NOT NULL").select("grp", "id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    places = cut_lineage(has.groupBy("grp", "x", "y", "z").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids")))
+    copies = places.filter(F.size("ids") > 1).select(F.col("id").alias("a"), F.explode("ids").alias("b"), F.lit(0.0).alias("w")).filter("a <> b")
+    now = places.select("grp", "id", "x", "y", "z", F.col("id").alias("label"))
+    at = lambda width: [F.floor(F.col(c) / width).alias(f"c{c}") for c in "xyz"]
+    cell, turns = ["grp", "cx", "cy", "cz"], 0
+    while turns < halvings and now.groupBy("grp", *at(size / 2**turns)).count().filter(F.col("count") > crowd).limit(1).count():
+        turns += 1
+    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    beside = lambda offsets: F.explode(F.array(*[F.struct(*[(F.col(f"c{c}") + d).alias(c) for c, d in zip("xyz", o, strict=True)], F.lit(o == (0, 0, 0)).alias("own")) for o in offsets])).alias("to")
+    moved = [F.col(f"to.{c}").alias(f"c{c}") for c in "xyz"]
+    taken = [copies]
+    for turn in range(turns, -1, -1):
+        width = size / 2**turn
+        rows = now.select("*", *at(width))
+        if turn < turns:
+            held = rows.groupBy(*cell).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+            near = held.select("grp", "low", "high", *cell[1:], beside(around)).select("grp", "low", "high", *moved)
+            seams = near.groupBy(*cell).agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select(*cell)
+            rows = cut_lineage(rows.join(seams, cell, "left_semi"))
+        one = rows.select("grp", "id", "x", "y", "z", "label", *cell[1:], beside([o for o in around if o >= (0, 0, 0)])).select("grp", "id", "x", "y", "z", "label", "to.own", *moved)
+        two = rows.select(*cell, F.col("id").alias("other"), F.col("label").alias("lb"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
+        d2 = sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("ox")) ** 2)
+        pairs = one.join(two, cell).filter("label <> lb AND (NOT own OR id < other)").withColumn("d2", d2).withColumn("w", F.sqrt("d2")).filter((F.col("d2") <= size * size) & (F.col("w") <= width))
+        found, roots = joined_trees(pairs.select(F.col("label").alias("la"), "lb", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "w"))
+        taken.append(found)
+        if turn:
+            now = cut_lineage(now.join(roots, "label", "left").select("grp", "id", "x", "y", "z", F.coalesce("root", "label").alias("label")))
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def trees_of(nodes: DataFrame, forest: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stripweave.functions import geometry as geo
-from stripweave.operators import axes, candidates, density, links, moments
+from stripweave.operators import axes, candidates, density, graph, links, moments
 
 
 def frame(spark, rows):
@@ -174,3 +174,34 @@ def test_reweighted_moments_equal_plain(spark, factor):
         assert (got[g]["n"], got[g]["n_dropped"], got[g]["n_rounds"]) == (n, dropped, rounds), g
         assert axis is None or [got[g]["ax"], got[g]["ay"], got[g]["az"]] == pytest.approx(list(axis), abs=1e-6)
     assert sum(r["n_dropped"] for r in got.values()) > 3
+
+
+def test_components_of_a_long_path_settle(spark):
+    """A path in random order: rounds don't grow with its length."""
+    p = np.random.default_rng(6).permutation(600).tolist()
+    edges = spark.createDataFrame(list(zip(p[:-1], p[1:], strict=True)), "a long, b long")
+    got = graph.components(spark.range(602), edges, most_rounds=16).collect()
+    assert {(r["id"], r["label"]) for r in got} == {(k, 0 if k < 600 else k) for k in range(602)}
+
+
+def near_edges(rows, size):
+    out = []
+    for i, (g, a, *p) in enumerate(rows):
+        for h, b, *q in rows[i + 1 :]:
+            d2 = sum((u - v) ** 2 for u, v in zip(p, q, strict=True))
+            if g == h and d2 <= size * size:
+                out.append((min(a, b), max(a, b), d2**0.5))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [12, 1000])
+def test_near_forest_equals_kruskal_over_all_near_pairs(spark, crowd):
+    """Grid points tie, some places hold several points, one group is a knot of near copies beside a far one; whatever the first distance."""
+    rng = np.random.default_rng(7)
+    rows = [(1, k, *map(float, rng.integers(0, 5, 3) / 8)) for k in range(90)] + [(2, 100 + k, *map(float, rng.normal(size=3) / 6)) for k in range(80)]
+    rows += [(3, 200 + k, *map(float, 1 + rng.normal(size=3) / 100)) for k in range(40)] + [(3, 250 + k, 1.2, 1.0, 1.0 + k / 50) for k in range(4)] + [(3, 260, 9.0, 9.0, 9.0)]
+    rng.shuffle(rows)
+    rows = [(int(g), int(k), *map(float, p)) for g, k, *p in rows]
+    got = density.near_forest(frame(spark, rows), 0.25, crowd).collect()
+    told = lambda found: sorted((a, b, round(w, 12)) for a, b, w in found)
+    assert told(got) == told(kruskal(300, near_edges(rows, 0.25)))
