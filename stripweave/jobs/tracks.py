@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import fit, graph
+from ..operators import points as pts
 from ..sources.hits import SQL_ORDERS, SQL_POINTS, SQL_USERS, label_points, order_hits, table, user_hits
 from .reconstruct import Config, first_pass
 from .register import query
@@ -88,12 +89,7 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x1_vertex_partners", f"{V}, p AS (SELECT a.grp, a.id AS first, b.id AS second, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 6) AS doca FROM v a JOIN v b ON a.grp = b.grp AND a.id < b.id) SELECT grp, first, second, doca, (CASE WHEN doca < 0.2 THEN 1 ELSE 0 END) | (CASE WHEN (first + second) % 2 = 0 THEN 2 ELSE 0 END) | 8 AS topology FROM (SELECT *, row_number() OVER (PARTITION BY grp, first ORDER BY doca, second) AS r FROM p) WHERE r = 1")
 def vertex_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best partner of each track of an event, with topology bits."""
-    v = label_points(spark, sf_dir)
-    a = v.select("grp", F.col("id").alias("first"), "x", "y", "z")
-    b = v.select("grp", F.col("id").alias("second"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
-    d = F.round(F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 + (F.col("z") - F.col("oz")) ** 2), 6)
-    p = a.join(b, "grp").filter("first < second").withColumn("doca", d)
-    best = p.withColumn("r", F.row_number().over(Window.partitionBy("grp", "first").orderBy("doca", "second"))).filter("r = 1")
+    best = pts.nearest_later(label_points(spark, sf_dir))
     bits = F.when(F.col("doca") < 0.2, 1).otherwise(0).bitwiseOR(F.when((F.col("first") + F.col("second")) % 2 == 0, 2).otherwise(0)).bitwiseOR(F.lit(8))
     return best.select("grp", "first", "second", "doca", bits.alias("topology"))
 

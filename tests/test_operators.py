@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from stripweave.jobs.reconstruct import Config, first_pass
-from stripweave.operators import fit, graph, islands, kalman, links, moments
+from stripweave.operators import fit, graph, islands, kalman, links, moments, points
 from stripweave.sources.hits import user_hits
 from stripweave.streaming import batches
 
@@ -79,3 +79,19 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     batches.start(spark, str(tmp_path / "in"), hits.schema, str(tmp_path / "out"), str(tmp_path / "state"), files_per_batch=1).awaitTermination()
     rows = lambda df: sorted(map(tuple, df.select("event", "n_links", "n_layers").collect()))
     assert rows(spark.read.parquet(str(tmp_path / "out/summary"))) == rows(first_pass(hits).summary)
+
+
+def test_nearest_later_equals_plain(spark):
+    """Ties, points at one place, single points, far ones and null coordinates, whatever the first width."""
+    rng = np.random.default_rng(8)
+    rows = [(1, k, *map(float, rng.integers(0, 4, 3) / 8)) for k in range(80)] + [(2, 100 + k, *map(float, rng.normal(size=3))) for k in range(60)]
+    rows += [(3, 200, 0.0, 0.0, 0.0), (2, 170, 40.0, 0.0, 0.0), (2, 90, -40.0, 0.0, 0.0), (4, 210, 0.5, 0.5, 0.5), (4, 211, 0.5, 0.5, 0.5)]
+    want = set()
+    for g, a, *p in rows:
+        later = [(round(sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) ** 0.5, 6), b) for h, b, *q in rows if h == g and b > a]
+        if later:
+            want.add((g, a, min(later)[1], min(later)[0]))
+    df = spark.createDataFrame([*rows, (1, 300, None, 0.0, 0.0)], "grp long, id long, x double, y double, z double")
+    for crowd in (4, 1000):
+        assert {tuple(r) for r in points.nearest_later(df, crowd=crowd).collect()} == want
+    assert points.nearest_later(df.limit(0)).count() == 0
