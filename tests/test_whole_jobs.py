@@ -54,3 +54,13 @@ def test_tied_leaves_equal_sql(spark, tmp_path, name):
     assert sorted(map(repr, df.select(*expected.columns).collect())) == sorted(repr(Row(**dict(zip(expected.columns, r, strict=True)))) for r in expected.fetchall())
     if name == "t12_leaf_hits":
         assert {r["point_id"] for r in df.collect() if r["layer"] == 16} == {"16:34"}
+
+
+def test_tasks_of_relations_grow_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("stripweave.jobs.hits.ROWS_A_TASK", 100, raising=False)
+    rows = [(k // 3, k % 2, k % 5) for k in range(1000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = registry.QUERIES["s4_relations"](spark, str(tmp_path))
+    want = {(a, b, n, len({r[2] for r in rows if r[:2] == (a, b)})) for a, b in {r[:2] for r in rows} if (n := sum(r[:2] == (a, b) for r in rows)) > 1}
+    assert {tuple(r) for r in df.collect()} == want
+    assert df.rdd.getNumPartitions() == 10
