@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import ChunkTable
+from .chunks import ChunkTable, printable_bytes
 from .common import by_rows, documents, text_or_empty
 
 #: Fixed value: the split pattern of this family of vocabularies.
@@ -31,13 +31,6 @@ NONE = np.int32(2**31 - 1)
 SHORT, LONG = 64, 512
 
 
-def printable_bytes() -> dict[str, int]:
-    """The rule by which vocabulary files write bytes as printable characters."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class RankTable:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -161,7 +154,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         table, chunks, _ = load(path)
-        packed = chunks.encode(batch.column("text").to_pylist())
+        packed = chunks.encode(batch.column("text"))
         ids = [np.frombuffer(x, table.dtype).astype(np.int32) for x in packed]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -190,7 +183,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         table, chunks, decimal = load(path)
         counts, ids_sha, text_sha = [], [], []
-        for packed in chunks.encode(batch.column("text").to_pylist()):
+        for packed in chunks.encode(batch.column("text")):
             ids = np.frombuffer(packed, table.dtype).tolist()
             decoded = b"".join(map(table.bytes.__getitem__, ids)).decode("utf-8", "replace")
             counts.append(len(ids))

@@ -14,11 +14,15 @@ segment of its own. Only doc_id and text are read, so other columns may have any
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable
+from .chunks import ChunkTable, printable_bytes
 from .common import by_rows, documents, new_path, text_or_empty, written
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 LIMIT, BLOCK, SEGMENT = 16, 256, 1 << 19
 MAGIC = b"HUF1"
 END_ID = 0
@@ -129,41 +136,66 @@ def read_segment(code: Code, data: bytes) -> tuple[list[int | None], np.ndarray,
     return [x if k else None for x, k in zip(doc_ids, known, strict=True)], counts.astype(np.int64), ids
 
 
+#: Words that any byte-level pre-tokenizer takes as one piece, whatever its version of Unicode.
+ONE_PIECE = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
 class Encoder:
-    """Distinct chunks through the tokenizers library: chunks that begin with a space are encoded
-    together, a line feed between them, which is a piece and an id of its own."""
+    """Distinct chunks through the tokenizers library, many together with a line feed between them,
+    which is a piece and an id of its own. Single words go straight to the model, their bytes written
+    as its vocabulary writes them; other chunks take the file's whole way."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each core has a task of its own
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import Split
 
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        model, before = data["model"], data["pre_tokenizer"] or {}
         self.library = Tokenizer.from_file(path)
+        if isinstance(self.library.model, BPE):  # the library's own cache of words costs more than it saves: the table asks for a chunk once
+            merges = [tuple(x.split(" ") if isinstance(x, str) else x) for x in model["merges"]]
+            self.library.model = BPE(cache_capacity=0, **{k: v for k, v in model.items() if k != "type" and v is not None} | {"merges": merges})
         self.n = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.n <= 1 << 16 else "<u4")
         added = {t.content: np.array([i], self.dtype).tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
         between = self.library.encode("\n", add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
+        self.as_text = "".join(x for _, x in sorted((b, x) for x, b in printable_bytes().items()))
+        self.words = None
+        if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and data["normalizer"] is None:
+            self.words = Tokenizer(self.library.model)
+            self.words.pre_tokenizer = Split(self.as_text[10], "isolated")
         self.table = ChunkTable(self.encode_chunks, added)
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(chunks)
-        joined = [i for i, x in enumerate(chunks) if self.between is not None and x[0] == " " and len(x) > 1 and not x.isspace()]
-        rest = sorted({*range(len(chunks))} - {*joined})
+        words = [i for i, x in enumerate(chunks) if ONE_PIECE.fullmatch(x)] if self.words and self.between is not None else []
+        others = sorted({*range(len(chunks))}.difference(words))
+        joined = [i for i in others if self.between is not None and chunks[i][0] == " " and len(chunks[i]) > 1 and not chunks[i].isspace()]
+        rest = sorted({*others}.difference(joined))
         for i, e in zip(rest, self.library.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, self.dtype).tobytes()
-        step = 2048
-        groups = [joined[k : k + step] for k in range(0, len(joined), step)]
-        texts = ["\n".join(chunks[i] for i in g) for g in groups]
-        for g, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.between)
-            if len(cuts) != len(g) - 1:
-                raise ValueError("the vocabulary merges line feeds with their neighbours")
-            packed, size = ids.tobytes(), self.dtype.itemsize
-            for i, a, b in zip(g, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                out[i] = packed[a * size : b * size]
+        self.put(out, joined, chunks, self.library, str)
+        self.put(out, words, chunks, self.words, lambda x: codecs.charmap_decode(x.encode(), "strict", self.as_text)[0])
         return out
 
+    def put(self, out: list[bytes], rows: list[int], chunks: list[str], library: Tokenizer | None, spelled: Callable[[str], str]) -> None:
+        step, size = 512, self.dtype.itemsize
+        groups = [rows[k : k + step] for k in range(0, len(rows), step)]
+        for at in range(0, len(groups), 256):
+            some = groups[at : at + 256]
+            for g, e in zip(some, library.encode_batch_fast([spelled("\n".join([chunks[i] for i in g])) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                cuts = np.flatnonzero(ids == self.between)
+                if len(cuts) != len(g) - 1:
+                    raise ValueError("the vocabulary merges line feeds with their neighbours")
+                packed = ids.tobytes()
+                for i, a, b in zip(g, [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(packed)], strict=True):
+                    out[i] = packed[a:b]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -176,11 +208,11 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         e, squeeze = encoder(path), zstandard.ZstdCompressor(level=1)
         end = np.array([END_ID], e.dtype).tobytes()
-        packed = [x + end for x in e.table.encode(batch.column("text").to_pylist())]
+        packed = [x + end for x in e.table.encode(batch.column("text"))]
         counts = [len(x) // e.dtype.itemsize for x in packed]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([squeeze.compress(x) for x in packed], pa.binary())], ["doc_id", "n_tokens", "packed"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(by_rows(run), TOKENS)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(by_rows(run, limit=8 << 20), TOKENS)
 
 
 def unpacked(batch: pa.RecordBatch, dtype: np.dtype) -> list[np.ndarray]:
